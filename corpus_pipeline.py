@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from strandflow.llm.common import staged
 from strandflow.llm.decontaminate import decontaminate
+from strandflow.llm.quality import weak_quality
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised rules reject go."""
+    return weak_quality(docs).where("kept").select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +21,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
-STAGES = [("decontaminate", clean_of_benchmark)]
+STAGES = [("quality", good_quality), ("decontaminate", clean_of_benchmark)]
 
 ORACLE_SQL = None
 

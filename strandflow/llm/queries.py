@@ -16,4 +16,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items", "hit_spans")
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate}
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import weak_quality
+
+    judged = weak_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "p_good")
+
+
+QUERIES = {"op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
