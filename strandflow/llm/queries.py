@@ -29,4 +29,20 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
+def tokenizer_file() -> str:
+    """Of the tokenizer of op10 and the pipeline: an installed package, so equal on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+VOCABULARY = 49408
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_output
+
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_file(), vocabulary=VOCABULARY)
+
+
+QUERIES = {"op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
