@@ -23,6 +23,20 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "p_good")
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    got = mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    got = shard(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -45,4 +59,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_file(), vocabulary=VOCABULARY)
 
 
-QUERIES = {"op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
