@@ -1,7 +1,7 @@
 """Language identification by error-correcting output codes.
 
 Each language gets a codeword of bits, far from the others in Hamming distance.  For each bit one binary classifier
-over hashed byte 1- to 4-grams of the lower-cased text learns to tell the languages with a 1 from those with a 0.  A
+over hashed byte 1- to 4-grams of its lower-cased words learns to tell the languages with a 1 from those with a 0.  A
 text is read whole; its language is the codeword with the least summed loss of the classifiers' margins, each bit
 weighted by how well its classifier did on the sample.  Where the two best codewords are close, ``ambiguous`` is true.
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches, unit
+from .common import sub_batches, unit, words_of
 
 BITS = 14  # of the feature space
 _ORDERS = (1, 2, 3, 4)
@@ -34,34 +34,52 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 _FOLD[48:58] = 48  # all digits are one
 
 
-def _grams(raw: np.ndarray):
-    """The feature of each n-gram by the byte where it begins, order by order."""
+def _grams(words: list[bytes]):
+    """n-grams of words with a blank on either side, order by order: the feature at each byte of all of them in a row,
+    and for each word the bytes where its own n-grams begin (first, and one past the last)."""
+    raw = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8)
+    size = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
+    first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
     b = _FOLD[raw]
     for n in _ORDERS:
-        if len(b) < n:
-            return
-        x = np.full(len(b) - n + 1, n, dtype=np.uint32)
+        x = np.full(max(len(b) - n + 1, 0), n, dtype=np.uint32)
         for j in range(n):
             x = (x + b[j : j + len(x)]) * np.uint32(0x9E3779B1)
             x ^= x >> np.uint32(15)
-        yield n, x >> np.uint32(32 - BITS)
-
-
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    return np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]], at - at[0]
-
-
-def _margins(raw: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each text's mean weight per n-gram and bit, an array [text, bit].  n-grams across two texts are left out."""
-    total = np.zeros((len(at) - 1, weights.shape[1]))
-    for n, gram in _grams(raw):
-        last = np.maximum(at[1:] - n + 1, at[:-1])
+        yield x >> np.uint32(32 - BITS), first, np.maximum(first + size + 3 - n, first)
+
+
+def _counts(text: str) -> np.ndarray:
+    """A text's features: counts of its n-grams per byte."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    total = np.zeros(1 << BITS, dtype=np.float32)
+    for gram, first, end in _grams(words):
+        own = np.zeros(len(gram) + 1, dtype=np.int32)
+        np.add.at(own, np.minimum(first, len(gram)), 1)
+        np.add.at(own, np.minimum(end, len(gram)), -1)
+        total += np.bincount(gram[np.cumsum(own[:-1]) > 0], minlength=1 << BITS)
+    return total / max(sum(len(w) + 1 for w in words), 1)
+
+
+def _margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Each text's features times the weights, an array [text, bit]; every distinct word is weighed once."""
+    words, starts = words_of(texts)
+    total = np.zeros((len(texts), weights.shape[1]))
+    if not len(words):
+        return total
+    distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+    own = np.zeros((len(distinct), weights.shape[1]))
+    for gram, first, end in _grams(distinct):
         for bit in range(weights.shape[1]):
             run = np.concatenate(([0.0], np.cumsum(weights[gram, bit], dtype=np.float64)))
-            total[:, bit] += run[np.minimum(last, len(run) - 1)] - run[np.minimum(at[:-1], len(run) - 1)]
-    return total / np.maximum(np.diff(at), 1)[:, None]
+            own[:, bit] += run[np.minimum(end, len(gram))] - run[np.minimum(first, len(gram))]
+    index = np.asarray(words.indices)
+    for bit in range(weights.shape[1]):
+        run = np.concatenate(([0.0], np.cumsum(own[index, bit])))
+        total[:, bit] = run[starts[1:]] - run[starts[:-1]]
+    size = np.fromiter((len(w) + 1 for w in distinct), dtype=np.int64, count=len(distinct))
+    run = np.concatenate(([0], np.cumsum(size[index])))
+    return total / np.maximum(run[starts[1:]] - run[starts[:-1]], 1)[:, None]
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -94,10 +112,7 @@ class Model:
             return
         x = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
         for i, t in enumerate(texts):
-            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-            for _, gram in _grams(raw):
-                x[i] += np.bincount(gram, minlength=1 << BITS)
-            x[i] /= max(len(raw), 1)
+            x[i] = _counts(t)
         who = np.searchsorted(self.langs, langs)
         share = 1 / np.bincount(who)[who] / len(self.langs)  # languages count alike
         scale = 1 / (x.std(0) + 1e-4)
@@ -119,8 +134,7 @@ class Model:
         """The language, score and ambiguity of each text."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        raw, at = _bytes_of(texts)
-        margin = _margins(raw, at, self.weights) + self.offset
+        margin = _margins(texts, self.weights) + self.offset
         signs = self.code.astype(np.float64) * 2 - 1
         loss = np.stack([(np.logaddexp(0, -margin * s) * self.trust).sum(1) for s in signs], axis=1)
         order = np.argsort(loss, axis=1, kind="stable")
