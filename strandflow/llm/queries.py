@@ -23,6 +23,25 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "p_good")
 
 
+#: The contract's rules.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES, keep=["page_id"])
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import joined, scan
+
+    got = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < 3)
+    count = [F.size(F.filter("secrets", lambda s, k=k: s["rank"] == k)).cast("long").alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    return got.select("doc_id", *count, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -59,4 +78,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_file(), vocabulary=VOCABULARY)
 
 
-QUERIES = {"op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op2_urls": op2_urls, "op7_secrets": op7_secrets, "op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
