@@ -23,6 +23,12 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "p_good")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: The contract's rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -78,4 +84,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_file(), vocabulary=VOCABULARY)
 
 
-QUERIES = {"op2_urls": op2_urls, "op7_secrets": op7_secrets, "op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_urls": op2_urls, "op7_secrets": op7_secrets, "op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
