@@ -29,6 +29,8 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,9 @@ END = 1
 class Encoder:
     """A tokenizer file's encoding of whole texts, remembered per word between ASCII blanks.
 
-    No pre-token of these tokenizers crosses a blank, so a text's ids are its words' ids in a row.  ``by_word`` says
-    that the tokenizer splits a word of letters with marks behind it into the letters and the marks; their ids are then
-    remembered separately, and letters go straight to the library's BPE model."""
+    No pre-token of the tokenizer crosses a blank, so a text's ids are its words' ids in a row.  Of letters with marks
+    behind them it makes two pre-tokens, so their ids follow from those of the lower-cased letters, which go straight
+    to the library's BPE model, and of the marks; all other words go through the whole tokenizer."""
 
     def __init__(self, file: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,34 +59,29 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(file), most
         self.model, self.level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain = type(self.model).__name__ == "BPE"
         self.words: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _letters(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if self.model.__class__.__name__ != "BPE":
-                return self._whole(word)
-            mapped = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
-            got = self.words[word] = np.array([x.id for x in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        return got
-
-    def word(self, word: str) -> bytes:
-        """Ids of one word as little-endian unsigned 32-bit integers."""
-        got = self.words.get(word)
-        if got is None:
-            core = word.rstrip(".,!?;:")
-            if core.isalpha() and max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core):
-                got = self._letters(core.lower())
-                if len(core) < len(word):
-                    tail = word[len(core) :]
-                    if tail not in self.words:
-                        self.words[tail] = self._whole(tail)
-                    got = got + self.words[tail]
-            else:
-                got = self.words[word] = self._whole(word)
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        """Ids of one word as unsigned 32-bit integers, remembered."""
+        core = word.rstrip(punctuation)
+        if not (self.plain and core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core)))):
+            got = self._whole(word)
+        else:
+            low = core.lower()
+            got = self.words.get(low)
+            if got is None:
+                mapped = low if low.isascii() else self.level.pre_tokenize_str(low)[0][0]
+                got = self.words[low] = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in self.words:
+                    self.words[tail] = self._whole(tail)
+                got = got + self.words[tail]
+        self.words[word] = got
         return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +89,10 @@ class Encoder:
         if len(self.words) > self.most:
             self.words.clear()
         words, starts = words_of(texts)
-        parts = [self.word(w) for w in words.dictionary.to_pylist()]
+        known, new = self.words.get, self._new
+        parts = [known(w) or new(w) for w in words.dictionary.to_pylist()]
         sizes = np.fromiter((len(p) >> 2 for p in parts), dtype=np.int64, count=len(parts))
-        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
         where = np.concatenate(([0], np.cumsum(sizes)))
         index = np.asarray(words.indices, dtype=np.int64)
         size = sizes[index] if len(index) else index
