@@ -1,13 +1,24 @@
-"""The corpus pipeline: five stages, each one operator of ``strandflow.llm``."""
+"""The corpus pipeline: five stages, each one operator of ``strandflow.llm``; part of that subpackage.
+
+A stage takes the documents that the one before has kept and returns the columns of documents; the last returns the
+rows of the token file: id, start, number and checksum of the ids.
+
+Rows of one doc_id are one document: near-duplicate detection keeps or drops them together.  Rows with a null doc_id
+are in no group and stay.  The mix emits a document once or twice; the token file holds each copy as a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import staged
+from strandflow.llm.common import new_path, staged
 from strandflow.llm.decontaminate import decontaminate
+from strandflow.llm.mixing import emitted, mix
+from strandflow.llm.neardup import near_duplicates
 from strandflow.llm.quality import weak_quality
+from strandflow.llm.queries import VOCABULARY, tokenizer_file
+from strandflow.llm.tokens import read_tokens, write_tokens
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +26,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return weak_quality(docs).where("kept").select(*docs.columns)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated stay."""
+    """Contaminated documents go."""
     judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
-STAGES = [("quality", good_quality), ("decontaminate", clean_of_benchmark)]
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return emitted(mix(docs)).select(*docs.columns)
+
+
+def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the token file, read back from it."""
+    path = write_tokens(docs, new_path(spark, "tokens"), tokenizer_file(), vocabulary=VOCABULARY)
+    return read_tokens(spark, path, vocabulary=VOCABULARY)
+
+
+STAGES = [("quality", good_quality), ("near_dedup", one_of_each), ("decontaminate", clean_of_benchmark), ("mix", mixed_sources), ("tokens", token_file)]
 
+#: Neither the posterior of EM nor the signatures are expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
