@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import staged
+
 #: K, the least share of the strongest way on, the least share of the mean root, the least edge weight.
 K, LEAST_SHARE, ROOT_SHARE, LEAST_EDGE = 11, 0.01, 0.20, 2
 
@@ -119,6 +121,7 @@ def region_split(compacted: DataFrame, first: int, last: int, *, k: int = K, mos
         inside = compacted.where((F.col("cstart") <= b) & (F.col("cend") >= a))
         cut = inside.select(F.greatest("cstart", F.lit(a)).alias("cstart"), F.least("cend", F.lit(b)).alias("cend"), F.expr(f"substring(cseq, greatest({a} - cstart, 0) + 1, {b} - greatest(cstart, {a}) + 1)").alias("cseq"), "cnt")
         edges = kmer_edges(cut, k)
+        edges = staged(edges, "edges")
         n = count_paths(edge_prune(edges), started(edges, share), a, b, k)
         if n > most and b - a + 1 >= 2 * k:
             middle = (a + b) // 2

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import explode_bases
+from ..functions.tables import staged
 from ..operators import cluster, compact, evaluate, graph, pileup, regress, simulate, support
 from ..sources import reads as source
 
@@ -57,6 +58,11 @@ class Tables:
     def compacted(self) -> DataFrame:
         return compact.compact_dedup(compact.compact_reads(self.corrected, self.variants))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The compact reads as a written table, for what reads them in several jobs."""
+        return staged(self.compacted, "compact")
+
     @cached_property
     def haps(self) -> DataFrame:
         return source.true_haplotypes(self.spark)
@@ -207,12 +213,18 @@ def root_threshold(t: Tables) -> DataFrame:
     return graph.root_threshold(graph.graph_roots(t.edges))
 
 
+def _walkable(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pruned edges and starts, written first: a recursive query reads them once per site."""
+    edges = staged(t.edges, "edges")
+    return staged(graph.edge_prune(edges), "pruned"), staged(graph.started(edges), "starts")
+
+
 def branch_positions(t: Tables) -> DataFrame:
-    return graph.branch_positions(graph.edge_prune(t.edges), graph.started(t.edges), K)
+    return graph.branch_positions(*_walkable(t), K)
 
 
 def local_haplotypes(t: Tables) -> DataFrame:
-    return graph.local_haplotypes(graph.edge_prune(t.edges), graph.started(t.edges), B1, B2 - 1, K)
+    return graph.local_haplotypes(*_walkable(t), B1, B2 - 1, K)
 
 
 def haplotype_product(t: Tables) -> DataFrame:
@@ -221,22 +233,29 @@ def haplotype_product(t: Tables) -> DataFrame:
 
 
 def region_split(t: Tables) -> DataFrame:
-    rows = graph.region_split(t.compacted, B1, B2 - 1, k=K, most=2)
+    rows = graph.region_split(t.stored, B1, B2 - 1, k=K, most=2)
     return t.spark.createDataFrame(rows, "first_site int, last_site int, n_paths long")
 
 
 def local_prune(t: Tables) -> DataFrame:
     sets = []
     for a, b in ((B1, 10), (10, B2)):
-        inside = t.compacted.where((F.col("cstart") < b) & (F.col("cend") >= a))
+        inside = t.stored.where((F.col("cstart") < b) & (F.col("cend") >= a))
         m = support.match_matrix(inside, t.compact_haps)
+        m = staged(m, "matrix")
         sets.append(regress.normal_equations(m, support.read_fraction(inside, m))[:3])
     rows = [(i, x) for i, ids in enumerate(regress.local_prune(sets, most=7)) for x in ids]
     return t.spark.createDataFrame(rows, "region int, hap_id int")
 
 
+def _matched(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Match matrix and read fractions, written: the normal equations read them in several jobs."""
+    m = staged(support.match_matrix(t.stored, t.compact_haps), "matrix")
+    return m, staged(support.read_fraction(t.stored, m), "fractions")
+
+
 def _fit(t: Tables, solve) -> DataFrame:
-    ids, g, r, _ = regress.normal_equations(t.matrix, t.y)
+    ids, g, r, _ = regress.normal_equations(*_matched(t))
     return t.spark.createDataFrame([(int(i), round(float(h), 5)) for i, h in zip(ids, solve(g, r), strict=True)], "hap_id int, h double")
 
 
@@ -275,20 +294,20 @@ def clustering_votes(t: Tables) -> DataFrame:
 
 def clustering_passes(t: Tables) -> DataFrame:
     """Passes with growing windows, each on the reads that the one before has corrected and written."""
-    out = t.reads
+    out, variants, reference = t.reads, staged(t.variants, "sites"), staged(t.reference, "reference")
     for length in (50, 60):
         windows = cluster.window_grid(t.spark, 1, 81, length, 40)
-        voted = cluster.clustering_votes(pileup.read_ids(out), t.variants, windows, t.reference, sweeps=4, burn_in=3)
-        out = voted.groupBy("start_pos", F.col("voted_seq").alias("seq")).agg(F.sum("cnt").alias("cnt"))
+        voted = cluster.clustering_votes(pileup.read_ids(out), variants, windows, reference, sweeps=4, burn_in=3)
+        out = staged(voted.groupBy("start_pos", F.col("voted_seq").alias("seq")).agg(F.sum("cnt").alias("cnt")), "pass")
     return out
 
 
 def grid(t: Tables) -> DataFrame:
-    return regress.fit_grid(t.matrix, t.y, rhos=regress.RHOS[:2], repeats=2).select("fit_id", "rho", "rep", "hap_id", F.round("h", 4).alias("h"), "k")
+    return regress.fit_grid(*_matched(t), rhos=regress.RHOS[:2], repeats=2).select("fit_id", "rho", "rep", "hap_id", F.round("h", 4).alias("h"), "k")
 
 
 def solution(t: Tables) -> DataFrame:
-    return regress.solution(regress.fit_grid(t.matrix, t.y, rhos=regress.RHOS[:2], repeats=2), t.compact_haps).select("hap_id", F.round("h", 4).alias("h"), "cseq")
+    return regress.solution(regress.fit_grid(*_matched(t), rhos=regress.RHOS[:2], repeats=2), t.compact_haps).select("hap_id", F.round("h", 4).alias("h"), "cseq")
 
 
 BUILD = {
