@@ -1,3 +1,40 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others are held against brute force in tests: EM (op5), signatures and classes (op1), host ranks (op2), classifiers
+(op4), Markov models (op7), random draws (op8) and tokenizers (op10) are beyond it."""
+
+_WORDS = r"CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END"
+_FOLDED = r"CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END"
+
+SQL: dict[str, str] = {
+    "op3_mix": f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, source IS NULL AS absent, coalesce(source, '') AS name FROM documents),
+s AS (SELECT absent, name, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY absent, name) - 1) % 3 + 1] AS weight FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, absent, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY source_size / weight, absent, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT absent, name, source_size, least(2.0::DOUBLE * source_size, greatest((SELECT max(level) FROM l), 0) * weight) AS target,
+  CAST(CAST('0x' || substr(md5('mix|' || (CASE WHEN absent THEN '1' ELSE '0' END) || '|' || name), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS o FROM l),
+n AS (SELECT d.*, source_size, target, o, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.absent, d.name ORDER BY size, doc_id) AS k FROM d JOIN t USING (absent, name)),
+c AS (SELECT *, CAST(floor(o + k * rate) - floor(o + (k - 1) * rate) AS BIGINT) AS copies FROM n)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c""",
+    "op6_substrings": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+win AS (SELECT r, i, sha256(array_to_string(w[i:i+34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, i + j AS p FROM (SELECT r, i, unnest(range(35)) AS j FROM win JOIN rep USING (h))),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words LEFT JOIN (SELECT r, p, 1 AS gone FROM hit) x USING (r, p) WHERE gone IS NULL GROUP BY r),
+cut AS (SELECT r, count(*) AS n FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN cut USING (r)""",
+    "op9_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_FOLDED} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, k, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, k, i, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+m AS (SELECT r, i, dw.k AS k, item FROM dw JOIN iw USING (k, s)),
+hit AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, unnest(range(k)) AS j FROM m) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+}
