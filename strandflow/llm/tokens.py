@@ -90,7 +90,7 @@ class Encoder:
             self.words.clear()
         words, starts = words_of(texts)
         known, new = self.words.get, self._new
-        parts = [known(w) or new(w) for w in words.dictionary.to_pylist()]
+        parts = [known(w) or new(w) for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
         sizes = np.fromiter((len(p) >> 2 for p in parts), dtype=np.int64, count=len(parts))
         flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
         where = np.concatenate(([0], np.cumsum(sizes)))
