@@ -67,7 +67,7 @@ def _margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     total = np.zeros((len(texts), weights.shape[1]))
     if not len(words):
         return total
-    distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+    distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     own = np.zeros((len(distinct), weights.shape[1]))
     for gram, first, end in _grams(distinct):
         for bit in range(weights.shape[1]):
@@ -102,7 +102,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 class Model:
     """The languages, their codewords, and weight, offset and trust of each bit's classifier."""
 
-    def __init__(self, texts: list[str], langs: list[str], rounds: int = 300, decay: float = 1e-3):
+    def __init__(self, texts: list[str], langs: list[str], rounds: int = 80, decay: float = 1e-3):
         self.langs = sorted(set(langs))
         self.code = codewords(len(self.langs))
         n_bits = self.code.shape[1]
