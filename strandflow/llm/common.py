@@ -89,7 +89,7 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
     """A 64-bit hash of each word; equal over batches, tasks and runs."""
     h = xxhash.xxh3_64_intdigest
-    own = np.fromiter((h(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words.dictionary))
+    own = np.fromiter((h(w) for w in words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()), dtype=np.uint64, count=len(words.dictionary))
     return own[np.asarray(words.indices)] if len(words) else np.zeros(0, np.uint64)
 
 
