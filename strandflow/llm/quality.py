@@ -110,7 +110,7 @@ def rules() -> dict[str, Column]:
         "symbols": _ratio("n_symbols", "n_words") > 0.1,
         "marks": _ratio("n_marks", "n_words") > 0.2,
         "capitals": F.col("n_upper") > F.col("n_lower"),
-        "lines": _ratio("n_dup_lines", "n_lines") > 0.3,
+        "lines": (F.col("n_dup_lines") >= 3) & (_ratio("n_dup_lines", "n_lines") > 0.3),  # of three lines one may repeat
         "repeats": _ratio("n_repeat_words", "n_words") > 0.2,
         "word_size": (long_word < 2.5) | (long_word > 14),
         "open_lines": _ratio("n_open_lines", "n_lines") > 0.6,
