@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch between the JVM and Python: texts are long, and both sides hold a batch or two for each task.
+ARROW_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.  Only a local session without the setting gets one of its own."""
@@ -39,7 +42,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The table stays until ``drop_staged``, since the returned frame is lazy."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     kept = getattr(spark, "_strandflow_staged", None)
     if kept is None:
         kept = spark._strandflow_staged = []

@@ -12,7 +12,8 @@ next its edges.
     way on from there: such edges in a row compact to one path, and a window that lies within a path occurs as often
     as the path's first node, so it is repeated without a look at it.
  4. All other windows whose anchor is repeated - across branchings and at the ends of paths - are verified at
-    their source coordinates: they are counted among the hashes of all candidate windows.
+    their source coordinates: repeated within their own text, or counted among the hashes of all candidate windows, of
+    which a text sends each once.
 
 Hashes of windows have 64 bits, keys of texts 128.  No step gathers the occurrences of a node or window: counts are
 partial sums, and joins are keyed so that a frequent key is split.
@@ -119,10 +120,10 @@ def _kept(words: list[bytes], drop: np.ndarray) -> str:
 
 def _texts(batches, column: int):
     """Row, words and their hashes of each text of the batches."""
-    for batch in sub_batches(batches, "__text", 2 << 20):
+    for batch in sub_batches(batches, "__text", 1 << 20):
         words, starts = words_of(batch.column(column))
         h = word_hashes(words)
-        distinct, index = words.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(words.indices).tolist()
+        distinct, index = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), np.asarray(words.indices).tolist()
         yield batch, [([distinct[i] for i in index[a:b]], h[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
@@ -161,9 +162,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
                     continue
                 maybe, inside = candidates(h, np.array(at, np.int64), np.array(solid, bool), window, k)
                 sums, _ = prefix_sums(h)
-                open_at = np.flatnonzero(maybe & ~inside)
-                in_path = np.flatnonzero(inside)
-                for column, value in zip(out, (c1, c2, _spans(in_path), open_at, (run_hashes(sums, open_at, open_at + window).view(np.int64), run_hashes(sums, in_path, in_path + window).view(np.int64))), strict=True):
+                every = np.flatnonzero(maybe)
+                keys = run_hashes(sums, every, every + window)
+                _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+                sure = inside[every] | (times[back] > 1)  # within a path, or twice in this very text
+                for column, value in zip(out, (c1, c2, _spans(every[sure]), every[~sure], (keys[~sure].view(np.int64), np.unique(keys[sure]).view(np.int64))), strict=True):
                     column.append(value)
             hashes = [x for x, _ in out[4]], [y for _, y in out[4]]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.ListArray.from_arrays(*_lists([s.ravel() for s in out[2]], pa.int32())), pa.ListArray.from_arrays(*_lists(out[3], pa.int32())), pa.ListArray.from_arrays(*_lists(hashes[0], pa.int64())), pa.ListArray.from_arrays(*_lists(hashes[1], pa.int64()))], names=["c1", "c2", "sure", "open", "open_hash", "sure_hash"])
@@ -191,7 +194,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.ListArray.from_arrays(*_lists(out[4], pa.int32()))], names=["c1", "c2", "n_cut", "cut_sha", "cut"])
 
-    done = again.mapInArrow(cut, "c1 long, c2 long, n_cut long, cut_sha string, cut array<int>").dropDuplicates(["c1", "c2"])
+    done = staged(again.mapInArrow(cut, "c1 long, c2 long, n_cut long, cut_sha string, cut array<int>"), "repeat-cuts").dropDuplicates(["c1", "c2"])
     copied = contents.where("copies > 1").select("c1", "c2", "copies")
     rows = read_all.select("id", "c1", "c2", "n_words", F.lower(F.hex("sha")).alias("sha")).join(copied, ["c1", "c2"], "left").join(done, ["c1", "c2"], "left")
     whole = F.col("copies").isNotNull()
