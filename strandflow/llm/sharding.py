@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import staged, unit
 
 #: Rows for each logical partition and each bucket of a shard, as far as the most partitions allow.
-BLOCK_ROWS, MOST_PARTITIONS = 50_000, 4096
+BLOCK_ROWS, MOST_PARTITIONS = 10_000, 4096
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
