@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORD, staged
 
 #: Rows of the whole table for each hash class of a source's size class.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 20_000
 
 
 def n_words(text: str) -> Column:
