@@ -8,11 +8,11 @@ probability of their weighted Jaccard similarity.  Points are made in ascending
 slots are expected to be filled, so their number depends on the slots and not on the length of the text.
 
 Candidates.  The signature is cut in bands.  Equal word sequences are collapsed first.  In each bucket of a band one
-member, picked by a hash of bucket and round, is paired with the others - never all with all; the leaders differ from
-band to band.  A pair is verified by the overlap of the two whole multisets of shingles.  Links are joined to classes;
-buckets that still hold several classes get another leader in the next round, until none has an untested leader pair
-or ``rounds`` is reached.  With the default 40 bands of 6 slots, two documents of similarity 0.8 share no bucket with
-probability 5e-6.
+leader is paired with the members of other classes, in ``rounds`` rounds; the leaders differ from band to band at first.
+A pair is verified by the overlap of the two whole multisets of shingles, and links are joined to classes.  Leaders only
+come first, to join most documents with few pairs: in buckets that still hold several classes, all pairs of different
+classes are verified then.  So every two documents that share a bucket are verified or in one class already.  With the
+default 40 bands of 6 slots, two documents of similarity 0.8 share no bucket with probability 5e-6.
 
 Defined results: a text of one to four words has one shingle, all its words; a document without words (or null, or
 with a null id) is in a class of its own; rows of one id are one document; the class id is its least document id; an
@@ -160,7 +160,7 @@ def absorbed(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(every.join(top, every["comp"] == top["t"], "left").select("node", F.coalesce("ct", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 300) -> DataFrame:
     """(id, ``class_id``, ``kept``) of each distinct document id; one document of each class is kept."""
     slots = bands * rows
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     filled = signed.where("n > 0")
     content = staged(filled.groupBy("content").agg(F.min("node").alias("rep")), "near-contents")
     placed = staged(filled.select("node", "content").join(content, "content").select("node", "rep").distinct(), "near-copies")
-    keyed = filled.join(content.select("rep"), filled["node"] == content["rep"], "left_semi").select("node", F.explode("bands").alias("band"))
+    keyed = filled.join(content.select("rep"), filled["node"] == content["rep"], "left_semi").select("node", "n", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
     keyed = staged(keyed.join(shared, "band"), "near-buckets")  # buckets of two and more only
     wanted = keyed.select("node").distinct()
@@ -208,34 +208,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         fits = both.where(F.least(F.length("x"), F.length("y")) >= (least - 1e-9) * F.greatest(F.length("x"), F.length("y")))
         return staged(fits.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), name)
 
+    def led(now: DataFrame, k: int) -> DataFrame:
+        """(a, b, votes): each open bucket's leader with its members of other classes; a hashed one in the first round, then
+        the member that meets the most documents in its buckets, which finds what many copies were made from."""
+        rank = F.col("node").bitwiseXOR(F.xxhash64("band", F.lit(k)))
+        if k:
+            met = now.groupBy("node").agg(F.sum("c").alias("met"))
+            now = now.join(met, "node")
+        order = F.struct(F.col("met") if k else F.lit(0), rank, "node", "comp", "n")
+        heads = now.groupBy("band").agg(F.max(order).alias("x")).select("band", F.col("x.node").alias("a"), F.col("x.comp").alias("ca"), F.col("x.n").alias("na"))
+        pairs = now.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")).join(heads, "band")
+        return voted(pairs.where("ca <> cb"))
+
+    def crossed(now: DataFrame) -> DataFrame:
+        """(a, b, votes): all pairs of an open bucket whose classes differ.  Members are dealt to blocks and blocks are
+        paired, so no key holds more than some hundred rows of a side."""
+        blocks = now.withColumn("g", F.ceil(F.col("c") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node", "band"), F.col("g")).cast("int"))
+        x = blocks.select("band", "i", F.explode(F.sequence("i", F.col("g") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+        y = blocks.select("band", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+        return voted(x.join(y, ["band", "i", "j"]).where("ca <> cb and (i < j or a < b)"))
+
+    def voted(pairs: DataFrame) -> DataFrame:
+        near = pairs.where(F.least("na", "nb") >= (least - 1e-6) * F.greatest("na", "nb"))  # else the sizes alone rule it out
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+
     many = placed.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("node", "a")
     comp = absorbed(None, placed.join(many, "node").select("a", F.col("rep").alias("b")).where("a <> b"))  # texts of one id
     tested = None
-    for k in range(rounds):
-        salt = F.xxhash64("band", F.lit(k))
+    for k in range(rounds + 1):
         now = keyed.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        heads = now.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(salt)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-        heads = heads.select("band", F.col("m").bitwiseXOR(salt).alias("a"))
-        pairs = now.select("band", F.col("node").alias("b"), F.col("comp").alias("cb")).join(heads, "band").where("a <> b")
-        pairs = pairs.groupBy("a", "b", "cb").agg(F.count(F.lit(1)).alias("votes"))
-        if k:
-            of_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-            pairs = pairs.join(of_a, "a", "left").where(F.coalesce("ca", "a") != F.col("cb"))
-        pairs = pairs.select("a", "b", "votes")
+        open_ = now.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band", "c")
+        now = staged(now.join(open_, "band"), "near-open")  # buckets of several classes only
+        if now.isEmpty():
+            break
+        pairs = led(now, k) if k < rounds else crossed(now)
         if tested is not None:
-            pairs = pairs.join(tested, (F.least(pairs["a"], pairs["b"]) == tested["p"]) & (F.greatest(pairs["a"], pairs["b"]) == tested["q"]), "left_anti")
+            pairs = pairs.join(tested, (pairs["a"] == tested["p"]) & (pairs["b"] == tested["q"]), "left_anti")
         pairs = staged(pairs, "near-pairs")
         if pairs.isEmpty():
-            break
+            continue
         best = pairs.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-        first = verified(best, "near-links")  # each document with its likeliest leader; most other pairs then lie within a class
+        first = verified(best, "near-links")  # each document with its likeliest partner; most other pairs then lie within a class
         comp = absorbed(comp, first)
         rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             rest = rest.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
         rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         comp = absorbed(comp, verified(rest, "near-links"))
-        new = pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+        new = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"))
         tested = new if tested is None else tested.union(new)
     comp = placed.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("node", F.coalesce("comp", "rep").alias("comp")).distinct()
     kind = docs.schema[id_col].dataType

@@ -89,3 +89,29 @@ def test_batches_do_not_matter():
     for i in range(len(texts)):
         one, _, *_ = neardup.shingles(texts[i : i + 1])
         assert sorted(one.tolist()) == sorted(h[of == i].tolist())
+
+
+def test_copies_that_only_their_origin_links(spark):
+    """Edited copies near their origin but not near each other: classes hang on the pairs with one member of 1,201."""
+    rng = random.Random(11)
+    base = ["w%d" % rng.randrange(4000) for _ in range(400)]
+    texts = []
+    for c in range(1200):
+        copy = list(base)
+        for k in range(7):
+            copy[rng.randrange(50 * k + 10, 50 * k + 50)] = f"c{c}x{k}"
+        texts.append(" ".join(copy))
+    texts.insert(700, " ".join(base))
+    bags = [bag(t) for t in texts]
+    share = lambda i, j: sum((bags[i] & bags[j]).values()) / sum((bags[i] | bags[j]).values())
+    assert min(share(i, 700) for i in range(len(texts))) >= 0.8 and max(share(0, j) for j in range(1, 300)) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in neardup.near_duplicates(df).collect()} == {0}
+
+
+def test_no_pair_of_a_bucket_is_left_out(spark):
+    """Without leader rounds, and in blocks of few members, all classes must come from the pairs of the buckets."""
+    texts = corpus(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df, rounds=0, block=3).collect()}
+    assert got == dict(enumerate(classes(texts)))
