@@ -285,29 +285,29 @@ def majority_vote(t: Tables) -> DataFrame:
 
 
 def gibbs_assign(t: Tables) -> DataFrame:
-    return cluster.gibbs_assign(t.bases, t.members, t.sites, t.reference, sweeps=6, burn_in=4)
+    return cluster.gibbs_assign(t.bases, t.members, t.sites, t.reference)
 
 
 def clustering_votes(t: Tables) -> DataFrame:
-    return cluster.clustering_votes(pileup.read_ids(t.reads), t.variants, t.windows, t.reference, sweeps=6, burn_in=4)
+    return cluster.clustering_votes(pileup.read_ids(t.reads), t.variants, t.windows, t.reference)
 
 
 def clustering_passes(t: Tables) -> DataFrame:
     """Passes with growing windows, each on the reads that the one before has corrected and written."""
     out, variants, reference = t.reads, staged(t.variants, "sites"), staged(t.reference, "reference")
-    for length in (50, 60):
+    for length in (50, 60, 70):
         windows = cluster.window_grid(t.spark, 1, 81, length, 40)
-        voted = cluster.clustering_votes(pileup.read_ids(out), variants, windows, reference, sweeps=4, burn_in=3)
+        voted = cluster.clustering_votes(pileup.read_ids(out), variants, windows, reference)
         out = staged(voted.groupBy("start_pos", F.col("voted_seq").alias("seq")).agg(F.sum("cnt").alias("cnt")), "pass")
     return out
 
 
 def grid(t: Tables) -> DataFrame:
-    return regress.fit_grid(*_matched(t), rhos=regress.RHOS[:2], repeats=2).select("fit_id", "rho", "rep", "hap_id", F.round("h", 4).alias("h"), "k")
+    return regress.fit_grid(*_matched(t)).select("fit_id", "rho", "rep", "hap_id", F.round("h", 4).alias("h"), "k")
 
 
 def solution(t: Tables) -> DataFrame:
-    return regress.solution(regress.fit_grid(*_matched(t), rhos=regress.RHOS[:2], repeats=2), t.compact_haps).select("hap_id", F.round("h", 4).alias("h"), "cseq")
+    return regress.solution(regress.fit_grid(*_matched(t)), t.compact_haps).select("hap_id", F.round("h", 4).alias("h"), "cseq")
 
 
 BUILD = {
@@ -357,7 +357,7 @@ BUILD = {
     "bucket_best": lambda t: support.bucket_best(t.fits),
     "elbow_pick": lambda t: support.elbow_pick(support.bucket_best(t.fits)),
     "local_prune": local_prune,
-    "stagewise_fit": lambda t: _fit(t, lambda g, r: regress.stagewise(g, r, 0.0, 1e-3)),
+    "stagewise_fit": lambda t: _fit(t, lambda g, r: regress.stagewise(g, r)),
     "lagrangian_fit": lambda t: _fit(t, lambda g, r: regress.lagrangian(g, r, 0.001, 1)),
     "refit": lambda t: _fit(t, lambda g, r: regress.refit(g, r, 0.001, 1)),
     "fit_grid": grid,

@@ -52,3 +52,23 @@ def test_fits_recover_the_shares(spark):
         h = {r.hap_id: r.h for r in QUERIES[name](spark, DIR).collect()}
         assert math.isclose(sum(h.values()), 1, abs_tol=1e-3)
         assert h[0] > h[1] > h[2] > 0
+
+
+def test_fits_and_samplers_run_in_full(spark, monkeypatch):
+    from strandflow.operators import cluster, regress
+
+    grid = QUERIES["fit_grid"](spark, DIR).groupBy("rho").agg({"rep": "count"}).collect()
+    assert sorted(r[0] for r in grid) == sorted(regress.RHOS) and {r[1] for r in grid} == {100 * 3}
+    said = []
+
+    def voted(reads, variants, windows, reference, **sampler):
+        said.append((windows.selectExpr("max(w_end - w_start)").first()[0], sampler))
+        return reads.selectExpr("start_pos", "seq", "cnt", "seq as voted_seq")
+
+    monkeypatch.setattr(cluster, "clustering_votes", voted)
+    QUERIES["clustering_passes"](spark, DIR)
+    assert said == [(50, {}), (60, {}), (70, {})]
+    monkeypatch.setattr(cluster, "gibbs_assign", lambda *_, **sampler: sampler)
+    assert QUERIES["gibbs_assign"](spark, DIR) == {}
+    monkeypatch.setattr(regress, "stagewise", lambda g, r, rho=0.0, step=regress.STEP: [step] * len(r))
+    assert {r.h for r in QUERIES["stagewise_fit"](spark, DIR).collect()} == {regress.STEP}
