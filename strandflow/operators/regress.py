@@ -122,7 +122,7 @@ def solution(fits: DataFrame, haps: DataFrame, least: float = LEAST) -> DataFram
     return fits.join(F.broadcast(chosen), "fit_id").where(F.col("h") > least).join(haps, "hap_id").select("hap_id", F.round("h", 6).alias("h"), "cseq")
 
 
-def local_prune(sets: list[tuple[list, np.ndarray, np.ndarray]], *, most: int = 1000, rho: float = 0.001, rounds: int = 30) -> list[list]:
+def local_prune(sets: list[tuple[list, np.ndarray, np.ndarray]], *, most: int = 1000, rho: float = 0.001, rounds: int = 30, step: float = STEP) -> list[list]:
     """Haplotype ids of each region after stagewise fits with rho doubled until the product of their numbers is below ``most``.
 
     ``sets``: (ids, PᵀP, Pᵀy) of each region.  Raises if ``rounds`` are not enough."""
@@ -132,7 +132,7 @@ def local_prune(sets: list[tuple[list, np.ndarray, np.ndarray]], *, most: int =
             return kept
         for i, (ids, g, r) in enumerate(sets):
             on = [ids.index(x) for x in kept[i]]
-            h = stagewise(g[np.ix_(on, on)], r[on], rho, 1e-3)
+            h = stagewise(g[np.ix_(on, on)], r[on], rho, step)
             kept[i] = [x for x, v in zip(kept[i], h, strict=True) if v >= LEAST] or kept[i][:1]
         rho *= 2
     raise RuntimeError(f"more than {most} global haplotypes after {rounds} rounds of pruning")

@@ -172,3 +172,10 @@ def test_running_pileup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got(spark.table("running"), "pos", "n_a", "n_c") == [(0, 1, 0), (1, 0, 2), (2, 0, 1)]
+
+
+def test_local_prune_steps_below_the_border():
+    r = np.array([0.6, 0.4, 0.0016])
+    fine, coarse = regress.stagewise(np.eye(3), r, 0.001), regress.stagewise(np.eye(3), r, 0.001, 1e-3)
+    assert fine[2] < regress.LEAST <= coarse[2]
+    assert regress.local_prune([(list("abc"), np.eye(3), r)], most=3, rounds=2) == [["a", "b"]]
