@@ -11,7 +11,8 @@ whose pages are all seeds gets by itself; a host is blocked where its distrust e
 that reaches a host without links is not passed on.
 
 The graph is a table of distinct host pairs with counts, the two ranks one row per host; each iteration is one join
-and one sum, staged every few iterations, and nothing is collected.
+and one sum, staged every few iterations, until all
+ranks are within ``tolerance`` of their limit; only the sum of the moves is collected.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and gets the default verdict
 if its (empty) host has no standing; a null page has no links; rows that repeat are judged alike; an empty table gives
@@ -46,8 +47,10 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def standing(pages: DataFrame, *, html: str, damping: float, rounds: int, every: int = 4) -> DataFrame:
-    """(host, trust, distrust) from pages with ``__host``, ``__verdict`` (of the rules) and their html."""
+def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None, tolerance: float, every: int = 4, most: int = 400) -> DataFrame:
+    """(host, trust, distrust) from pages with ``__host``, ``__verdict`` (of the rules) and their html.
+
+    ``rounds``: so many iterations; None: until ranks are within ``tolerance`` of their limit; raises after ``most``."""
     seeds = pages.groupBy(F.col("__host").alias("host")).agg(*(F.avg(F.when(F.col("__verdict") == v, 1.0).otherwise(0.0)).alias(f"{v}ed") for v in ("allow", "block")))
     linked = pages.select(F.col("__host").alias("a"), F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(REFERENCE), F.lit(1))).alias("b"))
     links = staged(linked.select("a", F.translate("b", UPPER, LOWER).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "host-links")
@@ -61,17 +64,25 @@ def standing(pages: DataFrame, *, html: str, damping: float, rounds: int, every:
     others = arcs.select(F.col("v").alias("host")).distinct().join(base, "host", "left_anti").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     base = staged(base.union(others), "host-seeds")
     rank = base
-    for k in range(1, rounds + 1):
+    for k in range(1, (most if rounds is None else rounds) + 1):
+        before = rank
         sent = rank.join(arcs, rank["host"] == arcs["u"]).select(F.col("v").alias("host"), F.when(F.col("forward"), F.col("trust") * F.col("w")).otherwise(0.0).alias("trust"), F.when(F.col("forward"), 0.0).otherwise(F.col("distrust") * F.col("w")).alias("distrust"))
         own = base
         moved = sent.select("host", *((damping * F.col(c)).alias(c) for c in ("trust", "distrust")))
         rank = own.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if k % every == 0 or k == rounds:
             rank = staged(rank, "host-ranks")
+            if rounds is None:  # ranks only grow, and what is still to come is in sum at most damping / (1 - damping) of the last moves
+                old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+                moved = rank.join(old, "host").agg(F.sum(F.col("trust") - F.col("t")), F.sum(F.col("distrust") - F.col("d"))).first()
+                if max(x or 0.0 for x in moved) * damping <= tolerance * (1 - damping):
+                    return rank
+    if rounds is None:
+        raise RuntimeError(f"ranks of hosts did not settle in {most} rounds")
     return rank
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int = 8, least: float = 0.5, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4, least: float = 0.5, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust``; ``keep``: input columns to pass through."""
     if len(rules) > 1000:
         raise ValueError("rules are one expression; join a table of more than 1000")
@@ -80,7 +91,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", h
     known = pages.withColumns({"__host": host, "__path": path})
     rule, verdict = rule_for(F.col("__host"), F.col("__path"), rules)
     known = known.withColumns({"__rule": rule, "__verdict": verdict})
-    ranks = standing(known, html=html, damping=damping, rounds=rounds)
+    ranks = standing(known, html=html, damping=damping, rounds=rounds, tolerance=tolerance)
     ranks = ranks.select(F.col("host").alias("__of"), F.col("trust").alias("__trust"), F.col("distrust").alias("__distrust"))
     passed = [c for c in (pages.columns if keep is None else keep) if c not in new]
     own = known.select(*passed, "__host", "__path", "__rule", "__verdict").join(ranks, F.col("__host") == F.col("__of"), "left")

@@ -225,3 +225,10 @@ def test_urls(spark):
         for i in range(n):
             assert math.isclose(ranks[f"h{i}.org"][side], x.get(i, 0), abs_tol=1e-12)
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
+
+
+def test_urls_reach_hosts_far_from_a_seed(spark):
+    n = 14
+    pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(n)] + [(n, "http://h0.org/ok/", "")]
+    got = {r.host: r.trust for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("allow", "org/ok/")]).collect()}
+    assert all(math.isclose(got[f"h{i}.org"], 0.5 * 0.85**i, abs_tol=1e-4) for i in range(n))
