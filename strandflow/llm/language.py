@@ -6,7 +6,8 @@ text is read whole; its language is the codeword with the least summed loss of t
 weighted by how well its classifier did on the sample.  Where the two best codewords are close, ``ambiguous`` is true.
 
 The classifiers are fitted on a bounded sample: about ``sample`` documents of each language, picked by a hash of their
-id, of at most ``sample_bytes`` of text in all.  Only text and language are learned from.
+id, of at most an equal share of ``sample_bytes`` of text each (its
+shortest text at least); a text that does not fit is left out.  Only text and language are learned from.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, or if there is nothing to learn from;
 rows that repeat are judged alike; an empty table gives an empty result; other input columns are ignored.
@@ -159,12 +160,15 @@ def fitted(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang:
         return Model([], [])
     rate = F.element_at(F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, sample / v))), F.col(lang))
     picked = learn.select(F.col(text).alias("t"), F.col(lang).alias("l"), unit(F.col(id_col), F.lit("lang")).alias("u"), rate.alias("rate")).where(F.col("u") < F.col("rate"))
-    rows, used = [], 0
+    rows, used, share = [], dict.fromkeys(counts, 0), sample_bytes / len(counts)
+    picked = picked.where(F.length("t") <= share)
     for t, lang_of in picked.orderBy(F.col("u") / F.col("rate"), "t").select("t", "l").limit(3 * sample * len(counts)).toLocalIterator():
-        used += len(t)
-        if used > sample_bytes and rows:
-            break
-        rows.append((t, lang_of))
+        if used[lang_of] + len(t) <= share:
+            used[lang_of] += len(t)
+            rows.append((t, lang_of))
+    rest = [k for k, n in used.items() if not n]
+    if rest:  # all of their picked texts are longer
+        rows += [(r.t, r.l) for r in learn.where(F.col(lang).isin(rest)).groupBy(F.col(lang).alias("l")).agg(F.min_by(text, F.struct(F.length(text), text)).alias("t")).collect()]
     return Model(*map(list, zip(*rows, strict=True))) if rows else Model([], [])
 
 

@@ -232,3 +232,11 @@ def test_urls_reach_hosts_far_from_a_seed(spark):
     pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(n)] + [(n, "http://h0.org/ok/", "")]
     got = {r.host: r.trust for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("allow", "org/ok/")]).collect()}
     assert all(math.isclose(got[f"h{i}.org"], 0.5 * 0.85**i, abs_tol=1e-4) for i in range(n))
+
+
+def test_language_sample_keeps_every_language(spark):
+    rows = [(i, ("lmnop " if i % 2 else "bcdfg ") * 10, "bb" if i % 2 else "aa") for i in range(60)] + [(100 + i, "bcdfg " * 2000, "aa") for i in range(20)] + [(200, "rstuv " * 2000, "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fitted(df, sample=1000, sample_bytes=12_000).langs == ["aa", "bb", "cc"]
+    alone = spark.createDataFrame([(1, "bcdfg " * 100, "aa"), (2, "bcdfg " * 3000, "aa"), (3, "lmnop " * 100, "bb")], "doc_id long, text string, lang string")
+    assert language.fitted(alone, sample=1000, sample_bytes=12_000).langs == ["aa", "bb"]
