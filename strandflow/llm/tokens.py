@@ -2,7 +2,7 @@
 
 Format.  A table of blocks (a Parquet file holds one column chunk per field; any Spark file system takes it).  A block
 holds the ids of consecutive documents in ascending order of id, each document followed by ``END``.  Re-Pair replaces
-frequent pairs of ids by nonterminals 2**16 - r ... until no pair is frequent; fields of a block:
+frequent pairs of ids by nonterminals until no pair is frequent or the 16-bit symbols run out; fields of a block:
 
   part, block      order of the block (parts hold disjoint, ascending id ranges; see ``starts``)
   first_id, tie    key of its first document
@@ -106,13 +106,15 @@ class Encoder:
         return out, at
 
 
-def pack(ids: np.ndarray, at: np.ndarray, first: int, rounds: int = 8, least: int = 12, most: int = 3000) -> dict:
-    """Re-Pair of the ids of a block whose documents begin at ``at``: packed, places, rules and sizes."""
+def pack(ids: np.ndarray, at: np.ndarray, first: int, least: int = 12, most: int = 3000) -> dict:
+    """Re-Pair of the ids of a block whose documents begin at ``at``: packed, places, rules and sizes.
+
+    Ends when no pair occurs ``least`` times or all symbols of 16 bits are used."""
     seq = ids.astype(np.uint16)
     left, right = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     starts = np.zeros(len(seq), dtype=bool)  # the first symbol of a document is never a right part
     starts[at[:-1]] = True
-    for _ in range(rounds):
+    while True:
         room = min(most, 65536 - first - len(left))
         if len(seq) < 2 or room <= 0:
             break

@@ -34,3 +34,13 @@ def test_pack_round_trip(seed):
         assert tokens.document(got, k, VOCABULARY).tolist() == ids[at[k] : at[k + 1]].tolist()
     if seed:
         assert len(got["packed"]) < 2 * len(ids)
+
+
+def test_pack_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(9)
+    one = np.concatenate((rng.permutation(49000)[:4000] + 2, [tokens.END]))
+    at = np.arange(41) * len(one)
+    ids = np.tile(one, 40)
+    got = tokens.pack(ids, at, VOCABULARY)
+    assert tokens.expanded(got["packed"], got["rules"], got["sizes"], VOCABULARY).tolist() == ids.tolist()
+    assert len(got["packed"]) == 2 * 40  # a symbol a document
