@@ -1,8 +1,8 @@
 """Near-duplicate documents by BagMinHash over five-word shingles, counted as often as they occur.
 
 Signature.  Of each shingle the weights (0, 1], (1, 2], (2, 4], (4, 8], ... are intervals with a Poisson process of
-their own, seeded by shingle and interval, at the interval's length as rate; a point bears a uniform slot and, by
-halving its interval, a uniform level in it.  A document takes the points of its shingles whose level is within the
+their own, seeded by shingle and interval, at the interval's length as rate; a point bears a uniform slot and a uniform
+level in its interval.  A document takes the points of its shingles whose level is within the
 shingle's count there; the least point of each slot is its signature.  Two documents agree in a slot with the
 probability of their weighted Jaccard similarity.  Points are made in ascending order up to the height at which all
 slots are expected to be filled, so their number depends on the slots and not on the length of the text.
@@ -10,9 +10,17 @@ slots are expected to be filled, so their number depends on the slots and not on
 Candidates.  The signature is cut in bands.  Equal word sequences are collapsed first.  In each bucket of a band one
 leader is paired with the members of other classes, in ``rounds`` rounds; the leaders differ from band to band at first.
 A pair is verified by the overlap of the two whole multisets of shingles, and links are joined to classes.  Leaders only
-come first, to join most documents with few pairs: in buckets that still hold several classes, all pairs of different
-classes are verified then.  So every two documents that share a bucket are verified or in one class already.  With the
-default 40 bands of 6 slots, two documents of similarity 0.8 share no bucket with probability 5e-6.
+come first, to join most documents with few pairs.  What they leave open is settled for every pair that shares a bucket:
+
+ * in a bucket of at most ``block`` members all pairs of different classes are verified, at most block - 1 a member;
+ * in larger ones (copies too far from their origin, documents that share a passage) shingles tell which pairs can
+   still reach ``least``.  Shingles are counted over all members of large buckets.  Pairs that share a rare shingle (of
+   ``rare`` members at most) are found by it.  A pair that shares none overlaps in common shingles only, so both
+   members' common shingles bound the size of the other: a document with a ninth of shingles of its own has no partner
+   of its size.  Members are met within bucket and size class, and only where the bound allows the pair.
+
+The bound is exact, so every two documents that share a bucket are verified, ruled out, or in one class already.  With
+the default 40 bands of 6 slots, two documents of similarity 0.8 share no bucket with probability 5e-6.
 
 Defined results: a text of one to four words has one shingle, all its words; a document without words (or null, or
 with a null id) is in a class of its own; rows of one id are one document; the class id is its least document id; an
@@ -160,7 +168,7 @@ def absorbed(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(every.join(top, every["comp"] == top["t"], "left").select("node", F.coalesce("ct", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 300) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 64, rare: int = 16) -> DataFrame:
     """(id, ``class_id``, ``kept``) of each distinct document id; one document of each class is kept."""
     slots = bands * rows
 
@@ -220,13 +228,51 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         pairs = now.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")).join(heads, "band")
         return voted(pairs.where("ca <> cb"))
 
+    def tokens(batches):
+        for batch in sub_batches(batches, "__text", 2 << 20):
+            hashes, of, _, _ = shingles(batch.column(1))
+            h, d, w = counted(hashes, of)
+            which = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            token = mixed(np.repeat(h, w) + which.astype(np.uint64) * _ODD)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(d, w))), pa.array(token.view(np.int64))], names=["node", "token"])
+
     def crossed(now: DataFrame) -> DataFrame:
-        """(a, b, votes): all pairs of an open bucket whose classes differ.  Members are dealt to blocks and blocks are
-        paired, so no key holds more than some hundred rows of a side."""
-        blocks = now.withColumn("g", F.ceil(F.col("c") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node", "band"), F.col("g")).cast("int"))
-        x = blocks.select("band", "i", F.explode(F.sequence("i", F.col("g") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-        y = blocks.select("band", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-        return voted(x.join(y, ["band", "i", "j"]).where("ca <> cb and (i < j or a < b)"))
+        """(a, b, votes): the pairs of an open bucket whose classes differ, in large buckets those that the bound allows."""
+        x, y = (now.where(F.col("c") <= block).select("band", *(F.col(c).alias(f"{c}{side}") for c in ("node", "comp", "n"))) for side in "ab")
+        x, y = (d.withColumnsRenamed({f"node{side}": side, f"comp{side}": f"c{side}"}) for d, side in ((x, "a"), (y, "b")))
+        near = voted(x.join(y, "band").where("a < b and ca <> cb"))
+        large = now.where(F.col("c") > block)
+        if large.isEmpty():
+            return near
+        both = (1 + least) / least - 1e-6  # an overlap of o allows sizes of o * both in sum
+        hot = large.groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.sort_array(F.collect_set("band")).alias("bands"))  # at most ``bands`` a text
+        token = staged(texts.join(hot.select("node"), "node", "left_semi").mapInArrow(tokens, "node long, token long"), "near-tokens")
+        seldom = token.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= rare)
+        seldom = staged(token.join(seldom, "token"), "near-rare")
+        total = token.groupBy("node").agg(F.count(F.lit(1)).alias("all"))
+        own = total.join(seldom.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
+        known = staged(hot.join(own.select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("common")), "node"), "near-common")
+
+        by_token = seldom.where("f > 1").select("token", "node")
+        met = by_token.withColumnRenamed("node", "a").join(by_token.withColumnRenamed("node", "b"), "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+        for side in "ab":
+            met = met.join(known.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}"), F.col("common").alias(f"o{side}")), side)
+        met = met.where((F.col("ca") != F.col("cb")) & ((F.col("k") + F.least("oa", "ob")) * both >= F.col("na") + F.col("nb"))).select("a", "b", F.lit(1).cast("long").alias("votes"))
+
+        def size_class(n):
+            return F.floor(F.log(n) / np.log(1.05)).cast("int")
+
+        member = large.select("band", "node", "comp", "n").join(known.select("node", "common", "bands"), "node").withColumn("reach", F.col("common") * both - F.col("n"))
+        member = staged(member.where(F.col("reach") >= (least - 1e-6) * F.col("n")).withColumn("class", size_class("n")).drop("common"), "near-members")
+        first = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+        member = member.join(first, "band").withColumn("probe", F.col("comp") != F.col("main")).drop("main")
+        cells = member.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("parts"))
+        y = member.join(cells, ["band", "class"]).select("band", "class", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("probe").alias("pb"), F.col("bands").alias("bb"))
+        fits = F.sequence(size_class(F.col("n") * least), F.greatest(size_class(F.col("n") * least), size_class(F.least(F.col("n") / least, "reach"))))
+        x = member.where("probe").withColumn("class", F.explode(fits)).join(cells, ["band", "class"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        x = x.select("band", "class", "part", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("bands").alias("ba"))
+        allowed = x.join(y, ["band", "class", "part"]).where("ca <> cb and nb <= ra and na <= rb and (a < b or not pb)").where(F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
+        return near.union(met).union(voted(allowed)).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
     def voted(pairs: DataFrame) -> DataFrame:
         near = pairs.where(F.least("na", "nb") >= (least - 1e-6) * F.greatest("na", "nb"))  # else the sizes alone rule it out
