@@ -15,11 +15,12 @@ come first, to join most documents with few pairs.  What they leave open is sett
  * in a bucket of at most ``block`` members all pairs of different classes are verified, at most block - 1 a member;
  * in larger ones (copies too far from their origin, documents that share a passage) shingles tell which pairs can
    still reach ``least``.  Shingles are counted over all members of large buckets.  Pairs that share a rare shingle (of
-   ``rare`` members at most) are found by it.  A pair that shares none overlaps in common shingles only, so both
+   three members at most) are found by it.  A pair that shares none overlaps in common shingles only, so both
    members' common shingles bound the size of the other: a document with a ninth of shingles of its own has no partner
    of its size.  Members are met within bucket and size class, and only where the bound allows the pair.
 
-The bound is exact, so every two documents that share a bucket are verified, ruled out, or in one class already.  With
+Both look at a pair's odd sketches first (parities of hashed shingles), which bound from below in how many shingles the
+two differ.  All bounds are exact, so every two documents that share a bucket are verified, ruled out, or in one class already.  With
 the default 40 bands of 6 slots, two documents of similarity 0.8 share no bucket with probability 5e-6.
 
 Defined results: a text of one to four words has one shingle, all its words; a document without words (or null, or
@@ -123,10 +124,26 @@ def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def expanded_set(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A multiset as a sorted set of 32-bit values, one for each occurrence of a shingle."""
+def expanded(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Multisets as sets: a value for each occurrence of a shingle, equal over documents."""
     which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.unique((mixed(np.repeat(hashes, count) + which.astype(np.uint64) * _ODD) >> np.uint64(32)).astype(np.uint32))
+    return mixed(np.repeat(hashes, count) + which.astype(np.uint64) * _ODD)
+
+
+ODD_LONGS = 16
+
+
+def odd_sketch(values: np.ndarray, of: np.ndarray, n_docs: int) -> np.ndarray:
+    """Bits [document, long] that tell whether the values that hash to a bit are odd in number.  Two sets that differ in
+    d values differ in d bits at most, as common values cancel out."""
+    bits = ODD_LONGS * 64
+    at = of.astype(np.int64) * bits + (mixed(values ^ _ODD) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n_docs * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(n_docs, ODD_LONGS)
+
+
+def bits_apart(x: str, y: str):
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, ODD_LONGS)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
 
 
 def _node(df: DataFrame, id_col: str):
@@ -168,7 +185,7 @@ def absorbed(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(every.join(top, every["comp"] == top["t"], "left").select("node", F.coalesce("ct", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 64, rare: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 64) -> DataFrame:
     """(id, ``class_id``, ``kept``) of each distinct document id; one document of each class is kept."""
     slots = bands * rows
 
@@ -185,8 +202,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         for batch in sub_batches(batches, "__text", 2 << 20):
             hashes, of, _, _ = shingles(batch.column(1))
             h, d, w = counted(hashes, of)
-            cut = np.searchsorted(d, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([expanded_set(h[i:j], w[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "bag"])
+            token = expanded(h, w)
+            cut = np.concatenate(([0], np.cumsum(np.bincount(d, weights=w, minlength=batch.num_rows)))).astype(np.int64)
+            odd = odd_sketch(token, np.repeat(d, w), batch.num_rows)
+            bag = [np.unique((token[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(token.view(np.int64)))
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * ODD_LONGS, pa.int32()), pa.array(odd.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bag, pa.binary()), lists, sketch], names=["node", "bag", "tokens", "odd"])
 
     def overlap(batches):
         for batch in batches:
@@ -208,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
     keyed = staged(keyed.join(shared, "band"), "near-buckets")  # buckets of two and more only
     wanted = keyed.select("node").distinct()
-    bags = staged(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, bag binary"), "near-bags")
+    bags = staged(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, bag binary, tokens array<long>, odd array<long>"), "near-bags")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         one_side = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
@@ -228,50 +250,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         pairs = now.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")).join(heads, "band")
         return voted(pairs.where("ca <> cb"))
 
-    def tokens(batches):
-        for batch in sub_batches(batches, "__text", 2 << 20):
-            hashes, of, _, _ = shingles(batch.column(1))
-            h, d, w = counted(hashes, of)
-            which = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            token = mixed(np.repeat(h, w) + which.astype(np.uint64) * _ODD)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(d, w))), pa.array(token.view(np.int64))], names=["node", "token"])
-
     def crossed(now: DataFrame) -> DataFrame:
-        """(a, b, votes): the pairs of an open bucket whose classes differ, in large buckets those that the bound allows."""
-        x, y = (now.where(F.col("c") <= block).select("band", *(F.col(c).alias(f"{c}{side}") for c in ("node", "comp", "n"))) for side in "ab")
-        x, y = (d.withColumnsRenamed({f"node{side}": side, f"comp{side}": f"c{side}"}) for d, side in ((x, "a"), (y, "b")))
-        near = voted(x.join(y, "band").where("a < b and ca <> cb"))
+        """(a, b, votes): the pairs of an open bucket whose classes differ, in large buckets those that the bound allows.
+
+        Of either, only pairs whose sketches leave room: sets with at least ``least`` in common differ in few values."""
+        now = now.join(bags.select("node", "odd"), "node")
+        room = (bits_apart("oa", "ob") * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1e-6) & (F.least("na", "nb") >= (least - 1e-6) * F.greatest("na", "nb"))
+        names = {"node": "", "comp": "c", "n": "n", "odd": "o"}
+        x, y = (now.where(F.col("c") <= block).select("band", *(F.col(c).alias(short + side) for c, short in names.items())) for side in "ab")
+        near = voted(x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room))
         large = now.where(F.col("c") > block)
         if large.isEmpty():
             return near
         both = (1 + least) / least - 1e-6  # an overlap of o allows sizes of o * both in sum
         hot = large.groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.sort_array(F.collect_set("band")).alias("bands"))  # at most ``bands`` a text
-        token = staged(texts.join(hot.select("node"), "node", "left_semi").mapInArrow(tokens, "node long, token long"), "near-tokens")
-        seldom = token.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= rare)
-        seldom = staged(token.join(seldom, "token"), "near-rare")
-        total = token.groupBy("node").agg(F.count(F.lit(1)).alias("all"))
-        own = total.join(seldom.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
+        hot = staged(hot, "near-hot")
+        of_hot = bags.join(hot.select("node"), "node", "left_semi")
+        token = of_hot.select("node", F.explode("tokens").alias("token"))
+        held = token.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("p"), F.max("node").alias("q"), F.bit_xor("node").alias("x")).where("f <= 3")
+        # up to three rows of a token: p, q, and what is left of x
+        held = staged(held.select(F.array_distinct(F.array("p", "q", F.when(F.col("f") == 3, F.col("x").bitwiseXOR(F.col("p")).bitwiseXOR(F.col("q"))).otherwise(F.col("p")))).alias("who")), "near-rare")
+        total = of_hot.groupBy("node").agg(F.sum(F.size("tokens")).alias("all"))
+        own = total.join(held.select(F.explode("who").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
         known = staged(hot.join(own.select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("common")), "node"), "near-common")
 
-        by_token = seldom.where("f > 1").select("token", "node")
-        met = by_token.withColumnRenamed("node", "a").join(by_token.withColumnRenamed("node", "b"), "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+        by_token = held.where("size(who) > 1").select("who", F.posexplode("who").alias("i", "a")).select("a", F.explode(F.expr("slice(who, i + 2, 2)")).alias("b"))
+        met = by_token.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         for side in "ab":
-            met = met.join(known.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}"), F.col("common").alias(f"o{side}")), side)
-        met = met.where((F.col("ca") != F.col("cb")) & ((F.col("k") + F.least("oa", "ob")) * both >= F.col("na") + F.col("nb"))).select("a", "b", F.lit(1).cast("long").alias("votes"))
+            met = met.join(known.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}"), F.col("common").alias(f"s{side}")), side)
+        met = met.where((F.col("ca") != F.col("cb")) & ((F.col("k") + F.least("sa", "sb")) * both >= F.col("na") + F.col("nb"))).select("a", "b", F.lit(1).cast("long").alias("votes"))
 
         def size_class(n):
             return F.floor(F.log(n) / np.log(1.05)).cast("int")
 
-        member = large.select("band", "node", "comp", "n").join(known.select("node", "common", "bands"), "node").withColumn("reach", F.col("common") * both - F.col("n"))
+        member = large.select("band", "node", "comp", "n", "odd").join(known.select("node", "common", "bands"), "node").withColumn("reach", F.col("common") * both - F.col("n"))
         member = staged(member.where(F.col("reach") >= (least - 1e-6) * F.col("n")).withColumn("class", size_class("n")).drop("common"), "near-members")
         first = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
         member = member.join(first, "band").withColumn("probe", F.col("comp") != F.col("main")).drop("main")
         cells = member.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("parts"))
-        y = member.join(cells, ["band", "class"]).select("band", "class", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("probe").alias("pb"), F.col("bands").alias("bb"))
+        y = member.join(cells, ["band", "class"]).select("band", "class", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("probe").alias("pb"), F.col("bands").alias("bb"), F.col("odd").alias("ob"))
         fits = F.sequence(size_class(F.col("n") * least), F.greatest(size_class(F.col("n") * least), size_class(F.least(F.col("n") / least, "reach"))))
         x = member.where("probe").withColumn("class", F.explode(fits)).join(cells, ["band", "class"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        x = x.select("band", "class", "part", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("bands").alias("ba"))
-        allowed = x.join(y, ["band", "class", "part"]).where("ca <> cb and nb <= ra and na <= rb and (a < b or not pb)").where(F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
+        x = x.select("band", "class", "part", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("bands").alias("ba"), F.col("odd").alias("oa"))
+        allowed = x.join(y, ["band", "class", "part"]).where("ca <> cb and nb <= ra and na <= rb and (a < b or not pb)").where(room).where(F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
         return near.union(met).union(voted(allowed)).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
     def voted(pairs: DataFrame) -> DataFrame:
