@@ -26,8 +26,8 @@ first; an empty table gives no block; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
 import zlib
 from array import array
 from string import punctuation
@@ -45,64 +45,111 @@ from .common import new_path, sub_batches, words_of
 END = 1
 
 
+#: The tokenizer steps for which ids follow word by word; fixed values of the file format.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False}
+#: Letters that NFC leaves as they are and that have one lower-case letter.
+_LATIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
+
+
+def by_word(file: str) -> bool:
+    """Whether a tokenizer file has exactly the steps for which a text's ids are its words' ids in a row."""
+    with open(file, encoding="utf-8") as f:
+        known = json.load(f)
+    blank = any(" " in t["content"].strip() or t.get("lstrip") or t.get("rstrip") for t in known.get("added_tokens", []))
+    model = known.get("model", {})
+    return known.get("normalizer") == _NORMALIZER and known.get("pre_tokenizer") == _PRE_TOKENIZER and not blank and all(model.get(k, v) == v for k, v in _PLAIN_MODEL.items())
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _gathered(flat: np.ndarray, where: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``flat[where[i]:where[i] + size[i]]`` of all ``index`` in a row, and where each begins (one more at the end)."""
+    run = size[index]
+    before = np.concatenate(([0], np.cumsum(run)))
+    return flat[np.arange(before[-1]) + np.repeat(where[index] - before[:-1], run)], before
+
+
 class Encoder:
-    """A tokenizer file's encoding of whole texts, remembered per word between ASCII blanks.
+    """A tokenizer file's encoding of whole texts.
 
-    No pre-token of the tokenizer crosses a blank, so a text's ids are its words' ids in a row.  Of letters with marks
-    behind them it makes two pre-tokens, so their ids follow from those of the lower-cased letters, which go straight
-    to the library's BPE model, and of the marks; all other words go through the whole tokenizer."""
+    With a tokenizer that is known to work word by word (``by_word``) each distinct word between ASCII blanks is encoded
+    once: no pre-token crosses a blank.  Of Latin letters with marks behind them it makes two pre-tokens, so their ids
+    follow from those of the lower-cased letters, which go straight to the library's BPE model, and of the marks; all
+    other words go through the whole tokenizer.  With any other file whole texts go through the library."""
 
     def __init__(self, file: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.most = Tokenizer.from_file(file), most
-        self.model, self.level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain = type(self.model).__name__ == "BPE"
-        self.words: dict[str, bytes] = {}
+        self.tokenizer, self.most, self.by_word = Tokenizer.from_file(file), most, by_word(file)
+        self.model = self.tokenizer.model
+        self.letters: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        got = self.others[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return got
 
-    def _new(self, word: str) -> bytes:
-        """Ids of one word as unsigned 32-bit integers, remembered."""
-        core = word.rstrip(punctuation)
-        if not (self.plain and core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core)))):
-            got = self._whole(word)
-        else:
-            low = core.lower()
-            got = self.words.get(low)
-            if got is None:
-                mapped = low if low.isascii() else self.level.pre_tokenize_str(low)[0][0]
-                got = self.words[low] = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
-            if len(core) < len(word):
-                tail = word[len(core) :]
-                if tail not in self.words:
-                    self.words[tail] = self._whole(tail)
-                got = got + self.words[tail]
-        self.words[word] = got
+    def _bpe(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        got = self.letters[word] = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
         return got
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's begin (one more at the end)."""
+        core = pc.utf8_rtrim(words, characters=punctuation)
+        plain = pc.match_substring_regex(core, _LATIN)
+        is_plain = np.asarray(plain.to_numpy(zero_copy_only=False), dtype=bool)
+        marked = is_plain & np.asarray(pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False), dtype=bool)
+        low = pc.utf8_lower(core.filter(plain)).dictionary_encode()
+        tails = pa.array([w[len(c) :] for w, c in zip(words.filter(pa.array(marked)).to_pylist(), core.filter(pa.array(marked)).to_pylist(), strict=True)], pa.string()).dictionary_encode()
+        letters, others, bpe, whole = self.letters.get, self.others.get, self._bpe, self._whole
+        parts = [b""]
+        parts += [letters(w) or bpe(w) for w in low.dictionary.to_pylist()]
+        n_low = len(parts)
+        parts += [others(w) or whole(w) for w in tails.dictionary.to_pylist()]
+        n_tail = len(parts)
+        parts += [others(w) or whole(w) for w in words.filter(pa.array(~is_plain)).to_pylist()]
+        size = np.fromiter((len(p) >> 2 for p in parts), dtype=np.int64, count=len(parts))
+        where = np.concatenate(([0], np.cumsum(size)[:-1]))
+        pieces = np.zeros((len(words), 2), dtype=np.int64)  # a word's core (or all of it) and its marks
+        pieces[is_plain, 0] = 1 + np.asarray(low.indices, dtype=np.int64)
+        pieces[marked, 1] = n_low + np.asarray(tails.indices, dtype=np.int64)
+        pieces[~is_plain, 0] = n_tail + np.arange(len(parts) - n_tail)
+        flat, before = _gathered(np.frombuffer(b"".join(parts), dtype=np.uint32), where, size, pieces.ravel())
+        return flat, before[::2]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a batch of texts, each followed by END, and where each begins (one more at the end)."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        words, starts = words_of(texts)
-        known, new = self.words.get, self._new
-        parts = [known(w) or new(w) for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        sizes = np.fromiter((len(p) >> 2 for p in parts), dtype=np.int64, count=len(parts))
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
-        where = np.concatenate(([0], np.cumsum(sizes)))
-        index = np.asarray(words.indices, dtype=np.int64)
-        size = sizes[index] if len(index) else index
-        before = np.concatenate(([0], np.cumsum(size)))
-        at = before[starts] + np.arange(len(starts))  # END of the documents before
+        if len(self.letters) + len(self.others) > self.most:
+            self.letters.clear(), self.others.clear()
+        if self.by_word:
+            words, starts = words_of(texts)
+            flat, where = self._words(words.dictionary)
+            ids, before = _gathered(flat, where[:-1], np.diff(where), np.asarray(words.indices, dtype=np.int64))
+            before = before[starts]
+        else:
+            got = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            ids, before = np.array([i for x in got for i in x], dtype=np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
+        at = before + np.arange(len(before))  # END of the documents before
         out = np.full(int(at[-1]), END, dtype=np.uint32)
-        if len(index):
-            to = np.arange(before[-1])
-            ids = flat[to + np.repeat(where[index] - before[:-1], size)]
-            out[to + np.repeat(np.arange(len(starts) - 1), np.diff(before[starts]))] = ids
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(before) - 1), np.diff(before))] = ids
         return out, at
 
 

@@ -44,3 +44,38 @@ def test_pack_goes_on_until_no_pair_is_frequent():
     got = tokens.pack(ids, at, VOCABULARY)
     assert tokens.expanded(got["packed"], got["rules"], got["sizes"], VOCABULARY).tolist() == ids.tolist()
     assert len(got["packed"]) == 2 * 40  # a symbol a document
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        known = json.load(f)
+    known["normalizer"] = {"type": "Sequence", "normalizers": known["normalizer"]["normalizers"][:2]}  # no lower-casing
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(known, f)
+    assert tokens.by_word(tokenizer_file()) and not tokens.by_word(path)
+    texts = ["Hello World", None, "", "Naïve, ÉÉ!! x"]
+    ids, at = tokens.Encoder(path).encode(pa.array(texts))
+    for i, x in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids + [1]
+
+
+def test_file_gives_the_ids_of_the_library(spark, tmp_path):
+    """Ids, places and checksums of a whole table, read back from its file, against the library on whole texts."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file())
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    path = tokens.write_tokens(df, f"file://{tmp_path}/t", tokenizer_file(), vocabulary=VOCABULARY, block_tokens=20_000)
+    start = 0
+    got = {r.doc_id: r for r in tokens.read_tokens(spark, path, vocabulary=VOCABULARY).collect()}
+    for r in df.orderBy("doc_id").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [1]
+        assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
