@@ -73,6 +73,12 @@ def path_of(df: DataFrame) -> list[str]:
     return sorted({f.rpartition("/")[0] for f in df.inputFiles()})
 
 
+def others(columns: list[str], new) -> list[str]:
+    """The columns that none of ``new`` replaces; like Spark's, names differ by more than case."""
+    taken = {c.lower() for c in new}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def unit(*cols: Column | str) -> Column:
     """A uniform number in [0, 1) that depends on the columns only, so that reruns and retries agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

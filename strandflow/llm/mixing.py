@@ -9,9 +9,10 @@ in order of size and the expected copies summed up to each; with one random offs
 once for each integer that the running sum crosses.  So a document gets the rounded-down or rounded-up number of
 copies, and, since neighbours are of like size, the size taken stays within about one document of the target.
 
-Running sums are in two levels: a source is cut into blocks by size class and a hash of the id, blocks are counted and
-their counts summed, and rows are numbered within their block.  So a source that holds most rows is still spread over
-many tasks.  Everything depends on the rows alone: reruns agree.
+The order is size, then a hash of the id, whatever the number of rows.  Running sums are in three levels: rows of each
+size of a source, of each range of hashes in a size, and of each row in a range.  So a source, or a size, that holds
+most rows is still spread over many tasks, and no window sees more than the sizes of a source, the ranges of a size or
+the rows of a range.  Everything depends on the rows alone: reruns agree.
 
 Defined results: a null or empty document has size 0; a null source is a source of its own, last in order; a source of
 size 0 has target 0; equal rows are numbered in any order among themselves, so their copies may be swapped; an empty
@@ -20,15 +21,13 @@ table gives an empty result.  Other columns pass through; result columns replace
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, others, staged
 
-#: Rows of the whole table for each hash class of a source's size class.
-BLOCK_ROWS = 20_000
+#: Hexadecimal digits of the hash that make a range: 16 to this power ranges for each size of a source.
+RANGE_DIGITS = 3
 
 
 def n_words(text: str) -> Column:
@@ -54,35 +53,40 @@ def offset(absent: Column, name: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), budget_percent: int = 150, most: int = 2, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, size: Column | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), budget_percent: int = 150, most: int = 2, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix emits each row (see ``emitted``).
 
-    ``size`` is a document's size, by default its words.  Sources in code-point order get the weights in turn."""
-    new = ["size", "source_size", "target", "copies"]
-    passed = [c for c in docs.columns if c not in new]
+    ``size`` is a document's size, by default its words; ``keep`` names the input columns to pass through (default: all).  Sources in code-point order get the weights in turn."""
+    passed = others(docs.columns if keep is None else keep, ["size", "source_size", "target", "copies"])
+    tie = [F.xxhash64(text)] if text in docs.columns else []
     sized = docs.select(
         *passed,
         (n_words(text) if size is None else size).alias("__size"),
         F.col(source).isNull().cast("int").alias("__absent"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__name"),
         F.col(id_col).alias("__id"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("__hash"),
+        (tie[0] if tie else F.lit(0)).alias("__tie"),
     )
-    salts = max(1, ceil(docs.count() / BLOCK_ROWS))
-    block = ["__absent", "__name", "__class", "__salt"]
-    dealt = sized.withColumns({"__class": F.floor(F.log2(F.col("__size") + 1) * 4).cast("int"), "__salt": F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")})
-    blocks = staged(dealt.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__sum")), "mix-blocks")
-    plan = targets(blocks.groupBy(F.col("__absent").alias("absent"), F.col("__name").alias("name")).agg(F.sum("__sum").alias("size")), weights, budget_percent, most)
-    before = F.sum("__n").over(Window.partitionBy("__absent", "__name").orderBy("__class", "__salt")) - F.col("__n")
-    placed = blocks.withColumn("__before", before).join(plan, (F.col("__absent") == F.col("absent")) & (F.col("__name") == F.col("name")))
-    placed = placed.select(*block, "__before", F.col("size").alias("source_size"), "target", offset(F.col("absent"), F.col("name"), seed).alias("__offset"))
-    number = F.col("__before") + F.row_number().over(Window.partitionBy(*block).orderBy("__size", "__id"))
+    named, sizes = ["__absent", "__name"], ["__absent", "__name", "__size"]
+    ranges = [*sizes, "__range"]
+    dealt = sized.withColumn("__range", F.substring("__hash", 1, RANGE_DIGITS))
+    counted = staged(dealt.groupBy(*ranges).agg(F.count(F.lit(1)).alias("__n")), "mix-ranges")
+    by_size = staged(counted.groupBy(*sizes).agg(F.sum("__n").alias("__n")), "mix-sizes")
+    plan = targets(by_size.groupBy(F.col("__absent").alias("absent"), F.col("__name").alias("name")).agg(F.sum(F.col("__n") * F.col("__size")).alias("size")), weights, budget_percent, most)
+    smaller = F.sum("__n").over(Window.partitionBy(*named).orderBy("__size")) - F.col("__n")
+    of_size = by_size.withColumn("__smaller", smaller).drop("__n").join(plan, (F.col("__absent") == F.col("absent")) & (F.col("__name") == F.col("name")))
+    inside = F.sum("__n").over(Window.partitionBy(*sizes).orderBy("__range")) - F.col("__n")
+    placed = counted.withColumn("__inside", inside).drop("__n").join(of_size, sizes)
+    placed = placed.select(*ranges, (F.col("__smaller") + F.col("__inside")).alias("__before"), F.col("size").alias("source_size"), "target", offset(F.col("absent"), F.col("name"), seed).alias("__offset"))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy(*ranges).orderBy("__hash", "__id", "__tie"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(F.col("__offset") + number * rate) - F.floor(F.col("__offset") + (number - 1) * rate)
-    rows = dealt.join(placed.hint("merge"), block)
+    rows = dealt.join(placed.hint("merge"), ranges)
     return rows.select(*passed, F.col("__size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of ``mix`` once per copy, without the columns that ``mix`` added."""
-    often = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    often = mixed.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return often.drop("__copy", "size", "source_size", "target", "copies")

@@ -15,7 +15,7 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(2
   / sum(weight) OVER (ORDER BY source_size / weight, absent, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT absent, name, source_size, least(2.0::DOUBLE * source_size, greatest((SELECT max(level) FROM l), 0) * weight) AS target,
   CAST(CAST('0x' || substr(md5('mix|' || (CASE WHEN absent THEN '1' ELSE '0' END) || '|' || name), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS o FROM l),
-n AS (SELECT d.*, source_size, target, o, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.absent, d.name ORDER BY size, doc_id) AS k FROM d JOIN t USING (absent, name)),
+n AS (SELECT d.*, source_size, target, o, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.absent, d.name ORDER BY size, md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) AS k FROM d JOIN t USING (absent, name)),
 c AS (SELECT *, CAST(floor(o + k * rate) - floor(o + (k - 1) * rate) AS BIGINT) AS copies FROM n)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c""",
     "op6_substrings": f"""

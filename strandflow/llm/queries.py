@@ -57,14 +57,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    got = mix(table(spark, sf_dir, "documents"))
+    got = mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
-    got = shard(table(spark, sf_dir, "documents"))
+    got = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

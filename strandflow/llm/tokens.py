@@ -153,7 +153,7 @@ class Encoder:
         return out, at
 
 
-def pack(ids: np.ndarray, at: np.ndarray, first: int, least: int = 12, most: int = 3000) -> dict:
+def pack(ids: np.ndarray, at: np.ndarray, first: int, least: int = 12, most: int = 6000) -> dict:
     """Re-Pair of the ids of a block whose documents begin at ``at``: packed, places, rules and sizes.
 
     Ends when no pair occurs ``least`` times or all symbols of 16 bits are used."""

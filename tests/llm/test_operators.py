@@ -240,3 +240,28 @@ def test_language_sample_keeps_every_language(spark):
     assert language.fitted(df, sample=1000, sample_bytes=12_000).langs == ["aa", "bb", "cc"]
     alone = spark.createDataFrame([(1, "bcdfg " * 100, "aa"), (2, "bcdfg " * 3000, "aa"), (3, "lmnop " * 100, "bb")], "doc_id long, text string, lang string")
     assert language.fitted(alone, sample=1000, sample_bytes=12_000).langs == ["aa", "bb"]
+
+
+def test_mixing_does_not_depend_on_the_number_of_rows(spark):
+    """30,000 rows, a third of one size and source, against a plain walk in the order of the SQL."""
+    rows = [(i, "w " * (7 if i % 3 == 0 else i % 40), "a" if i % 3 == 0 else "bc"[i % 2]) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix(df, keep=["doc_id", "source"]).collect()}
+    for name in "abc":
+        mine = sorted((len(t.split()), hashlib.md5(str(i).encode()).hexdigest(), i) for i, t, s in rows if s == name)
+        rate = got[mine[0][2]].target / sum(n for n, _, _ in mine)
+        offset = int(hashlib.md5(f"mix|0|{name}".encode()).hexdigest()[:13], 16) / 2**52
+        for k, (_, _, i) in enumerate(mine, 1):
+            assert got[i].copies == math.floor(offset + k * rate) - math.floor(offset + (k - 1) * rate)
+
+
+def test_sharding_is_uniform(spark):
+    """Shards and slots of equal texts and of ids in a row look like draws at random."""
+    df = spark.range(16_000).selectExpr("id as doc_id", "concat('t', id % 3) as text")
+    got = sharding.shard(df).collect()
+    pairs = Counter((r.shard, r.doc_id // 1000) for r in got)  # 16 x 16 cells of 62.5 expected
+    chi = sum((pairs[(s, b)] - 62.5) ** 2 / 62.5 for s in range(16) for b in range(16))
+    assert 150 < chi < 330
+    place = Counter((r.slot // 100, r.doc_id // 1000) for r in got)
+    chi = sum((place[(s, b)] - 100) ** 2 / 100 for s in range(10) for b in range(16))
+    assert 80 < chi < 240
