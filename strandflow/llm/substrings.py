@@ -15,8 +15,9 @@ next its edges.
     their source coordinates: repeated within their own text, or counted among the hashes of all candidate windows, of
     which a text sends each once.
 
-Hashes of windows have 64 bits, keys of texts 128.  No step gathers the occurrences of a node or window: counts are
-partial sums, and joins are keyed so that a frequent key is split.
+Hashes of windows have 64 bits, keys of texts 128.  No step gathers the occurrences of a node, edge or window: counts
+are partial sums over ``SPLIT`` parts of each key, and what a key's count says is joined back by key and part, so that
+the occurrences of a frequent key lie in as many tasks.
 
 Defined results: a null or empty text has no words and nothing is removed; texts shorter than the window stay whole;
 of rows that repeat each loses the repeated words, none is left as the original; an empty table gives an empty result;
@@ -31,12 +32,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, staged, sub_batches, window_hashes, word_hashes, words_of
 
 K = 8
+#: Parts of each key in joins of occurrences with their counts.
+SPLIT = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,31 +130,46 @@ def _texts(batches, column: int):
         yield batch, [([distinct[i] for i in index[a:b]], h[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
+def _part(*cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(SPLIT)).cast("int")
+
+
+def with_totals(rows: DataFrame, key: str, what: dict, more: DataFrame | None = None) -> DataFrame:
+    """(key, part, *what) of the parts of each key that occur in ``rows``: sums of counts and greatest values over all
+    parts.  ``what`` maps names to "sum" or "max" of columns of ``rows``; ``more``: further counted rows of part -1."""
+    by_part = rows.groupBy(key, "part").agg(*(getattr(F, how)(name).alias(name) for name, how in what.items()))
+    if more is not None:
+        by_part = by_part.unionByName(more)
+    over = Window.partitionBy(key)
+    return by_part.select(key, "part", *(getattr(F, how)(name).over(over).alias(name) for name, how in what.items())).where("part >= 0")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", window: int = 35, k: int = K) -> DataFrame:
     """(id, ``n_words``, ``n_removed``, ``kept_sha256``, ``removed``) of each row; ``removed``: spans of word places, end exclusive."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("__text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("__text"))  # id and tie tell texts apart
 
     def read(batches):
-        for batch, rows in _texts(batches, 1):
+        for batch, rows in _texts(batches, 2):
             keys = [_key(h) for _, h in rows]
             graphs = [graph_of(h, window, k) for _, h in rows]
             blob = lambda j: pa.array([g[j].tobytes() for g in graphs], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in keys]), pa.array([b for _, b in keys]), pa.array([len(h) for _, h in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w, _ in rows], pa.binary()), pa.ListArray.from_arrays(*_lists([g[0] for g in graphs], pa.int32())), pa.ListArray.from_arrays(*_lists([g[1].view(np.int64) for g in graphs], pa.int64())), pa.ListArray.from_arrays(*_lists([g[2].view(np.int64) for g in graphs], pa.int64()))], names=["id", "c1", "c2", "n_words", "sha", "at", "node", "edge"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in keys]), pa.array([b for _, b in keys]), pa.array([len(h) for _, h in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w, _ in rows], pa.binary()), pa.ListArray.from_arrays(*_lists([g[0] for g in graphs], pa.int32())), pa.ListArray.from_arrays(*_lists([g[1].view(np.int64) for g in graphs], pa.int64())), pa.ListArray.from_arrays(*_lists([g[2].view(np.int64) for g in graphs], pa.int64()))], names=["id", "tie", "c1", "c2", "n_words", "sha", "at", "node", "edge"])
 
-    read_all = staged(texts.mapInArrow(read, f"id {kind}, c1 long, c2 long, n_words long, sha binary, at array<int>, node array<long>, edge array<long>"), "repeat-graph")
+    read_all = staged(texts.mapInArrow(read, f"id {kind}, tie long, c1 long, c2 long, n_words long, sha binary, at array<int>, node array<long>, edge array<long>"), "repeat-graph")
     long = read_all.where(F.col("n_words") >= window)
-    contents = staged(long.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id")), "repeat-contents")
-    first = long.join(contents.select("c1", "c2", F.col("id").alias("own")), ["c1", "c2"]).where(F.col("id").eqNullSafe(F.col("own")))
-    places = first.select("c1", "c2", F.explode(F.arrays_zip("at", "node", "edge")).alias("x")).select("c1", "c2", "x.at", "x.node", "x.edge")
-    nodes = places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    followed = staged(places.join(nodes, "node"), "repeat-nodes")  # every place of a repeated node
-    edges = followed.groupBy("edge").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where("m = n").select("edge", F.lit(True).alias("only"))
-    marked = followed.join(edges, "edge", "left").select("c1", "c2", "at", F.coalesce("only", F.lit(False)).alias("solid"))
+    own = F.struct("id", "tie")
+    contents = long.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(own).alias("own"))
+    contents = staged(contents.select("c1", "c2", "copies", "own.id", "own.tie"), "repeat-contents")
+    first = long.join(contents.select("c1", "c2", F.col("id").alias("own"), F.col("tie").alias("own_tie")), ["c1", "c2"]).where(F.col("id").eqNullSafe(F.col("own")) & (F.col("tie") == F.col("own_tie")))
+    places = first.select("c1", "c2", F.explode(F.arrays_zip("at", "node", "edge")).alias("x")).select("c1", "c2", "x.at", "x.node", "x.edge").withColumn("part", _part("c1", "c2", "at"))
+    nodes = with_totals(places.withColumn("n", F.lit(1)), "node", {"n": "sum"}).where("n > 1")
+    followed = staged(places.join(nodes, ["node", "part"]), "repeat-nodes")  # every place of a repeated node
+    edges = with_totals(followed.withColumn("m", F.lit(1)), "edge", {"m": "sum", "n": "max"}).where("m = n").select("edge", "part", F.lit(True).alias("only"))
+    marked = followed.join(edges, ["edge", "part"], "left").select("c1", "c2", "at", F.coalesce("only", F.lit(False)).alias("solid"))
     of_text = staged(marked.groupBy("c1", "c2").agg(F.sort_array(F.collect_set(F.struct("at", "solid"))).alias("nodes")), "repeat-paths")  # at most a text's anchors
-    sources = of_text.join(contents.select("c1", "c2", "id"), ["c1", "c2"])
-    wanted = sources.select(F.col("id").alias("w"), "c1", "c2", "nodes")
-    with_text = texts.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("c1", "c2", F.col("nodes.at").alias("at"), F.col("nodes.solid").alias("solid"), "__text")
+    wanted = of_text.join(contents, ["c1", "c2"]).select(F.col("id").alias("w"), F.col("tie").alias("w_tie"), "c1", "c2", "nodes")
+    with_text = texts.join(wanted, F.col("id").eqNullSafe(F.col("w")) & (F.col("tie") == F.col("w_tie"))).select("c1", "c2", F.col("nodes.at").alias("at"), F.col("nodes.solid").alias("solid"), "__text")
 
     def judge(batches):
         for batch, rows in _texts(batches, 4):
@@ -173,14 +191,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
 
     judged = staged(with_text.mapInArrow(judge, "c1 long, c2 long, sure array<int>, open array<int>, open_hash array<long>, sure_hash array<long>"), "repeat-candidates")
     open_at = judged.select("c1", "c2", F.explode(F.arrays_zip("open", "open_hash")).alias("x")).select("c1", "c2", F.col("x.open").alias("at"), F.col("x.open_hash").alias("hash"))
-    asked = open_at.select("hash").distinct()
-    among = judged.select(F.explode("open_hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    in_paths = judged.select(F.explode("sure_hash").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    twice = asked.join(among.union(in_paths), "hash").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    found = open_at.join(twice, "hash").groupBy("c1", "c2").agg(F.collect_set("at").alias("found"))  # at most a text's windows
+    open_at = open_at.withColumn("part", _part("c1", "c2", "at"))
+    in_paths = judged.select(F.explode("sure_hash").alias("hash")).groupBy("hash").agg(F.sum(F.lit(1)).alias("n")).select("hash", F.lit(-1).alias("part"), "n")
+    twice = with_totals(open_at.withColumn("n", F.lit(1)), "hash", {"n": "sum"}, in_paths).where("n > 1").select("hash", "part")
+    found = open_at.join(twice, ["hash", "part"]).groupBy("c1", "c2").agg(F.collect_set("at").alias("found"))  # at most a text's windows
     result = judged.select("c1", "c2", "sure").join(found, ["c1", "c2"], "left").where("size(sure) > 0 or found is not null")
-    ends = result.join(contents, ["c1", "c2"]).where("copies = 1").select(F.col("id").alias("w"), "c1", "c2", "sure", "found")
-    again = texts.join(ends, F.col("id").eqNullSafe(F.col("w"))).select("c1", "c2", "sure", "found", "__text")
+    ends = result.join(contents, ["c1", "c2"]).where("copies = 1").select(F.col("id").alias("w"), F.col("tie").alias("w_tie"), "c1", "c2", "sure", "found")
+    again = texts.join(ends, F.col("id").eqNullSafe(F.col("w")) & (F.col("tie") == F.col("w_tie"))).select("c1", "c2", "sure", "found", "__text")
 
     def cut(batches):
         for batch, rows in _texts(batches, 4):

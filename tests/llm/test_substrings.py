@@ -52,3 +52,18 @@ def test_edges_of_input(spark):
     t = " ".join(map(str, range(40)))
     rows = remove_repeats(spark.createDataFrame([(None, t), (None, "z " + t), (7, None), (7, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows) == [(0, 40, 40), (0, 41, 40), (7, 0, 0), (7, 40, 40)]
+
+
+def test_rows_of_one_id_do_not_meet_all_its_texts(spark):
+    """Null ids, ids that repeat and equal rows among texts that share a passage, against brute force; a long text too."""
+    rng = random.Random(8)
+    word = lambda: "v%d" % rng.randrange(900)
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(rng.randrange(9))] + passage[rng.randrange(20) :] + [word() for _ in range(rng.randrange(9))]) for _ in range(150)]
+    texts += texts[:20] + [" ".join(word() for _ in range(60_000)) + " " + " ".join(passage)]
+    ids = [None if i % 3 else i % 10 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df).collect())
+    assert got == Counter((i, *x) for i, x in zip(ids, brute(texts, 35)))
+    many = spark.createDataFrame([(None, t) for t in texts[:120]] * 10, "doc_id long, text string")
+    assert remove_repeats(many).where("n_words <> n_removed").count() == 0
