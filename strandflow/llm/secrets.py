@@ -1,14 +1,17 @@
 """Secret scan over whole texts, in DataFrame operations only.
 
-Fixed patterns find assignments of secrets, access keys and hexadecimal strings.  Further runs of key characters are
-judged by two Markov models of their characters, one trained on random strings and one on ordinary identifiers: a run
-is reported where the log-likelihood ratio per character of random over ordinary passes a threshold.
+Fixed patterns find assignments of secrets, access keys and hexadecimal strings.  What they leave is blanked out for a
+second look: runs of key characters are judged by two Markov models of their characters, one trained on random strings
+and one on ordinary words and identifiers.  A run is reported where the log-likelihood ratio of random over ordinary,
+summed over the run's best stretch, reaches ``least``.
 
 Both models are counts of adjacent character pairs in a labelled sample, a DataFrame of (value, secret).  The default
-sample is made by rule: digests in several alphabets, and identifiers put together from common words.
+sample (``labelled``) is made of the documents themselves: words of a bounded sample of texts, and identifiers put
+together from words in a row, are ordinary; values that the patterns find there, and digests in several alphabets, are
+secret.  ``errors`` measures a model on values held out.
 
-Places are code points in the text, end exclusive.  A pattern's places follow from the text's pieces between its
-matches, so no row leaves the JVM.
+Places are code points in the text, end exclusive.  A pattern's places follow from the lengths of the text's pieces
+between its matches, summed in blocks, so no row leaves the JVM and the work grows in proportion to the text.
 
 Defined results: a null or empty text has no span; rows that repeat are scanned alike; an empty table gives an empty
 result; other columns pass through, and result columns replace columns of the same name.
@@ -19,41 +22,93 @@ from __future__ import annotations
 import json
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others, unit
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The greedy runs of the rule that are long enough; shorter ones drop out, whatever they hold.
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-RUN = "[A-Za-z0-9_+=-]{20,}"
+RUN = "[A-Za-z0-9+/_-]{12,}={0,2}"
 KINDS = ("assign", "access", "hex", "markov")
+MIN_VALUE = 12
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/=-"
+#: Matches of a block of ``found``.
+_BLOCK = 128
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Each match ``m`` of a pattern with the piece ``p`` of the text before it; the last piece has no match."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+
+def found(text: Column, pattern: str, kind: str) -> Column:
+    """Matches of a pattern, leftmost and non-overlapping, as array of (start, rank, end, kind, value)."""
+    none = F.array().cast("array<struct<start: int, rank: int, `end`: int, kind: string, value: string>>")
+    length = lambda x: F.length(x["p"]) + F.length(x["m"])
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["m"])
+        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def blocks(zipped):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / _BLOCK).cast("int")), lambda i: F.slice(zipped, i * _BLOCK + 1, F.lit(_BLOCK)))
+        return let(cut, walked)
+
+    def walked(cut):
+        sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + length(x)))
+        begin = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin, lambda acc: acc["out"])
+        per_block = F.transform(F.arrays_zip(cut.alias("c"), starts.alias("s")), lambda b: F.aggregate(b["c"], F.struct(b["s"].alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(per_block)
+
+    zipped = F.filter(matches(text, pattern), lambda x: x["m"].isNotNull())
+    return F.when(text.rlike(pattern), let(zipped, blocks)).otherwise(none)
+
+
+def _value(m: Column) -> Column:
+    return F.regexp_extract(m, ASSIGN, 2)
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+=-"
-#: Common parts of identifiers, of the default sample of ordinary ones.
-_PARTS = (
-    "get set user name file path data list item value index count total order price date time start end page view model table "
-    "column row field type class object string number array map key node tree graph edge point line text word letter document "
-    "source target input output result error message request response server client session account address customer product "
-    "invoice payment status state update create delete insert select filter group sort join merge split parse format render "
-    "load save open close read write send receive connect query search match replace convert compute average maximum minimum "
-    "window screen button image color width height margin border header footer content section article comment language country "
-    "the and that ation tion ment ing with from have this other which their there about would these into than them were been"
-).split()
-
-
-def default_sample(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """n random strings and n identifiers, labelled; the same in every session."""
-    ids = spark.range(n, numPartitions=1)
-    parts = F.array(*(F.lit(p) for p in _PARTS))
-    kind = F.col("id") % 5
+
+def blanked(text: Column, pattern: str, counts=None) -> Column:
+    """The text with a blank for each character of a match (of those that ``counts``)."""
+    hit = lambda m: F.lit(True) if counts is None else counts(m)
+    joined_up = F.array_join(F.transform(matches(text, pattern), lambda x: F.concat(x["p"], F.coalesce(F.when(hit(x["m"]), F.repeat(F.lit(" "), F.length(x["m"]))).otherwise(x["m"]), F.lit("")))), "")
+    return F.when(text.rlike(pattern), joined_up).otherwise(text)
+
+
+def without_base(text: Column) -> Column:
+    """The text with the patterns' spans blanked out."""
+    assigned = blanked(text, ASSIGN, lambda m: F.length(_value(m)) >= MIN_VALUE)
+    return let(assigned, lambda t: let(blanked(t, ACCESS), lambda u: blanked(u, HEX)))
+
+
+def labelled(docs: DataFrame, *, text: str = "text", sample: int = 2000, random: int = 6000) -> DataFrame:
+    """(value, secret): from about ``sample`` documents, picked by a hash of their text, and ``random`` digests."""
+    spark = docs.sparkSession
+    total = docs.count()
+    picked = docs.where(F.col(text).isNotNull() & (unit(F.xxhash64(text), F.lit("secrets")) < sample / max(total, 1))).select(F.col(text).alias("t"))
+    words = picked.select(F.regexp_extract_all(without_base(F.col("t")), F.lit("[A-Za-z0-9+/_-]{3,}"), F.lit(0)).alias("w"))
+    three = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("w") / 3) - 1, F.lit(0)).cast("int")), lambda i: F.slice("w", i * 3 + 1, F.lit(3)))).alias("w"))
+    kind = F.pmod(F.xxhash64("w"), F.lit(8))
+    camel = F.array_join(F.transform("w", lambda x, i: F.when(i == 0, F.lower(x)).otherwise(F.initcap(x))), "")
+    ordinary = three.select(F.when(kind == 0, F.array_join("w", "_")).when(kind == 1, camel).when(kind == 2, F.upper(F.array_join("w", "_"))).when(kind == 3, F.array_join("w", "-")).when(kind == 4, F.array_join("w", "/")).otherwise(F.array_join("w", "")).alias("value"))
+    values = picked.select(F.explode(F.concat(F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: v), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))).alias("value")).where(F.length("value") >= MIN_VALUE)
+    ids = spark.range(random, numPartitions=1)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 512)
-    random = F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, F.upper(F.substring(digest, 1, 32))).otherwise(F.translate(F.substring(F.base64(F.unhex(digest)), 1, 40), "/", "_"))
-    pick = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_PARTS))) + 1).cast("int"))
-    words = [pick(k) for k in range(4)]
-    capital = [F.initcap(w) for w in words]
-    plain = F.when(kind == 0, F.concat_ws("_", *words)).when(kind == 1, F.concat(words[0], *capital[1:])).when(kind == 2, F.upper(F.concat_ws("_", *words))).when(kind == 3, F.concat_ws("-", *words, (F.col("id") % 97).cast("string"))).otherwise(F.concat(*words))
-    return ids.select(random.alias("value"), F.lit(True).alias("secret")).union(ids.select(plain.alias("value"), F.lit(False).alias("secret")))
+    of = F.col("id") % 5
+    made = ids.select(F.when(of == 0, F.substring(digest, 1, 40)).when(of == 1, F.upper(F.substring(digest, 1, 32))).otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40)).alias("value"))
+    return made.union(values).select("value", F.lit(True).alias("secret")).union(ordinary.select("value", F.lit(False).alias("secret")))
 
 
 def ratios(sample: DataFrame, smooth: float = 0.5) -> list[float]:
@@ -72,26 +127,8 @@ def ratios(sample: DataFrame, smooth: float = 0.5) -> list[float]:
     return out
 
 
-def found(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of a pattern, leftmost and non-overlapping, as array of (start, rank, end, kind, value)."""
-    made = "array<struct<start: int, rank: int, `end`: int, kind: string, value: string>>"
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    zipped = F.filter(F.arrays_zip(pieces.alias("p"), hits.alias("m")), lambda x: x["m"].isNotNull())
-    none = F.array().cast(made)
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
-
-
 def randomness(value: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio per character pair of a string of ASCII characters."""
+    """The greatest sum of log-likelihood ratios over any stretch of a string of ASCII characters."""
     k = len(_ALPHABET) + 1
     place = [_ALPHABET.index(chr(c)) if chr(c) in _ALPHABET else k - 1 for c in range(128)]
     places = F.from_json(F.lit(json.dumps(place)), "array<int>")
@@ -99,11 +136,21 @@ def randomness(value: Column, table: list[float]) -> Column:
     codes = F.transform(F.split(value, ""), lambda c: F.get(places, F.ascii(c)))
 
     def step(acc, c):
-        gain = F.when(acc["last"] < 0, 0.0).otherwise(F.get(weights, acc["last"] * k + c))
-        return F.struct(c.alias("last"), (acc["sum"] + gain).alias("sum"))
+        here = F.when(acc["last"] < 0, 0.0).otherwise(F.greatest(F.lit(0.0), acc["sum"] + F.get(weights, acc["last"] * k + c)))
+        return F.struct(c.alias("last"), here.alias("sum"), F.greatest(acc["best"], here).alias("best"))
+
+    return F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
+
+
+#: Log-likelihood ratio, in nats, from which a run counts as random.
+LEAST = 15.0
+
 
-    total = F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
-    return total / F.greatest(F.length(value) - 1, F.lit(1))
+def errors(sample: DataFrame, table: list[float], least: float = LEAST) -> tuple[float, float]:
+    """Of a labelled sample the share of secrets that are missed and of ordinary values that are reported."""
+    judged = sample.where(F.length("value") >= MIN_VALUE).select("secret", (randomness(F.col("value"), table) >= least).alias("hit"))
+    row = judged.agg(F.avg(F.when(F.col("secret"), 1 - F.col("hit").cast("int"))), F.avg(F.when(~F.col("secret"), F.col("hit").cast("int")))).first()
+    return row[0] or 0.0, row[1] or 0.0
 
 
 def joined(spans: Column) -> Column:
@@ -111,13 +158,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, *, text: str = "text", sample: DataFrame | None = None, least: float = 0.4, min_value: int = 12) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", sample: DataFrame | None = None, least: float = LEAST, min_value: int = MIN_VALUE) -> DataFrame:
     """``docs`` with ``secrets``: all spans, as array of (start, rank, end, kind, value), those of the patterns and of the models."""
-    table = ratios(default_sample(docs.sparkSession) if sample is None else sample)
+    table = ratios(labelled(docs, text=text) if sample is None else sample)
     whole = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(found(whole, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= min_value)
-    base = F.concat(assign, found(whole, ACCESS, "access"), found(whole, HEX, "hex"))
-    passed = [c for c in docs.columns if c != "secrets"]
-    first = docs.select(*passed, base.alias("__base"), found(whole, RUN, "markov").alias("__runs"))
-    own = F.filter("__runs", lambda r: ~F.exists("__base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])) & (randomness(r["value"], table) >= least))
-    return first.select(*passed, F.concat("__base", own).alias("secrets"))
+    assign = F.filter(found(whole, ASSIGN, "assign"), lambda s: F.length(_value(s["value"])) >= min_value)
+    runs = let(without_base(whole), lambda t: F.filter(found(t, RUN, "markov"), lambda r: randomness(r["value"], table) >= least))
+    return docs.select(*others(docs.columns, ["secrets"]), F.concat(assign, found(whole, ACCESS, "access"), found(whole, HEX, "hex"), runs).alias("secrets"))
