@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sub_batches
+from .common import others, staged, sub_batches
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b in range(256))
@@ -32,7 +32,7 @@ RESULTS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
     T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
     T.StructField("items", T.ArrayType(T.StringType())),
-    T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    *(T.StructField(c, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))) for c in ("hit_words", "hit_spans")),
 ])
 
 
@@ -61,18 +61,19 @@ class Matcher:
             self.machine.make_automaton()
         self.empty = not owners
 
-    def judge(self, text: str | None) -> tuple[int, int, list[str], list[tuple[int, int]]]:
+    def judge(self, text: str | None) -> tuple[int, int, list[str], list[tuple[int, int]], list[tuple[int, int]]]:
+        """Words, hit words, items, and the runs of hit words as places of words and of code points."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         flat = raw.translate(_TABLE)
         words = flat.split()
         if self.empty or not words:
-            return len(words), 0, [], []
+            return len(words), 0, [], [], []
         found, items = [], set()
         for end, (size, who) in self.machine.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
             found.append((end, size))
             items |= who
         if not found:
-            return len(words), 0, [], []
+            return len(words), 0, [], [], []
         last_at, at = {}, 0  # where the blank after each word is, in the joined words
         for i, w in enumerate(words):
             at += len(w) + 1
@@ -84,11 +85,12 @@ class Matcher:
             else:
                 runs.append([lo, hi])
         places = [m.span() for m in re.finditer(rb"[^ ]+", flat)]
-        spans = []
+        spans, at, chars = [], 0, 0
         for lo, hi in runs:
-            start = len(raw[: places[lo][0]].decode("utf-8", "surrogatepass"))
-            spans.append((start, start + len(raw[places[lo][0] : places[hi][1]].decode("utf-8", "surrogatepass"))))
-        return len(words), sum(hi - lo + 1 for lo, hi in runs), sorted(items), spans
+            start = chars + len(raw[at : places[lo][0]].decode("utf-8", "surrogatepass"))
+            at, chars = places[hi][1], start + len(raw[places[lo][0] : places[hi][1]].decode("utf-8", "surrogatepass"))
+            spans.append((start, chars))
+        return len(words), sum(hi - lo + 1 for lo, hi in runs), sorted(items), [(lo, hi + 1) for lo, hi in runs], spans
 
 
 _MATCHERS: dict[str, Matcher] = {}  # of this Python worker, by the broadcast's own key; one is kept
@@ -101,30 +103,85 @@ def _matcher(key: str, items, window: int) -> Matcher:
     return _MATCHERS[key]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least_percent: int = 5, keep: list[str] | None = None, most_item_bytes: int = 64 << 20) -> DataFrame:
+FOLDED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def chunks(items: DataFrame, item: str, item_text: str, window: int, most: int = 1000) -> DataFrame:
+    """(item, text, n): the items in pieces of ``most`` windows at most, which together have the items' windows."""
+    words = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.regexp_extract_all(F.translate(F.coalesce(item_text, F.lit("")), _UPPER, _LOWER), F.lit(FOLDED), F.lit(0)).alias("w"))
+    count = F.greatest(F.size("w") - (window - 1), F.lit(1))
+    cut = words.where(F.size("w") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((count - 1) / most).cast("int"))))
+    piece = F.slice("w", F.col("i") * most + 1, F.lit(most + window - 1))
+    return cut.select("item", F.array_join(piece, " ").alias("text"), F.greatest(F.size(piece) - (window - 1), F.lit(1)).alias("n")).distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least_percent: int = 5, keep: list[str] | None = None, part_windows: int = 60_000) -> DataFrame:
     """``docs`` with the columns of RESULTS; ``keep`` names the input columns to pass through (default: all).
 
-    The items go to every worker, so their text is measured first: a benchmark above ``most_item_bytes`` is refused
-    with a clear error rather than sent out (split it and run once per part)."""
+    An automaton takes some 4 kB for each of its windows in each Python worker, so it holds about ``part_windows`` at
+    most.  A benchmark of more windows is dealt into parts; each is looked for in a pass of its own, and what the passes
+    find in a text is united, which gives what one automaton of all windows would find."""
     spark = docs.sparkSession
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size > most_item_bytes:
-        raise ValueError(f"the items hold {size} bytes of text; most_item_bytes is {most_item_bytes}")
-    sent = spark.sparkContext.broadcast([tuple(r) for r in items.select(F.col(item).cast("string"), F.col(item_text)).distinct().collect()])
-    key = uuid.uuid4().hex
-    new = set(RESULTS.names)
-    passed = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = T.StructType([docs.schema[c] for c in passed] + RESULTS.fields)
-    source = docs.select(*passed, F.col(text).alias("__text"))
+    passed = others(docs.columns if keep is None else keep, RESULTS.names)
+    cut = staged(chunks(items, item, item_text, window), "benchmark-chunks")
+    n_parts = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // part_windows))
+
+    def part(k: int):
+        rows = cut if n_parts == 1 else cut.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)) == k)
+        return spark.sparkContext.broadcast([tuple(r) for r in rows.select("item", "text").collect()]), uuid.uuid4().hex  # about part_windows windows
+
+    if n_parts == 1:
+        return _judged(docs.select(*passed, F.col(text).alias("__text")), passed, *part(0), window, least_percent)
+    keys = [F.xxhash64(text), F.xxhash64(text, F.lit("again")), F.coalesce(F.octet_length(text), F.lit(-1))]  # findings depend on the text alone
+    known = docs.select(*passed, *(k.alias(f"__k{i}") for i, k in enumerate(keys)), F.col(text).alias("__text"))
+    key = ["__k0", "__k1", "__k2"]
+    texts = known.select(*key, "__text")
+    found = [staged(_judged(texts, key, *part(k), window, least_percent).where("n_hit > 0").select(*key, "items", "hit_words", "hit_spans").distinct(), "benchmark-hits") for k in range(n_parts)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    united = every.groupBy(*key).agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hit_words")).alias("hit_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"))  # a row a part
+    spans = RESULTS["hit_spans"].dataType.simpleString()
+
+    def unite(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for who, words, places in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                runs: list[list[int]] = []
+                for w, p in sorted(zip(((x["start"], x["end"]) for x in words), ((x["start"], x["end"]) for x in places), strict=True)):
+                    if runs and w[0] <= runs[-1][1]:
+                        runs[-1][1], runs[-1][3] = max(runs[-1][1], w[1]), max(runs[-1][3], p[1])
+                    else:
+                        runs.append([*w, *p])
+                for column, value in zip(out, (sorted(set(who)), [{"start": r[0], "end": r[1]} for r in runs], [{"start": r[2], "end": r[3]} for r in runs]), strict=True):
+                    column.append(value)
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], span), pa.array(out[2], span)], names=[*key, "__items", "__words", "__spans"])
+
+    whole = united.mapInArrow(unite, f"__k0 long, __k1 long, __k2 int, __items array<string>, __words {spans}, __spans {spans}")
+    none = F.array().cast(spans)
+    n_words = F.regexp_count(F.translate(F.coalesce("__text", F.lit("")), _UPPER, _LOWER), F.lit(FOLDED)).cast("long")
+    rows = known.withColumn("__n", n_words).drop("__text").join(whole, key, "left")
+    names, runs = F.coalesce("__items", F.array().cast("array<string>")), F.coalesce("__words", none)
+    hit = F.aggregate(runs, F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+    rows = rows.select(*passed, F.col("__n").alias("n_words"), hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), names.alias("items"), runs.alias("hit_words"), F.coalesce("__spans", none).alias("hit_spans"))
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= least_percent * F.col("n_words"))).select(*passed, *RESULTS.names)
+
+
+def _judged(source: DataFrame, passed: list[str], sent, key: str, window: int, least_percent: int) -> DataFrame:
+    """``source`` (columns ``passed`` and ``__text``) judged by one automaton over the items of the broadcast."""
+    schema = T.StructType([source.schema[c] for c in passed] + RESULTS.fields)
 
     def run(batches):
-        arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("hit_words", span), ("hit_spans", span)])
         for batch in sub_batches(batches, "__text", 16 << 20):
             m = _matcher(key, sent, window)
             out: list[list] = [[] for _ in arrow]
             for t in batch.column(len(passed)):
-                n, hit, who, spans = m.judge(t.as_py())
-                row = (n, hit, len(who), hashlib.sha256(",".join(who).encode()).hexdigest(), hit > 0 and 100 * hit >= least_percent * n, who, [{"start": a, "end": b} for a, b in spans])
+                n, hit, who, runs, spans = m.judge(t.as_py())
+                row = (n, hit, len(who), hashlib.sha256(",".join(who).encode()).hexdigest(), hit > 0 and 100 * hit >= least_percent * n, who, *([{"start": a, "end": b} for a, b in x] for x in (runs, spans)))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *(pa.array(v, f.type) for v, f in zip(out, arrow, strict=True))], names=[*passed, *arrow.names])

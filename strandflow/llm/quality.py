@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, staged, sub_batches, window_hashes, words_of
+from .common import mixed, others, staged, sub_batches, window_hashes, words_of
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_open_lines"]
 WINDOW = 5
 
 #: What may stand at the end of a finished line.
-_STOPS = (".", "!", "?", '"', ":", ";", ")")
+_STOPS = (".", "!", "?", '"', "'", ":", ";", ")", "]", "…", "”", "’", "»", "。", "！", "？", "」", "।", "؟")
+#: ASCII marks that are rare in plain sentences.
+_MARKS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -71,7 +73,7 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
     kinds = np.zeros(256, dtype=np.uint8)  # one bit each: white space, symbol, upper, lower, mark
-    for bit, chars in enumerate((b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"!|")):
+    for bit, chars in enumerate((b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), _MARKS)):
         for c in chars:
             kinds[c] |= 1 << bit
     kind = kinds[raw]
@@ -101,6 +103,10 @@ def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
+#: The rules that vote bad or abstain; the others vote good or abstain.
+BAD = ("symbols", "marks", "capitals", "lines", "repeats", "word_size", "open_lines")
+
+
 def rules() -> dict[str, Column]:
     """The rules by name: 1 for good, -1 for bad, 0 where a rule abstains.
 
@@ -108,7 +114,7 @@ def rules() -> dict[str, Column]:
     long_word = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
     bad = {
         "symbols": _ratio("n_symbols", "n_words") > 0.1,
-        "marks": _ratio("n_marks", "n_words") > 0.2,
+        "marks": _ratio("n_marks", "n_words") > 0.25,
         "capitals": F.col("n_upper") > F.col("n_lower"),
         "lines": (F.col("n_dup_lines") >= 3) & (_ratio("n_dup_lines", "n_lines") > 0.3),  # of three lines one may repeat
         "repeats": _ratio("n_repeat_words", "n_words") > 0.2,
@@ -116,20 +122,31 @@ def rules() -> dict[str, Column]:
         "open_lines": _ratio("n_open_lines", "n_lines") > 0.6,
     }
     good = {
-        "prose": (F.col("n_symbols") * 50 <= F.col("n_words")) & (F.col("n_marks") * 50 <= F.col("n_words")) & (F.col("n_upper") * 4 < F.col("n_lower")),
+        "prose": (F.col("n_symbols") * 50 <= F.col("n_words")) & (F.col("n_marks") * 20 <= F.col("n_words")) & (F.col("n_upper") * 4 < F.col("n_lower")),
         "varied": (F.col("n_dup_lines") * 10 <= F.col("n_lines")) & (F.col("n_repeat_words") * 10 <= F.col("n_words")),
     }
     return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {k: F.when(v, 1).otherwise(0) for k, v in good.items()}
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, weight: float = 20.0) -> tuple[float, np.ndarray]:
+#: P(vote | class) as believed before the corpus is seen; class bad, good; vote bad, abstain, good.  A detector of one
+#: kind of junk stays silent on most bad documents and on nearly all good ones; a rule that votes good only is silent on
+#: many good ones; a rule of both kinds may err either way.
+PRIORS = {
+    "bad": np.array([[0.299, 0.7, 0.001], [0.02, 0.979, 0.001]]),
+    "good": np.array([[0.001, 0.849, 0.15], [0.001, 0.399, 0.6]]),
+    "both": np.array([[0.3, 0.6, 0.1], [0.02, 0.38, 0.6]]),
+}
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, kinds: list[str] | None = None, rounds: int = 60, weight: float = 20.0) -> tuple[float, np.ndarray]:
     """EM for the share of good documents and P(vote | class) of each rule, as an array [rule, class, vote + 1].
 
-    ``weight`` documents of prior belief say that rules vote rightly far more often than wrongly, which also fixes
-    which class is the good one; so EM is defined on an empty corpus and on one without bad documents."""
+    ``kinds``: of each rule the name of its prior.  ``weight`` documents of prior belief say that rules vote rightly far
+    more often than wrongly, which also fixes which class is the good one; so EM is defined on an empty corpus and on
+    one without bad documents, and a corpus in which all documents are alike is judged by the priors."""
     n_rules = patterns.shape[1]
-    prior = np.array([[0.3, 0.6, 0.1], [0.02, 0.38, 0.6]])  # class bad, good; vote bad, abstain, good
-    table, share = np.repeat(prior[None], n_rules, axis=0), 0.8
+    prior = np.stack([PRIORS[k] for k in (kinds or ["both"] * n_rules)])
+    table, share = prior.copy(), 0.8
     at = np.arange(n_rules)
     for _ in range(rounds):
         like = np.log(np.stack([table[at, c, patterns + 1] for c in (0, 1)])).sum(-1) + np.log([1 - share, share])[:, None]
@@ -137,7 +154,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, weight: floa
         post = post / post.sum(0) * counts
         share = float(np.clip((post[1].sum() + 0.8 * weight) / (counts.sum() + weight), 0.01, 0.99))
         for vote in (-1, 0, 1):
-            table[:, :, vote + 1] = np.stack([(post[c][:, None] * (patterns == vote)).sum(0) + weight * prior[c, vote + 1] for c in (0, 1)], axis=1)
+            table[:, :, vote + 1] = np.stack([(post[c][:, None] * (patterns == vote)).sum(0) + weight * prior[:, c, vote + 1] for c in (0, 1)], axis=1)
         table /= table.sum(-1, keepdims=True)
     return share, table
 
@@ -154,7 +171,7 @@ def weak_quality(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     ``keep`` names the input columns to pass through (default: all).  The features are staged, so texts are read once."""
     named = rules()
     new = {*FEATURES, "votes", "p_good", "base_failed", "kept"}
-    passed = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    passed = others(docs.columns if keep is None else keep, new)
     schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField(c, T.LongType()) for c in FEATURES])
 
     def run(batches):
@@ -169,7 +186,7 @@ def weak_quality(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     patterns = np.array([[(c // 3**i) % 3 - 1 for i in range(len(named))] for c in range(3 ** len(named))])
     counts = np.zeros(len(patterns))
     counts[list(seen)] = list(seen.values())
-    p_good = posterior(patterns, *fit(patterns[counts > 0], counts[counts > 0]))
+    p_good = posterior(patterns, *fit(patterns[counts > 0], counts[counts > 0], ["bad" if k in BAD else "good" for k in named]))
     votes = F.concat(*(F.element_at(F.array(F.lit("-"), F.lit("0"), F.lit("+")), (F.floor(F.col("__code") / 3**i) % 3 + 1).cast("int")) for i in range(len(named))))
     belief = {int(c): float(p_good[c]) for c in seen}
     p = F.element_at(F.create_map(*(F.lit(x) for kv in belief.items() for x in kv)), F.col("__code")) if belief else F.lit(0.0)

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items", "hit_spans")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items", "hit_words", "hit_spans")
 
 
 def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A rule is host/path with a verdict.  It fits its host and all subdomains, for urls whose path starts with its own; of
 the rules that fit the longest wins.
 
-Where none fits, trust and distrust of the host decide.  Hosts link to the hosts that their pages refer to (absolute
-urls in href and src, and the host of a copyright notice).  Trust is a personalised PageRank from hosts with allowed
+Where none fits, trust and distrust of the host decide.  Hosts link to the hosts that their pages refer to (absolute and
+protocol-relative urls in links, forms, sources, bases, canonical references and redirects; a port belongs to the host,
+a user does not), and a host and its parent domain, as one owner holds both, link to each other once.  Trust is a personalised PageRank from hosts with allowed
 pages along the links; distrust one from hosts with blocked pages against the links: who refers to blocked hosts is
 suspect.  A seed's mass is the share of its pages that rules allow or block, and ranks are in units of what a host
 whose pages are all seeds gets by itself; a host is blocked where its distrust exceeds its trust by ``least``.  Mass
@@ -24,10 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import others, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-REFERENCE = r"""(?i)(?:(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//|&copy;\s*|©\s*)([^/?#"'\s<>:@]+\.[a-z]{2,})"""
+#: The authority of an absolute or protocol-relative url in an attribute or a redirect.
+REFERENCE = r"""(?i)\b(?:href|src|action|cite|data|url)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>\\]+)"""
+#: A host of three labels or more that has a parent domain; not an address of four numbers.
+SUBDOMAIN = r"^(?!\d+\.\d+\.\d+\.\d+(?::\d+)?$)[^.\[\]]+\.([^.\[\]]+\.[^\[\]]*[^.\[\]])$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -52,8 +56,12 @@ def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None,
 
     ``rounds``: so many iterations; None: until ranks are within ``tolerance`` of their limit; raises after ``most``."""
     seeds = pages.groupBy(F.col("__host").alias("host")).agg(*(F.avg(F.when(F.col("__verdict") == v, 1.0).otherwise(0.0)).alias(f"{v}ed") for v in ("allow", "block")))
-    linked = pages.select(F.col("__host").alias("a"), F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(REFERENCE), F.lit(1))).alias("b"))
-    links = staged(linked.select("a", F.translate("b", UPPER, LOWER).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "host-links")
+    named = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(REFERENCE), F.lit(1))
+    linked = pages.select(F.col("__host").alias("a"), F.explode(named).alias("b")).select("a", F.translate(F.regexp_replace("b", "^.*@", ""), UPPER, LOWER).alias("b"))
+    linked = linked.where("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    hosts = seeds.select("host").union(linked.select("b")).distinct().select("host", F.regexp_extract("host", SUBDOMAIN, 1).alias("parent")).where("parent <> ''")
+    family = hosts.select(F.col("host").alias("a"), F.col("parent").alias("b"), F.lit(1).cast("long").alias("n"))
+    links = staged(linked.union(family).union(family.select("b", "a", "n")).groupBy("a", "b").agg(F.sum("n").alias("n")), "host-links")
     out, back = links.groupBy("a").agg(F.sum("n").alias("all")), links.groupBy("b").agg(F.sum("n").alias("all"))
     arcs = staged(
         links.join(out, "a").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("n") / F.col("all")).alias("w"), F.lit(True).alias("forward"))
@@ -93,7 +101,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", h
     known = known.withColumns({"__rule": rule, "__verdict": verdict})
     ranks = standing(known, html=html, damping=damping, rounds=rounds, tolerance=tolerance)
     ranks = ranks.select(F.col("host").alias("__of"), F.col("trust").alias("__trust"), F.col("distrust").alias("__distrust"))
-    passed = [c for c in (pages.columns if keep is None else keep) if c not in new]
+    passed = others(pages.columns if keep is None else keep, new)
     own = known.select(*passed, "__host", "__path", "__rule", "__verdict").join(ranks, F.col("__host") == F.col("__of"), "left")
     trust, distrust = F.coalesce("__trust", F.lit(0.0)), F.coalesce("__distrust", F.lit(0.0))
     said = F.coalesce("__verdict", F.when(distrust - trust >= least, "block").when(trust > distrust, "allow").otherwise(default))
