@@ -12,8 +12,8 @@ whose pages are all seeds gets by itself; a host is blocked where its distrust e
 that reaches a host without links is not passed on.
 
 The graph is a table of distinct host pairs with counts, the two ranks one row per host; each iteration is one join
-and one sum, staged every few iterations, until all
-ranks are within ``tolerance`` of their limit; only the sum of the moves is collected.
+and one sum, staged every few iterations, until what all ranks together still lack of their limit is within
+``tolerance`` of the seeds' mass; only the sum of the moves is collected.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and gets the default verdict
 if its (empty) host has no standing; a null page has no links; rows that repeat are judged alike; an empty table gives
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, staged
+from .common import drop_staged, others, path_of, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The authority of an absolute or protocol-relative url in an attribute or a redirect.
@@ -51,10 +51,11 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None, tolerance: float, every: int = 4, most: int = 400) -> DataFrame:
+def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None, tolerance: float, every: int = 8, most: int = 400) -> DataFrame:
     """(host, trust, distrust) from pages with ``__host``, ``__verdict`` (of the rules) and their html.
 
-    ``rounds``: so many iterations; None: until ranks are within ``tolerance`` of their limit; raises after ``most``."""
+    ``rounds``: so many iterations; None: until what ranks still lack is in sum within ``tolerance`` of the seeds' mass;
+    raises after ``most``.  A table of ranks goes once the next is written."""
     seeds = pages.groupBy(F.col("__host").alias("host")).agg(*(F.avg(F.when(F.col("__verdict") == v, 1.0).otherwise(0.0)).alias(f"{v}ed") for v in ("allow", "block")))
     named = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(REFERENCE), F.lit(1))
     linked = pages.select(F.col("__host").alias("a"), F.explode(named).alias("b")).select("a", F.translate(F.regexp_replace("b", "^.*@", ""), UPPER, LOWER).alias("b"))
@@ -69,28 +70,30 @@ def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None,
         "host-arcs",
     )
     base = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
-    others = arcs.select(F.col("v").alias("host")).distinct().join(base, "host", "left_anti").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
-    base = staged(base.union(others), "host-seeds")
-    rank = base
+    unseen = arcs.select(F.col("v").alias("host")).distinct().join(base, "host", "left_anti").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    rank = written = staged(base.union(unseen).select("*", F.col("trust").alias("new_trust"), F.col("distrust").alias("new_distrust")), "host-seeds")
+    mass = max([x or 0.0 for x in rank.agg(F.sum("trust"), F.sum("distrust")).first()] + [1e-12])
+    kinds = ("trust", "distrust")
     for k in range(1, (most if rounds is None else rounds) + 1):
-        before = rank
-        sent = rank.join(arcs, rank["host"] == arcs["u"]).select(F.col("v").alias("host"), F.when(F.col("forward"), F.col("trust") * F.col("w")).otherwise(0.0).alias("trust"), F.when(F.col("forward"), 0.0).otherwise(F.col("distrust") * F.col("w")).alias("distrust"))
-        own = base
-        moved = sent.select("host", *((damping * F.col(c)).alias(c) for c in ("trust", "distrust")))
-        rank = own.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        gone = {kind: F.when(F.col("forward") == (kind == "trust"), damping * F.col(f"new_{kind}") * F.col("w")).otherwise(0.0) for kind in kinds}
+        sent = rank.join(arcs, rank["host"] == arcs["u"]).select(F.col("v").alias("host"), *(F.lit(0.0).alias(kind) for kind in kinds), *(gone[kind].alias(f"new_{kind}") for kind in kinds))
+        kept = rank.select("host", *kinds, *(F.lit(0.0).alias(f"new_{kind}") for kind in kinds))
+        summed = kept.union(sent).groupBy("host").agg(*(F.sum(c).alias(c) for c in (*kinds, "new_trust", "new_distrust")))
+        rank = summed.select("host", *((F.col(kind) + F.col(f"new_{kind}")).alias(kind) for kind in kinds), "new_trust", "new_distrust")
         if k % every == 0 or k == rounds:
             rank = staged(rank, "host-ranks")
-            if rounds is None:  # ranks only grow, and what is still to come is in sum at most damping / (1 - damping) of the last moves
-                old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
-                moved = rank.join(old, "host").agg(F.sum(F.col("trust") - F.col("t")), F.sum(F.col("distrust") - F.col("d"))).first()
-                if max(x or 0.0 for x in moved) * damping <= tolerance * (1 - damping):
-                    return rank
+            drop_staged(pages.sparkSession, path_of(written))
+            written = rank
+            # ranks only grow, and what is still to come is in sum at most damping / (1 - damping) of the last moves
+            moved = max(x or 0.0 for x in rank.agg(F.sum("new_trust"), F.sum("new_distrust")).first())
+            if rounds is None and moved * damping <= tolerance * mass * (1 - damping):
+                return rank
     if rounds is None:
         raise RuntimeError(f"ranks of hosts did not settle in {most} rounds")
     return rank
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4, least: float = 0.5, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int | None = None, tolerance: float = 0.01, least: float = 0.5, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust``; ``keep``: input columns to pass through."""
     if len(rules) > 1000:
         raise ValueError("rules are one expression; join a table of more than 1000")

@@ -278,10 +278,21 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_urls_link_hosts_ports_and_parents(spark):
+    html = '<base href="//me@B.org:81/x"><form action="http://10.0.0.1/">&copy; c.org <meta http-equiv="refresh" content="0;url=https://d.org/y">'
+    pages = [(1, "http://a.org/no/", html), (2, "http://x.shop.net/no/", ""), (3, "http://y.shop.net/q", ""), (4, "http://y.shop.net/q", None), (5, "http://localhost/", '<a href="//b.org:81">'), (6, "http://b.org:81/z", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(df, [("block", "org/no/"), ("block", "net/no/")], rounds=6, least=0.3).collect()}
+    assert got[1].distrust > 0 and got[5].distrust == 0 and got[3].distrust > 0.4
+    assert (got[3].verdict, got[4].verdict, got[5].verdict) == ("block", "block", "allow")
+    trusted = {r.page_id: r.trust for r in urls.judge(df, [("allow", "org/no/")], rounds=6).collect()}
+    assert trusted[6] > 0 and trusted[5] == 0
+
+
 def test_urls_reach_hosts_far_from_a_seed(spark):
     n = 14
     pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(n)] + [(n, "http://h0.org/ok/", "")]
-    got = {r.host: r.trust for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("allow", "org/ok/")]).collect()}
+    got = {r.host: r.trust for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("allow", "org/ok/")], tolerance=1e-4).collect()}
     assert all(math.isclose(got[f"h{i}.org"], 0.5 * 0.85**i, abs_tol=1e-4) for i in range(n))
 
 
