@@ -72,13 +72,15 @@ def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None,
     base = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
     unseen = arcs.select(F.col("v").alias("host")).distinct().join(base, "host", "left_anti").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     rank = written = staged(base.union(unseen).select("*", F.col("trust").alias("new_trust"), F.col("distrust").alias("new_distrust")), "host-seeds")
+    own = rank.select(F.col("host").alias("u"), F.col("host").alias("v"), F.lit(1.0).alias("w"), F.lit(None).cast("boolean").alias("forward"))
+    arcs = staged(arcs.union(own), "host-arcs")  # over its own arc a host keeps its rank, so that each iteration reads ranks once
     mass = max([x or 0.0 for x in rank.agg(F.sum("trust"), F.sum("distrust")).first()] + [1e-12])
     kinds = ("trust", "distrust")
     for k in range(1, (most if rounds is None else rounds) + 1):
         gone = {kind: F.when(F.col("forward") == (kind == "trust"), damping * F.col(f"new_{kind}") * F.col("w")).otherwise(0.0) for kind in kinds}
-        sent = rank.join(arcs, rank["host"] == arcs["u"]).select(F.col("v").alias("host"), *(F.lit(0.0).alias(kind) for kind in kinds), *(gone[kind].alias(f"new_{kind}") for kind in kinds))
-        kept = rank.select("host", *kinds, *(F.lit(0.0).alias(f"new_{kind}") for kind in kinds))
-        summed = kept.union(sent).groupBy("host").agg(*(F.sum(c).alias(c) for c in (*kinds, "new_trust", "new_distrust")))
+        kept = {kind: F.when(F.col("forward").isNull(), F.col(kind)).otherwise(0.0) for kind in kinds}
+        sent = rank.join(arcs, rank["host"] == arcs["u"]).select(F.col("v").alias("host"), *(kept[kind].alias(kind) for kind in kinds), *(gone[kind].alias(f"new_{kind}") for kind in kinds))
+        summed = sent.groupBy("host").agg(*(F.sum(c).alias(c) for c in (*kinds, "new_trust", "new_distrust")))
         rank = summed.select("host", *((F.col(kind) + F.col(f"new_{kind}")).alias(kind) for kind in kinds), "new_trust", "new_distrust")
         if k % every == 0 or k == rounds:
             rank = staged(rank, "host-ranks")
