@@ -210,6 +210,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * ODD_LONGS, pa.int32()), pa.array(odd.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bag, pa.binary()), lists, sketch], names=["node", "bag", "tokens", "odd"])
 
+    def holders(batches):
+        """Of each token of a batch: how many rows hold it, the least and the greatest node, and the xor of all."""
+        for batch in batches:
+            lists = batch.column(1)
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(np.asarray(lists.offsets)))
+            order = np.argsort(token)
+            token, node = token[order], node[order]
+            if len(token):
+                head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+                found = (token[head], np.diff(np.concatenate((head, [len(token)]))), *(how.reduceat(node, head) for how in (np.minimum, np.maximum, np.bitwise_xor)))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["token", "f", "p", "q", "x"])
+
     def overlap(batches):
         for batch in batches:
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
@@ -266,8 +279,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         hot = large.groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.sort_array(F.collect_set("band")).alias("bands"))  # at most ``bands`` a text
         hot = staged(hot, "near-hot")
         of_hot = bags.join(hot.select("node"), "node", "left_semi")
-        token = of_hot.select("node", F.explode("tokens").alias("token"))
-        held = token.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("p"), F.max("node").alias("q"), F.bit_xor("node").alias("x")).where("f <= 3")
+        token = of_hot.select("node", "tokens").mapInArrow(holders, "token long, f long, p long, q long, x long")
+        held = token.groupBy("token").agg(F.sum("f").alias("f"), F.min("p").alias("p"), F.max("q").alias("q"), F.bit_xor("x").alias("x")).where("f <= 3")
         # up to three rows of a token: p, q, and what is left of x
         held = staged(held.select(F.array_distinct(F.array("p", "q", F.when(F.col("f") == 3, F.col("x").bitwiseXOR(F.col("p")).bitwiseXOR(F.col("q"))).otherwise(F.col("p")))).alias("who")), "near-rare")
         total = of_hot.groupBy("node").agg(F.sum(F.size("tokens")).alias("all"))
