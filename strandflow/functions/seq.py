@@ -33,10 +33,14 @@ def explode_bases(reads: DataFrame, seq: str = "seq", start: str = "start_pos")
     return reads.select("*", F.posexplode(chars(seq)).alias("off", "base")).withColumn("pos", F.col(start) + F.col("off") - 1)
 
 
+def joined(off: str, base: str) -> Column:
+    """The string of a group's bases in the order of ``off``."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(off).alias("o"), F.col(base).alias("b")))), lambda x: x["b"]), "")
+
+
 def assembled(df: DataFrame, keys: list[str], off: str, base: str, name: str) -> DataFrame:
     """Strings put together from their bases in order; the rows of a key are at most a read's length."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(off).alias("o"), F.col(base).alias("b")))), lambda x: x["b"]), "")
-    return df.groupBy(*keys).agg(joined.alias(name))
+    return df.groupBy(*keys).agg(joined(off, base).alias(name))
 
 
 def dense_ids(df: DataFrame, coarse: str, fine: list[str], name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import CLUSTER_ORDER, explode_bases, order_rank, r9
+from ..functions.seq import CLUSTER_ORDER, assembled, explode_bases, order_rank, r9
 from .pileup import majority
 
 #: Inside share of a window's read, concentration, sweeps, first sweep of the history, classes at first.
@@ -57,8 +57,6 @@ def class_haplotypes(consensus: DataFrame, sites: DataFrame) -> DataFrame:
     """(window_id, class_id, haplotype): one symbol per site of the window, ``*`` where no read of the class is."""
     every = sites.select("window_id", F.explode(F.sequence("f_start", "f_end")).alias("vi")).join(consensus.select("window_id", "class_id").distinct(), "window_id")
     full = every.join(consensus, ["window_id", "class_id", "vi"], "left").select("window_id", "class_id", "vi", F.coalesce("base", F.lit("*")).alias("base"))
-    from ..functions.seq import assembled
-
     return assembled(full, ["window_id", "class_id"], "vi", "base", "haplotype")
 
 
@@ -121,8 +119,6 @@ def votes_of(members: DataFrame, variants: DataFrame, assigned: DataFrame, conse
 
 def majority_vote(reads: DataFrame, votes: DataFrame) -> DataFrame:
     """(start_pos, seq, cnt, voted_seq): the majority of the windows' votes for each base, the read's own where none votes."""
-    from ..functions.seq import assembled
-
     best = majority(votes, ["start_pos", "seq", "off"], CLUSTER_ORDER).withColumnRenamed("base", "vote")
     b = explode_bases(reads).join(best, ["start_pos", "seq", "off"], "left").withColumn("new", F.coalesce("vote", "base"))
     return assembled(b, ["start_pos", "seq", "cnt"], "off", "new", "voted_seq")
@@ -143,59 +139,69 @@ def _pick(logs: np.ndarray, rng: np.random.Generator) -> int:
 def sample_window(codes: np.ndarray, cnt: np.ndarray, reference: np.ndarray, length: int, seed: int, *, sweeps: int = SWEEPS, burn_in: int = BURN_IN, classes: int = CLASSES, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """Classes of a window's reads and the haplotype of each class.
 
-    ``codes``: reads x sites, rank of the base in A, C, T, G, -, or -1 where unknown; ``reference`` likewise."""
+    ``codes``: reads x sites, rank of the base in A, C, T, G, -, or -1 where unknown; ``reference`` likewise, with which a
+    new class begins."""
     rng = np.random.default_rng(seed)
     n, sites = codes.shape
     known = codes >= 0
-    who = rng.integers(0, max(1, min(classes, n)), n)
+    cell = np.arange(sites) * SYMBOLS + codes
     theta, gamma = 1 - _TINY, 1 - _TINY
     history: list[np.ndarray] = []
 
     def consensus(group: np.ndarray, draw: bool) -> np.ndarray:
-        out = np.full(sites, -1)
-        for s in range(sites):
-            seen = np.bincount(codes[group, s][known[group, s]], weights=cnt[group][known[group, s]], minlength=SYMBOLS)
-            if seen.sum():
-                logs = seen * np.log(theta) + (seen.sum() - seen) * np.log((1 - theta) / (SYMBOLS - 1))
-                out[s] = _pick(logs, rng) if draw else int(seen.argmax())
-        return out
-
-    haps = {k: consensus(np.flatnonzero(who == k), False) for k in np.unique(who).tolist()}
+        at, weight = known[group], np.broadcast_to(cnt[group][:, None], (len(group), sites))
+        seen = np.bincount(cell[group][at], weights=weight[at], minlength=sites * SYMBOLS).reshape(sites, SYMBOLS)
+        total = seen.sum(1, keepdims=True)
+        if not draw:
+            return np.where(total[:, 0] > 0, seen.argmax(1), -1)
+        logs = seen * np.log(theta) + (total - seen) * np.log((1 - theta) / (SYMBOLS - 1))
+        return np.array([_pick(logs[s], rng) if total[s, 0] else -1 for s in range(sites)], dtype=np.int64)
+
+    def compared(haplotype: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Equal and different sites of every read and a haplotype."""
+        both = known & (haplotype >= 0)
+        same = ((codes == haplotype) & both).sum(1)
+        return same, both.sum(1) - same
+
+    ref_m, ref_d = compared(reference)
+    # ``who`` has rows of ``haps``; ``ids`` are the rows' classes, ascending, and ``size`` their reads
+    ids, who = np.unique(rng.integers(0, max(1, min(classes, n)), n), return_inverse=True)
+    haps = np.stack([consensus(np.flatnonzero(who == k), False) for k in range(len(ids))])
     for sweep in range(1, sweeps + 1):
+        size = np.bincount(who, weights=cnt, minlength=len(ids))
+        b, equal, unequal = SYMBOLS, np.log(theta), np.log((1 - theta) / (SYMBOLS - 1))
+        fit = np.stack([m * equal + d * unequal for m, d in map(compared, haps)], axis=1)  # [read, class], as are the haplotypes
+        as_reference = ref_m * equal + ref_d * unequal
+        same = theta * gamma + (1 - gamma) * (1 - theta) / (b - 1)
+        other = max((theta + gamma + b * (1 - gamma * theta) - 2) / (b - 1) ** 2, 1e-300)
+        new = np.log(alpha) + np.log(cnt) + ref_m * np.log(same) + ref_d * np.log(other)
         for i in range(n):
-            size = {k: cnt[who == k].sum() - (cnt[i] if who[i] == k else 0) for k in haps}
-            live = [k for k in haps if size[k] > 0]
-            logs = []
-            for k in live:
-                both = known[i] & (haps[k] >= 0)
-                m = int((codes[i][both] == haps[k][both]).sum())
-                logs.append(np.log(size[k]) + m * np.log(theta) + (int(both.sum()) - m) * np.log((1 - theta) / (SYMBOLS - 1)))
-            both = known[i] & (reference >= 0)
-            m = int((codes[i][both] == reference[both]).sum())
-            b = SYMBOLS
-            same = theta * gamma + (1 - gamma) * (1 - theta) / (b - 1)
-            other = max((theta + gamma + b * (1 - gamma * theta) - 2) / (b - 1) ** 2, 1e-300)
-            logs.append(np.log(alpha) + np.log(cnt[i]) + m * np.log(same) + (int(both.sum()) - m) * np.log(other))
-            k = _pick(np.array(logs), rng)
-            who[i] = live[k] if k < len(live) else max(haps) + 1
-            if who[i] not in haps:
-                haps[int(who[i])] = np.where(known[i], codes[i], -1)
-        haps = {k: consensus(np.flatnonzero(who == k), True) for k in np.unique(who).tolist()}
-        merged: dict[bytes, int] = {}
-        for k in sorted(haps):
-            first = merged.setdefault(haps[k].tobytes(), k)
-            who[who == k] = first
-        haps = {k: haps[k] for k in merged.values()}
-        own = np.stack([haps[int(k)] for k in who])
+            size[who[i]] -= cnt[i]
+            live = np.flatnonzero(size > 0)
+            k = _pick(np.append(np.log(size[live]) + fit[i, live], new[i]), rng)
+            if k < len(live):
+                who[i] = live[k]
+            elif size[who[i]] == 0:  # a read that was alone keeps its class, which begins anew
+                fit[:, who[i]] = as_reference
+            else:
+                who[i] = len(ids)
+                ids, size, fit = np.append(ids, ids[-1] + 1), np.append(size, 0.0), np.column_stack((fit, as_reference))
+            size[who[i]] += cnt[i]
+        live = np.unique(who)
+        drawn = np.stack([consensus(np.flatnonzero(who == k), True) for k in live])
+        _, first, place = np.unique(drawn, axis=0, return_index=True, return_inverse=True)  # equal haplotypes become one class
+        kept = np.sort(first)
+        who = np.searchsorted(kept, first[place.reshape(-1)])[np.searchsorted(live, who)]
+        ids, haps = ids[live[kept]], drawn[kept]
+        own = haps[who]
         both = known & (own >= 0)
         theta = float(np.clip(((codes == own) & both).sum() + (length - sites) * n, 0, None)) / max(length * n, 1)
         theta = min(max(theta, _TINY), 1 - _TINY)
-        table = np.stack(list(haps.values()))
-        gamma = ((table == reference) & (table >= 0)).sum() + (length - sites) * len(table)
-        gamma = min(max(float(gamma) / max(length * len(table), 1), _TINY), 1 - _TINY)
+        gamma = ((haps == reference) & (haps >= 0)).sum() + (length - sites) * len(haps)
+        gamma = min(max(float(gamma) / max(length * len(haps), 1), _TINY), 1 - _TINY)
         if sweep >= burn_in:
-            history.append(who.copy())
-    last = np.stack(history) if history else who[None]
+            history.append(ids[who])
+    last = np.stack(history) if history else ids[who][None]
     final = np.zeros(n, dtype=np.int64)
     for i in range(n):
         values, first, seen = np.unique(last[:, i], return_index=True, return_counts=True)
@@ -206,7 +212,7 @@ def sample_window(codes: np.ndarray, cnt: np.ndarray, reference: np.ndarray, len
 def gibbs_assign(bases: DataFrame, members: DataFrame, sites: DataFrame, reference: DataFrame, *, seed: int = 1, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """(window_id, read_id, class_id): the sampler's classes, numbered by first read; seeded by window.
 
-    A window's reads are distinct (start, sequence) pairs, so a group stays small however deep the coverage is."""
+    A window is one task: its reads are distinct (start, sequence) pairs, which sequencing errors add to as coverage grows."""
     ref = {r.vi: r.base for r in reference.collect()}  # one row per site
     own = bases.select("window_id", "read_id", F.col("cnt").cast("long"), "vi", "base").join(F.broadcast(sites), "window_id")
 

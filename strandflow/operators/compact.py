@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import assembled, explode_bases
+from ..functions.seq import assembled, explode_bases, joined
 
 
 def compact_reads(reads: DataFrame, variants: DataFrame) -> DataFrame:
@@ -13,8 +13,7 @@ def compact_reads(reads: DataFrame, variants: DataFrame) -> DataFrame:
 
     A range join, done as an equi-join of the exploded places with the sites."""
     b = explode_bases(reads).join(variants.select("vi", "pos"), "pos")
-    own = b.groupBy("start_pos", "seq", "cnt").agg(F.min("vi").alias("cstart"), F.max("vi").alias("cend"))
-    return own.join(assembled(b, ["start_pos", "seq"], "vi", "base", "cseq"), ["start_pos", "seq"])
+    return b.groupBy("start_pos", "seq", "cnt").agg(F.min("vi").alias("cstart"), F.max("vi").alias("cend"), joined("vi", "base").alias("cseq"))
 
 
 def compact_range(reads: DataFrame, variants: DataFrame, compat: bool = False) -> DataFrame:

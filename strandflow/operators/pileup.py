@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import ENTROPY_ORDER, assembled, dense_ids, explode_bases, order_rank, r9
+from ..functions.seq import ENTROPY_ORDER, assembled, chars, dense_ids, explode_bases, joined, order_rank, r9
 
 #: The least entropy of a variant site, and log2 of five symbols.
 LEAST_ENTROPY, LOG2_FIVE = 0.03445, 2.32192809
@@ -51,12 +51,23 @@ def variant_sites(entropies: DataFrame, least: float = LEAST_ENTROPY) -> DataFra
     return site_mode(entropies.where(F.col("entropy") >= least)).select(ids.alias("vi"), "pos", "entropy", "mode")
 
 
-def corrected_reads(reads: DataFrame, piled: DataFrame, least: float = LEAST_ENTROPY) -> DataFrame:
-    """(start_pos, seq, cnt, corrected_seq, changed): at places of low entropy each symbol but a gap becomes the mode."""
-    fix = site_mode(site_entropy(piled)).where(F.col("entropy") < least).select("pos", "mode")
-    b = explode_bases(reads).join(fix, "pos", "left")
-    new = F.when((F.col("base") == ".") | F.col("mode").isNull(), F.col("base")).otherwise(F.col("mode"))
-    out = assembled(b.withColumn("new", new), ["start_pos", "seq", "cnt"], "off", "new", "corrected_seq")
+def corrected_reads(reads: DataFrame, piled: DataFrame, least: float = LEAST_ENTROPY, most_places: int = 1 << 20) -> DataFrame:
+    """(start_pos, seq, cnt, corrected_seq, changed): at places of low entropy each symbol but a gap becomes the mode.
+
+    The modes of a genome of up to ``most_places`` places are one string, a symbol a place, which is broadcast: reads are
+    corrected where they are, without a shuffle.  For longer genomes reads are exploded and meet the modes by place."""
+    fix = site_mode(site_entropy(piled)).where((F.col("entropy") < least) & F.col("mode").isNotNull()).select("pos", "mode")
+    first, last = piled.agg(F.min("pos"), F.max("pos")).first()
+    if last is not None and first >= 0 and last < most_places:
+        places = piled.sparkSession.range(last + 1, numPartitions=1).select(F.col("id").cast("int").alias("pos")).join(fix, "pos", "left")
+        mask = places.withColumn("fixed", F.coalesce("mode", F.lit(" "))).agg(joined("pos", "fixed").alias("mask"))
+        own = chars(F.expr("substring(mask, start_pos, length(seq))"))
+        new = F.zip_with(chars("seq"), own, lambda b, m: F.when((b == ".") | (m == " "), b).otherwise(m))
+        out = reads.crossJoin(F.broadcast(mask)).select("start_pos", "seq", "cnt", F.array_join(new, "").alias("corrected_seq"))
+    else:
+        b = explode_bases(reads).join(fix, "pos", "left")
+        new = F.when((F.col("base") == ".") | F.col("mode").isNull(), F.col("base")).otherwise(F.col("mode"))
+        out = assembled(b.withColumn("new", new), ["start_pos", "seq", "cnt"], "off", "new", "corrected_seq")
     return out.withColumn("changed", F.col("corrected_seq") != F.col("seq"))
 
 

@@ -22,7 +22,8 @@ SHARES = {0: 0.6, 1: 0.3, 2: 0.1}
 
 
 class Tables:
-    """The frames that queries share, each built when first asked for."""
+    """The frames that queries share, each built when first asked for; those that several others read are written first,
+    so that a query reads the input once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -30,13 +31,18 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @property
+    def counted(self) -> DataFrame:
+        """The reads, for what reads them once."""
+        return source.counted_reads(self.table("lineitem"))
+
     @cached_property
     def reads(self) -> DataFrame:
-        return source.counted_reads(self.table("lineitem"))
+        return staged(self.counted, "reads")
 
     @cached_property
     def piled(self) -> DataFrame:
-        return pileup.pileup(self.reads)
+        return staged(pileup.pileup(self.reads), "pileup")  # one row per place of the genome
 
     @cached_property
     def entropy(self) -> DataFrame:
@@ -52,16 +58,11 @@ class Tables:
 
     @cached_property
     def corrected(self) -> DataFrame:
-        return pileup.after_correction(self.fixed)
+        return staged(pileup.after_correction(self.fixed), "corrected")
 
     @cached_property
     def compacted(self) -> DataFrame:
-        return compact.compact_dedup(compact.compact_reads(self.corrected, self.variants))
-
-    @cached_property
-    def stored(self) -> DataFrame:
-        """The compact reads as a written table, for what reads them in several jobs."""
-        return staged(self.compacted, "compact")
+        return staged(compact.compact_dedup(compact.compact_reads(self.corrected, self.variants)), "compact")
 
     @cached_property
     def haps(self) -> DataFrame:
@@ -85,7 +86,7 @@ class Tables:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return support.match_matrix(self.compacted, self.compact_haps)
+        return staged(support.match_matrix(self.compacted, self.compact_haps), "matrix")
 
     @cached_property
     def y(self) -> DataFrame:
@@ -97,7 +98,7 @@ class Tables:
 
     @cached_property
     def nearest(self) -> DataFrame:
-        return evaluate.nearest_haplotype(evaluate.read_hap_distance(self.reads, self.haps))
+        return staged(evaluate.nearest_haplotype(evaluate.read_hap_distance(self.reads, self.haps)), "nearest")
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -105,7 +106,7 @@ class Tables:
 
     @cached_property
     def members(self) -> DataFrame:
-        return cluster.window_membership(pileup.read_ids(self.reads), self.windows)
+        return staged(cluster.window_membership(pileup.read_ids(self.reads), self.windows), "members")
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -113,13 +114,13 @@ class Tables:
 
     @cached_property
     def bases(self) -> DataFrame:
-        return cluster.site_bases(self.members, self.variants, self.sites)
+        return staged(cluster.site_bases(self.members, self.variants, self.sites), "bases")
 
     @cached_property
     def assigned(self) -> DataFrame:
         """Classes of a frozen state: the nearest haplotype, and a class of their own for every seventh read."""
         own = self.members.join(self.nearest.select("start_pos", "seq", "hap_id"), ["start_pos", "seq"])
-        return own.select("window_id", "read_id", F.when(F.col("read_id") % 7 == 0, 3).otherwise(F.col("hap_id")).alias("class_id"))
+        return staged(own.select("window_id", "read_id", F.when(F.col("read_id") % 7 == 0, 3).otherwise(F.col("hap_id")).alias("class_id")), "assigned")
 
     @cached_property
     def consensus(self) -> DataFrame:
@@ -148,7 +149,7 @@ def read_scan(t: Tables) -> DataFrame:
 
 
 def read_dedup(t: Tables) -> DataFrame:
-    return t.reads
+    return t.counted
 
 
 def read_ids(t: Tables) -> DataFrame:
@@ -156,7 +157,7 @@ def read_ids(t: Tables) -> DataFrame:
 
 
 def read_bases(t: Tables) -> DataFrame:
-    return explode_bases(t.reads)
+    return explode_bases(t.counted)
 
 
 def site_mode(t: Tables) -> DataFrame:
@@ -233,14 +234,14 @@ def haplotype_product(t: Tables) -> DataFrame:
 
 
 def region_split(t: Tables) -> DataFrame:
-    rows = graph.region_split(t.stored, B1, B2 - 1, k=K, most=2)
+    rows = graph.region_split(t.compacted, B1, B2 - 1, k=K, most=2)
     return t.spark.createDataFrame(rows, "first_site int, last_site int, n_paths long")
 
 
 def local_prune(t: Tables) -> DataFrame:
     sets = []
     for a, b in ((B1, 10), (10, B2)):
-        inside = t.stored.where((F.col("cstart") < b) & (F.col("cend") >= a))
+        inside = t.compacted.where((F.col("cstart") < b) & (F.col("cend") >= a))
         m = support.match_matrix(inside, t.compact_haps)
         m = staged(m, "matrix")
         sets.append(regress.normal_equations(m, support.read_fraction(inside, m))[:3])
@@ -250,8 +251,7 @@ def local_prune(t: Tables) -> DataFrame:
 
 def _matched(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Match matrix and read fractions, written: the normal equations read them in several jobs."""
-    m = staged(support.match_matrix(t.stored, t.compact_haps), "matrix")
-    return m, staged(support.read_fraction(t.stored, m), "fractions")
+    return t.matrix, staged(t.y, "fractions")
 
 
 def _fit(t: Tables, solve) -> DataFrame:
@@ -315,7 +315,7 @@ BUILD = {
     "read_dedup": read_dedup,
     "read_ids": read_ids,
     "read_bases": read_bases,
-    "read_length_range": lambda t: pileup.read_length_range(t.reads),
+    "read_length_range": lambda t: pileup.read_length_range(t.counted),
     "pileup": lambda t: t.piled,
     "site_entropy": lambda t: t.entropy.select("pos", "depth", "entropy"),
     "site_mode": site_mode,
@@ -327,7 +327,7 @@ BUILD = {
     "position_diff": position_diff,
     "raw_read_filter": raw_read_filter,
     "mate_merge": mate_merge,
-    "gap_bounds": lambda t: pileup.gap_bounds(t.reads),
+    "gap_bounds": lambda t: pileup.gap_bounds(t.counted),
     "compact_reads": compact_reads,
     "compact_range": lambda t: compact.compact_range(t.reads, t.variants),
     "compact_dedup": lambda t: t.compacted,

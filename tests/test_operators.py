@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from strandflow.operators import cluster, compact, evaluate, graph, pileup, regress, support
+from strandflow.operators import cluster, compact, evaluate, graph, pileup, regress, simulate, support
 from strandflow.sources import reads as source
 from strandflow.streaming.pileup import read_stream, running_pileup
 
@@ -179,3 +179,44 @@ def test_local_prune_steps_below_the_border():
     fine, coarse = regress.stagewise(np.eye(3), r, 0.001), regress.stagewise(np.eye(3), r, 0.001, 1e-3)
     assert fine[2] < regress.LEAST <= coarse[2]
     assert regress.local_prune([(list("abc"), np.eye(3), r)], most=3, rounds=2) == [["a", "b"]]
+
+
+@pytest.mark.parametrize("most_places", [1 << 20, 2])
+def test_correction_of_short_and_long_genomes(spark, most_places):
+    r = reads(spark, (1, "AN.-", 1), (1, "ACGT", 500), (3, "G", 7), (4, "TCC", 2), (4, "GCC", 300))
+    fixed = pileup.corrected_reads(r, pileup.pileup(r), most_places=most_places)
+    want = [("ACGT", "ACGT", False), ("AN.-", "AC.-", True), ("G", "G", False), ("GCC", "GCC", False), ("TCC", "TCC", False)]
+    assert got(fixed, "seq", "corrected_seq", "changed") == want  # the fourth place varies and stays
+    none = r.where("cnt < 0")
+    assert pileup.corrected_reads(none, pileup.pileup(none), most_places=most_places).count() == 0
+
+
+def planted(spark):
+    """Thirty reads of each of two genomes of 12 places that differ in three, from places 1 to 12."""
+    rows = [(1, f"{a}C{b}GAC{c}TACG{d}", 3) for a, b, c in (("A", "A", "A"), ("T", "T", "T")) for d in "ACGT"]
+    return reads(spark, *rows), df(spark, [(0, 0), (1, 2), (2, 6)], "vi int, pos int"), df(spark, [(0, "A"), (1, "A"), (2, "A")], "vi int, base string")
+
+
+def test_gibbs_assign_separates_planted_genomes(spark):
+    r, variants, reference = planted(spark)
+    windows = cluster.window_grid(spark, 1, 1, 12, 12)
+    ids = pileup.read_ids(r)
+    members, sites = cluster.window_membership(ids, windows), cluster.window_sites(windows, variants)
+    found = cluster.gibbs_assign(cluster.site_bases(members, variants, sites), members, sites, reference, sweeps=60, burn_in=40)
+    groups = {}
+    for x in found.join(ids, "read_id").collect():
+        groups.setdefault(x.class_id, set()).add(x.seq[0])
+    assert sorted(map(tuple, groups.values())) == [("A",), ("T",)]
+    voted = cluster.clustering_votes(ids, variants, windows, reference, sweeps=60, burn_in=40)
+    assert got(voted, "seq", "voted_seq") == sorted((x.seq, x.seq) for x in r.collect())  # nothing to correct
+
+
+def test_simulated_variants(spark):
+    genome = "ACGT" * 50
+    out = {x.variant_id: x.seq for x in simulate.simulate_variants(df(spark, [(0, genome), (1, "A")], "hap_id int, seq string"), n=3, diversity=0.05).collect()}
+    assert sorted(out) == [1, 2, 3]
+    changed = {k: [i for i, (a, b) in enumerate(zip(genome, seq, strict=True)) if a != b] for k, seq in out.items()}
+    for places in changed.values():
+        assert len(places) == 10 and all(b - a >= 3 for a, b in zip(places, places[1:]))
+    shared = set(changed[1]) & set(changed[2]) & set(changed[3])
+    assert len(shared) == 5 and all(out[1][p] == out[2][p] == out[3][p] for p in shared)
