@@ -38,3 +38,49 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
 }
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op11_phrases"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i+m-1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT lang, m, phrase, a, ws, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.m = k.k AND x.phrase = array_to_string(k.ws[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.m = k.m - k.k AND y.phrase = array_to_string(k.ws[k.k+1:], ' ')),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE m = 3) GROUP BY ALL),
+r AS (SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, o.a DESC, o.phrase) AS rank, o.phrase, o.a, l, r, n, score FROM o JOIN t ON t.lang = o.lang LEFT JOIN i ON i.lang = o.lang AND i.phrase = o.phrase WHERE i.a IS NULL OR 100 * i.a < 50 * o.a)
+SELECT * FROM r WHERE rank <= 2000"""
+
+
+def _lloyd(rounds: int) -> str:
+    floor = "(s - ((s % n) + n) % n) // n"
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8))",
+    ]
+    near = "SELECT vec_id, v.x, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS d FROM v, c{k} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c.c) = 1"
+    for k in range(rounds):
+        parts.append(f"a{k} AS MATERIALIZED ({near.format(k=k)})")
+        parts.append(f"m{k} AS (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(f.x, o.x) AS x FROM c{k} o LEFT JOIN (SELECT c, list(CAST({floor} AS BIGINT) ORDER BY i) AS x FROM m{k} GROUP BY c) f USING (c))")
+    parts.append(f"z AS ({near.format(k=rounds)})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, z.c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM z JOIN c{rounds} ON c{rounds}.c = z.c"""
+
+
+SQL["op12_centroids"] = _lloyd(10)
+
+SQL["op13_near_vectors"] = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+u AS MATERIALIZED (SELECT i, vec_id, label, x, sqrt(list_dot_product(x, x)) AS len FROM e
+  WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NOT NULL AND isfinite(v))) = len(x) AND len(list_filter(x, lambda v: v <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM u a JOIN u b ON a.label = b.label AND a.i <> b.i AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.len * b.len) >= 0.98),
+r(a, b) AS (SELECT i, i FROM e UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.a, min(e.vec_id) AS component_id FROM r JOIN e ON e.i = r.b GROUP BY r.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, coalesce(e.vec_id = component_id, component_id IS NULL) AS kept FROM e JOIN c ON c.a = e.i LEFT JOIN n ON n.a = e.i"""

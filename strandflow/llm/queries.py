@@ -90,4 +90,22 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_file(), vocabulary=VOCABULARY)
 
 
-QUERIES = {"op6_substrings": op6_substrings, "op1_near_duplicates": op1_near_duplicates, "op2_urls": op2_urls, "op7_secrets": op7_secrets, "op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op11_phrases": op11_phrases, "op12_centroids": op12_centroids, "op13_near_vectors": op13_near_vectors, "op6_substrings": op6_substrings, "op1_near_duplicates": op1_near_duplicates, "op2_urls": op2_urls, "op7_secrets": op7_secrets, "op3_mix": op3_mix, "op8_shuffle": op8_shuffle, "op10_tokens": op10_tokens, "op4_language": op4_language, "op5_weak_quality": op5_weak_quality, "op9_decontaminate": op9_decontaminate}
