@@ -3,9 +3,9 @@
 Pieces.  Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these at blanks and tabs into words.
 
 Shards.  The texts of a language that a task reads make shards of about ``shard_bytes``.  Each word of a shard has a
-bitmap of its positions: packed bits where it holds a position in 32 or more, sorted positions otherwise.  A position
-between two pieces belongs to no word, so nothing that is shifted reaches over it.  Shards are written once and hold all
-that later steps need.
+bitmap of its positions: packed bits where it holds a position in 32 or more, sorted positions otherwise (as differences);
+both are compressed.  A position between two pieces belongs to no word, so nothing that is shifted reaches over it.  Shards
+are written once and hold all that later steps need.
 
 Counts, in two walks over the bitmaps, whose popcounts are summed over all shards:
 
@@ -19,7 +19,7 @@ Counts, in two walks over the bitmaps, whose popcounts are summed over all shard
 
 Every count is exact: nothing is sampled, and a phrase is left out only when a part of it is below ``least`` over all
 shards.  A word, a pair or a phrase is one row a shard before it is shuffled.  The dictionary of a shard and what is kept
-of it travel to the shard by its number; no vocabulary is broadcast.
+of it travel to the shard by its number (a cogroup); no vocabulary is broadcast.
 
 Scores are decimals of 38 digits, exact up to counts of 10^16.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ PARTITION_BITS, SHARD_BITS, CODE_BITS = 22, 15, 26
 SHARD = "lang string, shard long, n_positions long, words array<string>, counts array<int>, places binary, bits binary"
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """32-bit numbers as compressed differences, like bytes of each beside each other."""
+    planes = np.diff(x.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32).view(np.int32)
+
+
 def positions(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words of the texts one after the other, dictionary-encoded, ``.`` for the end of a piece; which code is ``.``."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -73,7 +85,7 @@ def bitmaps(texts: pa.Array) -> tuple[int, pa.Array, np.ndarray, bytes, bytes] |
         bit = np.zeros(len(code), dtype=np.uint8)
         bit[order[first[w] : first[w] + size[w]]] = 1
         packed.append(np.packbits(bit).tobytes())
-    return len(code), words.dictionary.take(pa.array(keep)), size[keep].astype(np.int32), places.tobytes(), b"".join(packed)
+    return len(code), words.dictionary.take(pa.array(keep)), size[keep].astype(np.int32), squeezed(places), zstandard.ZstdCompressor(level=1).compress(b"".join(packed))
 
 
 def to_shards(batches, shard_bytes: int):
@@ -117,13 +129,13 @@ class Bitmaps:
     """The bitmaps of a shard's frequent words, numbered from 1 in the order of ``codes``."""
 
     def __init__(self, n: int, counts: np.ndarray, places: bytes, bits: bytes, codes: np.ndarray, longest: int):
-        number = np.zeros(len(counts), dtype=np.int64)
-        number[codes] = np.arange(1, len(codes) + 1)
+        number = np.zeros(len(counts), dtype=np.int32)
+        number[codes] = np.arange(1, len(codes) + 1, dtype=np.int32)
         dense = counts.astype(np.int64) * DENSE >= n
         self.size = len(codes) + 1
-        self.owner = np.zeros(n + longest, dtype=np.int64)  # which bitmap holds a position
-        self.owner[np.frombuffer(places, np.int32)] = np.repeat(number[~dense], counts[~dense])
-        rows = np.frombuffer(bits, np.uint8).reshape(int(dense.sum()), -1) if dense.any() else np.zeros((0, 0), np.uint8)
+        self.owner = np.zeros(n + longest, dtype=np.int32)  # which bitmap holds a position
+        self.owner[unsqueezed(places)] = np.repeat(number[~dense], counts[~dense])
+        rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8).reshape(int(dense.sum()), -1) if dense.any() else np.zeros((0, 0), np.uint8)
         live = number[dense] > 0
         self.packed, self.packed_number = rows[live], number[dense][live]
         for row, w in zip(self.packed, self.packed_number, strict=True):
@@ -135,7 +147,7 @@ class Bitmaps:
         """(first, second, popcount) of each pair of words that occurs."""
         left, right = self.owner[:-1], self.owner[1:]
         sparse = (left > 0) & (right > 0) & ~(self.is_packed[left] & self.is_packed[right])
-        key, n = np.unique(left[sparse] * self.size + right[sparse], return_counts=True)
+        key, n = np.unique(left[sparse].astype(np.int64) * self.size + right[sparse], return_counts=True)
         found = [(key // self.size, key % self.size, n)]
         for i, row in zip(self.packed_number, self.packed, strict=True):
             shifted = np.packbits(np.concatenate((np.zeros(1, np.uint8), np.unpackbits(row)[:-1])))
@@ -148,7 +160,7 @@ class Bitmaps:
         """(words of a phrase, one column each; popcounts) of phrases of three words to ``longest`` along the given pairs."""
         allowed = np.sort(first * self.size + second)
         at = np.flatnonzero((self.owner[:-1] > 0) & (self.owner[1:] > 0))
-        key = self.owner[at] * self.size + self.owner[at + 1]
+        key = self.owner[at].astype(np.int64) * self.size + self.owner[at + 1]
         slot = np.minimum(np.searchsorted(allowed, key), max(len(allowed) - 1, 0))
         at = at[allowed[slot] == key] if len(allowed) else at[:0]
         follows = np.zeros(len(self.owner), dtype=bool)
@@ -161,7 +173,7 @@ class Bitmaps:
                 cuts.append(end)
         for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
             now = at[lo:hi]
-            group = self.owner[now] * self.size + self.owner[now + 1]
+            group = self.owner[now].astype(np.int64) * self.size + self.owner[now + 1]
             for m in range(3, longest + 1):
                 on = follows[now + m - 2]
                 now, group = now[on], group[on]
@@ -172,17 +184,6 @@ class Bitmaps:
                 yield np.stack([self.owner[now[one] + i] for i in range(m)]), n
 
 
-def _few_rows(df: DataFrame, name: str) -> DataFrame:
-    """Staged with two rows in an Arrow batch: a row is a shard."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "2")
-    try:
-        return staged(df, name)
-    finally:
-        spark.conf.set(key, before)
-
-
 def counted_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, shard_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, m, f) of every phrase of one to ``longest`` words with ``least`` occurrences or more, m its words;
     and (lang, n), the number of all words."""
@@ -196,44 +197,49 @@ def counted_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     known = listed.select("*", F.sum("c").over(same).alias("f"), F.min(place).over(same).alias("id")).where(F.col("f") >= least)
     known = staged(known.select("lang", "shard", "code", "word", "f", "id"), "phrase-words")
     words = known.where(F.col("id") == place).select("lang", "id", F.col("word").alias("phrase"), "f")
-    of_shard = known.groupBy("shard").agg(F.collect_list(F.struct("code", "id")).alias("known"))  # a shard's dictionary at most
-    body = shards.select("shard", "n_positions", "counts", "places", "bits").join(of_shard, "shard")
-
-    def rows_of(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = {k: batch.column(k)[i] for k in batch.schema.names}
-                code, word = (np.asarray(cell["known"].values.field(k)) for k in (0, 1))
-                counts = np.asarray(cell["counts"].values)
-                yield cell, word, Bitmaps(cell["n_positions"].as_py(), counts, cell["places"].as_py(), cell["bits"].as_py(), code, longest)
-
-    def pairs(batches):
-        for cell, word, maps in rows_of(batches):
-            a, b, n = maps.pairs()
-            for lo in range(0, len(n), 1 << 17):
-                own = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[own]), cell["shard"].as_py())), pa.array(word[a[own] - 1]), pa.array(word[b[own] - 1]), pa.array(n[own])], names=["shard", "w1", "w2", "c"])
-
-    def phrases(batches):
-        for cell, word, maps in rows_of(batches):
-            by_id = np.argsort(word)
-            first, second = (by_id[np.searchsorted(word, np.asarray(cell["pairs"].values.field(k)), sorter=by_id)] + 1 for k in (0, 1))
-            for found, n in maps.longer(first, second, longest):
-                out = np.zeros((longest, len(n)), dtype=np.int64) - 1
-                out[: len(found)] = word[found - 1]
-                for lo in range(0, len(n), 1 << 17):
-                    own = slice(lo, lo + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in out), pa.array(n[own])], names=[*ids, "c"])
+    body = shards.select("shard", "n_positions", "counts", "places", "bits").groupBy("shard")
+    codes = known.select("shard", F.lit(0).alias("kind"), F.col("code").cast("long").alias("a"), F.col("id").alias("b"))
+
+    def opened(shard: pa.Table, listed: pa.Table) -> tuple[np.ndarray, np.ndarray, Bitmaps]:
+        """Ids of the shard's frequent words, its listed pairs of ids, and its bitmaps."""
+        kind, a, b = (listed.column(k).to_numpy() for k in ("kind", "a", "b"))
+        cell = {k: shard.column(k)[0] for k in shard.column_names}
+        maps = Bitmaps(cell["n_positions"].as_py(), np.asarray(cell["counts"].values), cell["places"].as_py(), cell["bits"].as_py(), a[kind == 0], longest)
+        return b[kind == 0], np.stack((a[kind == 1], b[kind == 1])), maps
+
+    def pairs(shard: pa.Table, listed: pa.Table) -> pa.Table:
+        names, kinds = ["shard", "w1", "w2", "c"], [pa.int64()] * 4
+        if not shard.num_rows or not listed.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        word, _, maps = opened(shard, listed)
+        a, b, n = maps.pairs()
+        return pa.table([pa.array(np.full(len(n), shard.column("shard")[0].as_py(), dtype=np.int64)), pa.array(word[a - 1]), pa.array(word[b - 1]), pa.array(n)], names=names)
+
+    ids = [f"w{i}" for i in range(1, longest + 1)]
+
+    def phrases(shard: pa.Table, listed: pa.Table) -> pa.Table:
+        schema = pa.schema([(x, pa.int64()) for x in [*ids, "c"]])
+        if not shard.num_rows or not listed.num_rows:
+            return schema.empty_table()
+        word, pair, maps = opened(shard, listed)
+        by_id = np.argsort(word)
+        first, second = (by_id[np.searchsorted(word, x, sorter=by_id)] + 1 for x in pair)
+        found = []
+        for code, n in maps.longer(first, second, longest):
+            out = np.full((longest, len(n)), -1, dtype=np.int64)
+            out[: len(code)] = word[code - 1]
+            found.append(pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(n)], schema=schema))
+        return pa.Table.from_batches(found, schema)
 
     pair = Window.partitionBy("w1", "w2")  # a row for each shard at most
-    counted = body.mapInArrow(pairs, "shard long, w1 long, w2 long, c long").withColumn("f", F.sum("c").over(pair)).where(F.col("f") >= least)
-    counted = _few_rows(counted.select("shard", "w1", "w2", "f"), "phrase-pairs")
+    counted = body.cogroup(codes.groupBy("shard")).applyInArrow(pairs, "shard long, w1 long, w2 long, c long")
+    counted = counted.withColumn("f", F.sum("c").over(pair)).where(F.col("f") >= least)
+    counted = staged(counted.select("shard", "w1", "w2", "f"), "phrase-pairs")
     found = [(2, counted.groupBy("w1", "w2").agg(F.max("f").alias("f")))]
     if longest > 2:
-        ids = [f"w{i}" for i in range(1, longest + 1)]
-        allowed = counted.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("pairs"))  # a shard's pairs at most
-        longer = body.join(allowed, "shard").mapInArrow(phrases, ", ".join(f"{x} long" for x in ids) + ", c long")
-        longer = _few_rows(longer.groupBy(*ids).agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrase-longer")
+        allowed = codes.unionByName(counted.select("shard", F.lit(1).alias("kind"), F.col("w1").alias("a"), F.col("w2").alias("b")))
+        longer = body.cogroup(allowed.groupBy("shard")).applyInArrow(phrases, ", ".join(f"{x} long" for x in [*ids, "c"]))
+        longer = staged(longer.groupBy(*ids).agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrase-longer")
         found += [(m, longer.where(" and ".join(f"{x} {'>=' if i < m else '<'} 0" for i, x in enumerate(ids)))) for m in range(3, longest + 1)]
     out = words.select("lang", "phrase", F.lit(1).alias("m"), "f")
     for m, level in found:
