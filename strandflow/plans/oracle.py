@@ -96,6 +96,11 @@ QUERIES = {
     "root_threshold": "SELECT count(*) AS n_roots, round(avg(w),9) AS mean_w, round(0.2*avg(w),9) AS border FROM roots",
     "edge_prune": "SELECT * FROM pruned",
     "branch_positions": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM pruned GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
+    "branch_positions_all_roots": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM pruned GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
+    "path_counts": "SELECT CAST(vi AS INT) AS vi, node, CAST(count(*) AS DECIMAL(38,0)) AS n_paths FROM walk GROUP BY vi, node",
+    "path_ends": "SELECT CAST(vi AS INT) AS vi, node, CAST(count(*) AS DECIMAL(38,0)) AS n_paths FROM walk GROUP BY vi, node",
+    "region_split": """SELECT CAST(a AS INT) AS first_site, CAST(b AS INT) AS last_site, n_paths FROM counted c WHERE (n_paths<=2 OR b-a+1<8)
+      AND NOT EXISTS (SELECT 1 FROM counted o WHERE o.a<=c.a AND o.b>=c.b AND (o.a<c.a OR o.b>c.b) AND (o.n_paths<=2 OR o.b-o.a+1<8))""",
     "local_haplotypes": "SELECT seq, CAST(length(seq) AS INT) AS n_sites FROM walk WHERE vi+2=19 AND length(seq)=20",
     "global_haplotypes": "SELECT a.s || b.s AS seq FROM (SELECT DISTINCT substr(cseq,1,10) AS s FROM chaps) a, (SELECT DISTINCT substr(cseq,11,10) AS s FROM chaps) b",
     "haplotype_product": "SELECT CAST(2 AS BIGINT) AS n_regions, CAST(count(DISTINCT substr(cseq,1,10))*count(DISTINCT substr(cseq,11,10)) AS BIGINT) AS product FROM chaps",
@@ -138,6 +143,15 @@ LOCAL = {
     "split_reads": {"b": "SELECT CAST(cstart+length(cseq)-length(ltrim(cseq,'.')) AS INT) AS s, trim(cseq,'.') AS body, cnt FROM compacted WHERE trim(cseq,'.')<>''"},
     "branch_positions": {"walk": "SELECT vi, node, node AS seq FROM begun UNION ALL SELECT e.vi+1, e.dst, w.seq || right(e.dst,1) FROM walk w JOIN pruned e ON e.vi=w.vi AND e.src=w.node"},
 }
+LOCAL["branch_positions_all_roots"] = {"walk": LOCAL["branch_positions"]["walk"].replace("FROM begun", "FROM roots", 1)}
+LOCAL["path_counts"] = LOCAL["branch_positions_all_roots"]
+LOCAL["path_ends"] = {"walk": "SELECT DISTINCT vi+1 AS vi, dst AS node FROM pruned WHERE vi+3=19 UNION ALL SELECT e.vi, e.src FROM walk w JOIN pruned e ON e.vi+1=w.vi AND e.dst=w.node"}
+LOCAL["region_split"] = {
+    "walk": "SELECT 0 AS a, 19 AS b UNION ALL SELECT CASE WHEN s=0 THEN a ELSE (a+b)//2+1 END, CASE WHEN s=0 THEN (a+b)//2 ELSE b END FROM walk, (SELECT unnest([0, 1]) AS s) WHERE b-a+1>=8",
+    "ownroots": "SELECT a, b, e.vi, e.src AS node, sum(e.w) AS w FROM walk JOIN edges e ON e.vi BETWEEN a AND b-3 WHERE e.vi=a OR NOT EXISTS (SELECT 1 FROM edges f WHERE f.vi+1=e.vi AND f.dst=e.src) GROUP BY ALL",
+    "stepped": "SELECT a, b, vi, node FROM ownroots o WHERE vi=a AND w>=(SELECT round(0.2*avg(w), 9) FROM ownroots i WHERE i.a=o.a AND i.b=o.b) UNION ALL SELECT s.a, s.b, e.vi+1, e.dst FROM stepped s JOIN pruned e ON e.vi=s.vi AND e.src=s.node WHERE e.vi<=s.b-3",
+    "counted": "SELECT w.a, w.b, count(s.node) AS n_paths FROM walk w LEFT JOIN stepped s ON s.a=w.a AND s.b=w.b AND s.vi=w.b-2 GROUP BY w.a, w.b",
+}
 LOCAL["local_haplotypes"] = {"walk": LOCAL["branch_positions"]["walk"].replace("FROM begun", "FROM begun WHERE vi=0", 1)}
 
 
@@ -154,7 +168,7 @@ def _sql(name: str) -> str:
 
     going: set[str] = set()
     need(QUERIES[name])
-    return "WITH RECURSIVE " + ",\n".join(f"{x} AS {'' if x == 'walk' else 'MATERIALIZED '}({parts[x]})" for x in order) + "\n" + QUERIES[name] if order else QUERIES[name]
+    return "WITH RECURSIVE " + ",\n".join(f"{x} AS {'' if x in ('walk', 'stepped') else 'MATERIALIZED '}({parts[x]})" for x in order) + "\n" + QUERIES[name] if order else QUERIES[name]
 
 
 SQL = {name: _sql(name) for name in QUERIES}

@@ -220,10 +220,25 @@ def _walkable(t: Tables) -> tuple[DataFrame, DataFrame]:
     return staged(graph.edge_prune(edges), "pruned"), staged(graph.started(edges), "starts")
 
 
+def _from_all_roots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pruned edges and every root, whatever its weight: more of the graph is reached than from the roots that count."""
+    edges = staged(t.edges, "edges")
+    return staged(graph.edge_prune(edges), "pruned"), staged(graph.started(edges, 0.0), "starts")
+
+
 def branch_positions(t: Tables) -> DataFrame:
     return graph.branch_positions(*_walkable(t), K)
 
 
+def path_counts(t: Tables) -> DataFrame:
+    return graph.reached(*_from_all_roots(t))
+
+
+def path_ends(t: Tables) -> DataFrame:
+    edges, begin = _from_all_roots(t)
+    return graph.leading(edges, graph.ends_at(edges, begin, B2 - 1, K))
+
+
 def local_haplotypes(t: Tables) -> DataFrame:
     return graph.local_haplotypes(*_walkable(t), B1, B2 - 1, K)
 
@@ -234,8 +249,7 @@ def haplotype_product(t: Tables) -> DataFrame:
 
 
 def region_split(t: Tables) -> DataFrame:
-    rows = graph.region_split(t.compacted, B1, B2 - 1, k=K, most=2)
-    return t.spark.createDataFrame(rows, "first_site int, last_site int, n_paths long")
+    return graph.region_split(t.compacted, B1, B2 - 1, k=K, most=2)  # a small bound, so that the short genome is split
 
 
 def local_prune(t: Tables) -> DataFrame:
@@ -341,6 +355,9 @@ BUILD = {
     "root_threshold": root_threshold,
     "edge_prune": lambda t: graph.edge_prune(t.edges),
     "branch_positions": branch_positions,
+    "branch_positions_all_roots": lambda t: graph.branch_positions(*_from_all_roots(t), K),
+    "path_counts": path_counts,
+    "path_ends": path_ends,
     "local_haplotypes": local_haplotypes,
     "global_haplotypes": lambda t: graph.global_haplotypes(t.halves()),
     "haplotype_product": haplotype_product,
