@@ -45,9 +45,12 @@ def started(edges: DataFrame, share: float = ROOT_SHARE) -> DataFrame:
     return roots.crossJoin(F.broadcast(root_threshold(roots, share))).where("w >= border").select("vi", "node")  # one row
 
 
-def branch_positions(edges: DataFrame, begin: DataFrame, k: int = K, last: int | None = None) -> DataFrame:
-    """(vi): sites that a reached node with two ways on decides; edges beyond site ``last`` aren't followed."""
-    forks = edges.groupBy("vi", "src").count().where("count > 1").select("vi", F.col("src").alias("node"))
+def branch_positions(edges: DataFrame, begin: DataFrame, k: int = K, last: int | None = None, ways: DataFrame | None = None) -> DataFrame:
+    """(vi): sites that a reached node with two ways on decides; edges beyond site ``last`` aren't followed.
+
+    ``ways``: the edges that make a fork, by default those that are followed.  Edges of the least weight make one even where
+    pruning by share keeps only one of them."""
+    forks = (edges if ways is None else ways).groupBy("vi", "src").count().where("count > 1").select("vi", F.col("src").alias("node"))
     return forks.join(reached(edges, begin, last).select("vi", "node"), ["vi", "node"], "left_semi").select((F.col("vi") + k - 1).alias("vi")).distinct()
 
 

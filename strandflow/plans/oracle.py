@@ -96,7 +96,7 @@ QUERIES = {
     "root_threshold": "SELECT count(*) AS n_roots, round(avg(w),9) AS mean_w, round(0.2*avg(w),9) AS border FROM roots",
     "edge_prune": "SELECT * FROM pruned",
     "branch_positions": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM pruned GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
-    "branch_positions_all_roots": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM pruned GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
+    "branch_positions_all_ways": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM edges GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
     "path_counts": "SELECT CAST(vi AS INT) AS vi, node, CAST(count(*) AS DECIMAL(38,0)) AS n_paths FROM walk GROUP BY vi, node",
     "path_ends": "SELECT CAST(vi AS INT) AS vi, node, CAST(count(*) AS DECIMAL(38,0)) AS n_paths FROM walk GROUP BY vi, node",
     "region_split": """SELECT CAST(a AS INT) AS first_site, CAST(b AS INT) AS last_site, n_paths FROM counted c WHERE (n_paths<=2 OR b-a+1<8)
@@ -143,8 +143,8 @@ LOCAL = {
     "split_reads": {"b": "SELECT CAST(cstart+length(cseq)-length(ltrim(cseq,'.')) AS INT) AS s, trim(cseq,'.') AS body, cnt FROM compacted WHERE trim(cseq,'.')<>''"},
     "branch_positions": {"walk": "SELECT vi, node, node AS seq FROM begun UNION ALL SELECT e.vi+1, e.dst, w.seq || right(e.dst,1) FROM walk w JOIN pruned e ON e.vi=w.vi AND e.src=w.node"},
 }
-LOCAL["branch_positions_all_roots"] = {"walk": LOCAL["branch_positions"]["walk"].replace("FROM begun", "FROM roots", 1)}
-LOCAL["path_counts"] = LOCAL["branch_positions_all_roots"]
+LOCAL["branch_positions_all_ways"] = {"walk": LOCAL["branch_positions"]["walk"].replace("FROM begun", "FROM roots", 1)}
+LOCAL["path_counts"] = LOCAL["branch_positions_all_ways"]
 LOCAL["path_ends"] = {"walk": "SELECT DISTINCT vi+1 AS vi, dst AS node FROM pruned WHERE vi+3=19 UNION ALL SELECT e.vi, e.src FROM walk w JOIN pruned e ON e.vi+1=w.vi AND e.dst=w.node"}
 LOCAL["region_split"] = {
     "walk": "SELECT 0 AS a, 19 AS b UNION ALL SELECT CASE WHEN s=0 THEN a ELSE (a+b)//2+1 END, CASE WHEN s=0 THEN (a+b)//2 ELSE b END FROM walk, (SELECT unnest([0, 1]) AS s) WHERE b-a+1>=8",

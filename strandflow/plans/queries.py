@@ -230,6 +230,12 @@ def branch_positions(t: Tables) -> DataFrame:
     return graph.branch_positions(*_walkable(t), K)
 
 
+def branch_positions_all_ways(t: Tables) -> DataFrame:
+    """Forks of the graph before any pruning: what errors make of the sites."""
+    edges, begin = _from_all_roots(t)
+    return graph.branch_positions(edges, begin, K, ways=t.edges)
+
+
 def path_counts(t: Tables) -> DataFrame:
     return graph.reached(*_from_all_roots(t))
 
@@ -355,7 +361,7 @@ BUILD = {
     "root_threshold": root_threshold,
     "edge_prune": lambda t: graph.edge_prune(t.edges),
     "branch_positions": branch_positions,
-    "branch_positions_all_roots": lambda t: graph.branch_positions(*_from_all_roots(t), K),
+    "branch_positions_all_ways": branch_positions_all_ways,
     "path_counts": path_counts,
     "path_ends": path_ends,
     "local_haplotypes": local_haplotypes,
