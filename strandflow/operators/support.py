@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import chars, r9
+from ..functions.tables import staged
 
 #: Sites a read must reach past a site on either side, least overlap and least equal bases of a
 #: supporting read; least share of the mean support; the fall of support that a haplotype does not survive.
@@ -29,9 +30,59 @@ def compact_match(compacted: DataFrame, haps: DataFrame) -> DataFrame:
     return both.select("cstart", "cseq", "cnt", "hap_id", match.alias("n_match"), differ.alias("n_mismatch"), F.size("p").alias("n_compared"))
 
 
+#: Haplotypes of one number of the bitmap index.
+BITS = 64
+
+
+def numbered(haps: DataFrame) -> DataFrame:
+    """(hap_id, n_sites, word, bit): the place of each haplotype in the bitmaps, in order of id; haplotypes are capped."""
+    place = F.row_number().over(Window.orderBy("hap_id")) - 1
+    return haps.select("hap_id", "cseq", F.length("cseq").alias("n_sites"), place.alias("at")).select("hap_id", "cseq", "n_sites", F.floor(F.col("at") / BITS).cast("int").alias("word"), (F.col("at") % BITS).cast("int").alias("bit"))
+
+
+def bitmap_index(places: DataFrame, end: int) -> DataFrame:
+    """(vi, base, word, bits): the haplotypes (``numbered``) that have the base at a site below ``end``, a bit each.
+
+    A haplotype that ends before a site differs from no read there, so it has its bit under every base.  Base ``*`` holds
+    those alone, for bases that no haplotype has."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    own = places.select("word", bit.alias("b"), F.posexplode(chars("cseq")).alias("vi", "base")).groupBy("vi", "base", "word").agg(F.bit_or("b").alias("bits"))
+    past = places.where(F.col("n_sites") < end).select("word", bit.alias("b"), F.explode(F.sequence(F.col("n_sites"), F.lit(end - 1))).alias("vi")).groupBy("vi", "word").agg(F.bit_or("b").alias("past"))
+    both = own.join(past, ["vi", "word"], "left").select("vi", "base", "word", F.col("bits").bitwiseOR(F.coalesce("past", F.lit(0).cast("long"))).alias("bits"))
+    # a base that one word of haplotypes has at a site needs the ended haplotypes of the other words, too
+    seen = own.select("vi", "base").distinct().join(past, "vi").join(own.select("vi", "base", "word"), ["vi", "base", "word"], "left_anti").select("vi", "base", "word", F.col("past").alias("bits"))
+    return both.unionByName(seen).unionByName(past.select("vi", F.lit("*").alias("base"), "word", F.col("past").alias("bits")))
+
+
+def fitting(compacted: DataFrame, haps: DataFrame) -> DataFrame:
+    """(cstart, cseq, hap_id, n_match, n_compared) of reads and haplotypes (hap_id, cseq) that differ nowhere.
+
+    A read's haplotypes are the AND of the bitmaps of its known bases, so that reads meet the index (sites x bases) by
+    equi-joins, and haplotypes only where they fit.  A read without known bases within any haplotype fits all.
+    ``n_match``: known sites that both cover; ``n_compared``: these and the read's gaps."""
+    places = staged(numbered(haps), "numbered")
+    most = places.agg(F.coalesce(F.max("n_sites"), F.lit(0)).alias("end"), F.coalesce(F.max("word"), F.lit(-1)).alias("word")).first()
+    index = staged(bitmap_index(places, most.end), "bitmaps")
+    reads = compacted.select("cstart", "cseq").distinct()
+    at = reads.select("cstart", "cseq", F.posexplode(chars("cseq")).alias("off", "base")).withColumn("vi", F.col("cstart") + F.col("off")).where((F.col("base") != ".") & (F.col("vi") < most.end))
+    has = index.select("vi", "base").distinct().withColumn("known", F.lit(True))
+    # rows of the index for the base, or else for none
+    at = at.join(has, ["vi", "base"], "left").select("cstart", "cseq", "vi", F.when(F.col("known"), F.col("base")).otherwise("*").alias("base"))
+    n_known = F.length(F.translate(F.substring("cseq", F.lit(1), F.greatest(F.lit(most.end) - F.col("cstart"), F.lit(0))), ".", ""))
+    needed = reads.select("cstart", "cseq", n_known.alias("n_known"))
+    met = at.join(index, ["vi", "base"]).groupBy("cstart", "cseq", "word").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    of_read = met.join(needed, ["cstart", "cseq"]).where("n = n_known and bits <> 0").select("cstart", "cseq", "word", "bits")
+    every = F.explode(F.sequence(F.lit(0), F.lit(most.word))) if most.word >= 0 else F.explode(F.array().cast("array<int>"))
+    free = needed.where("n_known = 0").select("cstart", "cseq", every.alias("word"), F.lit(-1).cast("long").alias("bits"))  # bits of no haplotype find none
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("bits", i) == 1)).alias("bit")
+    pairs = of_read.unionByName(free).select("cstart", "cseq", "word", bit).join(places.select("word", "bit", "hap_id", "n_sites"), ["word", "bit"])
+    inside = F.expr("substring(cseq, 1, greatest(n_sites - cstart, 0))")
+    return pairs.select("cstart", "cseq", "hap_id", F.length(F.translate(inside, ".", "")).alias("n_match"), F.length(inside).alias("n_compared"))
+
+
 def match_matrix(compacted: DataFrame, haps: DataFrame, least: int = 2) -> DataFrame:
     """(cstart, cseq, hap_id) of reads without a difference on ``least`` sites or more, gaps counted as sites."""
-    return compact_match(compacted, haps).where((F.col("n_mismatch") == 0) & (F.col("n_compared") >= least)).select("cstart", "cseq", "hap_id")
+    return fitting(compacted, haps).where(F.col("n_compared") >= least).select("cstart", "cseq", "hap_id")
 
 
 def supporting(compacted: DataFrame, haps: DataFrame, b1: int, b2: int, *, reach: int = REACH, overlap: int = OVERLAP, equal: int = EQUAL) -> DataFrame:
@@ -40,7 +91,8 @@ def supporting(compacted: DataFrame, haps: DataFrame, b1: int, b2: int, *, reach
     Fit is decided once per read and haplotype; only then sites are listed."""
     end = F.col("cstart") + F.length("cseq")
     size = F.least(end, F.lit(b2)) - F.greatest("cstart", F.lit(b1))
-    fit = compact_match(compacted.where(size >= overlap), haps).where((F.col("n_mismatch") == 0) & (F.col("n_match") >= equal))
+    wide = compacted.where(size >= overlap)
+    fit = wide.select("cstart", "cseq", "cnt").join(fitting(wide, haps).where(F.col("n_match") >= equal).select("cstart", "cseq", "hap_id"), ["cstart", "cseq"])
     first, last = F.greatest(F.col("cstart") + reach, F.lit(b1)), F.least(end - 1 - reach, F.lit(b2 - 1))
     at = fit.where(first <= last).select("cstart", "cseq", "cnt", "hap_id", F.explode(F.sequence(first, last)).alias("p"))
     known = lambda x: F.translate(x, ".", "") != ""

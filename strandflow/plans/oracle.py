@@ -115,6 +115,8 @@ QUERIES = {
     "read_fraction": "SELECT * FROM yvec",
     "fit_cost": "SELECT round(sum((y-coalesce(f,0))*(y-coalesce(f,0))), 6) AS cost FROM yvec LEFT JOIN (SELECT cstart, cseq, sum(h) AS f FROM matrix JOIN shares USING (hap_id) GROUP BY cstart, cseq) USING (cstart, cseq)",
     "credibility_score": "SELECT f.hap_id, round(least(1.0, min(CASE WHEN support < h*coalesce(total,0) THEN 1+(support-h*coalesce(total,0))/nullif(h*coalesce(total,0),0) ELSE 1.0 END)), 9) AS score FROM full_m f LEFT JOIN totals USING (p) JOIN shares s ON s.hap_id=f.hap_id GROUP BY f.hap_id",
+    "haplotype_sets": "SELECT haps, count(*) AS n, round(sum(y), 9) AS sy, round(sum(y*y), 9) AS syy FROM (SELECT cstart, cseq, string_agg(hap_id, ',' ORDER BY hap_id) AS haps FROM matrix GROUP BY cstart, cseq) JOIN yvec USING (cstart, cseq) GROUP BY haps",
+    "gram_matrix": "SELECT p.hap_id AS a, q.hap_id AS b, count(*) AS g FROM matrix p JOIN matrix q USING (cstart, cseq) GROUP BY ALL",
     "bucket_best": "SELECT * FROM best",
     "elbow_pick": "SELECT k, fit_id, cost FROM best WHERE k = (SELECT coalesce(min(CASE WHEN cost > 0.9*b THEN k END), max(k)) FROM (SELECT *, lag(cost) OVER (ORDER BY k) AS b FROM best))",
     "read_hap_distance": "SELECT * FROM dist",

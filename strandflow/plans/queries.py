@@ -259,14 +259,14 @@ def region_split(t: Tables) -> DataFrame:
 
 
 def local_prune(t: Tables) -> DataFrame:
-    sets = []
-    for a, b in ((B1, 10), (10, B2)):
+    """Two halves of the sites, pruned to under seven combinations: a small bound, as there are three haplotypes only."""
+    matrix, y = None, None
+    for i, (a, b) in enumerate(((B1, 10), (10, B2))):
         inside = t.compacted.where((F.col("cstart") < b) & (F.col("cend") >= a))
-        m = support.match_matrix(inside, t.compact_haps)
-        m = staged(m, "matrix")
-        sets.append(regress.normal_equations(m, support.read_fraction(inside, m))[:3])
-    rows = [(i, x) for i, ids in enumerate(regress.local_prune(sets, most=7)) for x in ids]
-    return t.spark.createDataFrame(rows, "region int, hap_id int")
+        m = staged(support.match_matrix(inside, t.compact_haps), "matrix")
+        parts = m.withColumn("region", F.lit(i)), support.read_fraction(inside, m).withColumn("region", F.lit(i))
+        matrix, y = parts if matrix is None else (matrix.unionByName(parts[0]), y.unionByName(parts[1]))
+    return regress.local_prune(regress.normal_equations(matrix, y), most=7)
 
 
 def _matched(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -275,8 +275,16 @@ def _matched(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _fit(t: Tables, solve) -> DataFrame:
-    ids, g, r, _ = regress.normal_equations(*_matched(t))
-    return t.spark.createDataFrame([(int(i), round(float(h), 5)) for i, h in zip(ids, solve(g, r), strict=True)], "hap_id int, h double")
+    return regress.fitted(regress.normal_equations(*_matched(t)), solve).select("hap_id", F.round("h", 5).alias("h"))
+
+
+def haplotype_sets(t: Tables) -> DataFrame:
+    sets = regress.haplotype_sets(*_matched(t))
+    return sets.select(F.array_join(F.transform("haps", lambda x: x.cast("string")), ",").alias("haps"), "n", F.round("sy", 9).alias("sy"), F.round("syy", 9).alias("syy"))
+
+
+def gram_matrix(t: Tables) -> DataFrame:
+    return regress.gram(regress.haplotype_sets(*_matched(t))).drop("region")
 
 
 def confusion(t: Tables) -> DataFrame:
@@ -380,7 +388,9 @@ BUILD = {
     "bucket_best": lambda t: support.bucket_best(t.fits),
     "elbow_pick": lambda t: support.elbow_pick(support.bucket_best(t.fits)),
     "local_prune": local_prune,
-    "stagewise_fit": lambda t: _fit(t, lambda g, r: regress.stagewise(g, r)),
+    "haplotype_sets": haplotype_sets,
+    "gram_matrix": gram_matrix,
+    "stagewise_fit": lambda t: _fit(t, regress.stagewise),
     "lagrangian_fit": lambda t: _fit(t, lambda g, r: regress.lagrangian(g, r, 0.001, 1)),
     "refit": lambda t: _fit(t, lambda g, r: regress.refit(g, r, 0.001, 1)),
     "fit_grid": grid,

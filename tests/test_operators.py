@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow.operators import cluster, compact, evaluate, graph, pileup, regress, simulate, support
 from strandflow.sources import reads as source
@@ -114,16 +115,25 @@ def test_model_choice(spark):
     assert got(support.elbow_pick(best.where("k = 1")), "k") == [(1,)]
 
 
-def test_regression():
+def test_regression(spark):
+    def pruned(sets, **kind):
+        return local_pruned(spark, sets, **kind)
+
     g, r = np.eye(3), np.array([0.6, 0.3, 0.1])
     for h in (regress.stagewise(g, r, 0.0, 1e-3), regress.lagrangian(g, r, 0.0, 1), regress.refit(g, r, 0.001, 2)):
         assert math.isclose(h.sum(), 1, abs_tol=1e-6) and np.allclose(h, r, atol=5e-3)
     assert np.allclose(regress.lagrangian(np.ones((1, 1)), np.ones(1), 0.1, 1), [1])
     assert math.isclose(regress.lagrangian(np.ones((2, 2)), np.ones(2), 0.0, 3).sum(), 1)
     assert math.isclose(regress.largest_eigenvalue(np.diag([1.0, 5.0])), 5, rel_tol=1e-2)
-    assert regress.local_prune([(["a", "b"], np.eye(2), np.array([1.0, 0.0]))] * 2, most=3) == [["a"], ["a"]]
+    assert pruned([(["a", "b"], np.eye(2), np.array([1.0, 0.0]))] * 2, most=3) == [["a"], ["a"]]
     with pytest.raises(RuntimeError):
-        regress.local_prune([(["a", "b"], np.eye(2), np.array([0.5, 0.5]))], most=1, rounds=2)
+        pruned([(["a", "b"], np.eye(2), np.array([0.5, 0.5]))], most=1, rounds=2)
+
+
+def local_pruned(spark, sets, **kind):
+    rows = [(i, ids, bytearray(np.ascontiguousarray(g, dtype=float).tobytes()), bytearray(np.asarray(r, dtype=float).tobytes()), 1.0) for i, (ids, g, r) in enumerate(sets)]
+    left = regress.local_prune(df(spark, rows, "region int, ids array<string>, g binary, r binary, yy double"), **kind)
+    return [sorted(x.hap_id for x in left.where(f"region = {i}").collect()) for i in range(len(sets))]
 
 
 def test_windows(spark):
@@ -174,11 +184,38 @@ def test_running_pileup(spark, tmp_path):
     assert got(spark.table("running"), "pos", "n_a", "n_c") == [(0, 1, 0), (1, 0, 2), (2, 0, 1)]
 
 
-def test_local_prune_steps_below_the_border():
+def test_local_prune_steps_below_the_border(spark):
     r = np.array([0.6, 0.4, 0.0016])
     fine, coarse = regress.stagewise(np.eye(3), r, 0.001), regress.stagewise(np.eye(3), r, 0.001, 1e-3)
     assert fine[2] < regress.LEAST <= coarse[2]
-    assert regress.local_prune([(list("abc"), np.eye(3), r)], most=3, rounds=2) == [["a", "b"]]
+    assert local_pruned(spark, [(list("abc"), np.eye(3), r)], most=3, rounds=2) == [["a", "b"]]
+
+
+def test_normal_equations_of_regions_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    p = rng.random((400, 40)) < 0.2
+    p[:, 39] = False  # fits no read, so it has no place in the fit
+    y = rng.random(400)
+    region = np.arange(400) % 2
+    matrix = df(spark, [(int(region[i]), int(i), "x", f"h{j:02d}") for i, j in zip(*np.nonzero(p), strict=True)], "region int, cstart int, cseq string, hap_id string")
+    ys = df(spark, [(int(region[i]), int(i), "x", float(y[i])) for i in range(400)], "region int, cstart int, cseq string, y double")
+    for row in regress.normal_equations(matrix, ys).collect():
+        own = (region == row.region) & p.any(1)
+        m = p[own].astype(float)
+        on = np.flatnonzero(m.any(0))
+        assert row.ids == [f"h{j:02d}" for j in on]
+        assert np.array_equal(np.frombuffer(row.g).reshape(len(on), -1), m[:, on].T @ m[:, on])
+        assert np.allclose(np.frombuffer(row.r), m[:, on].T @ y[own]) and math.isclose(row.yy, float(y[own] @ y[own]))
+
+
+def test_fits_of_a_wide_region_run_in_tasks(spark):
+    """600 haplotypes, shares of three: found again by fits whose reads are 30,000 but fall into few sets."""
+    pairs = spark.range(30_000).select(F.col("id").cast("int").alias("cstart"), F.lit("x").alias("cseq"), F.explode(F.expr("array(cast(id % 600 as int), cast((id * 7 + 1) % 600 as int))")).alias("hap_id")).distinct()
+    share = F.when(F.col("hap_id") == 5, 0.5).when(F.col("hap_id") == 77, 0.3).when(F.col("hap_id") == 400, 0.2).otherwise(0.0)
+    y = pairs.groupBy("cstart", "cseq").agg(F.sum(share).alias("y"))
+    assert regress.haplotype_sets(pairs, y).count() <= 600
+    h = {r.hap_id: r.h for r in regress.fitted(regress.normal_equations(pairs, y), lambda g, r: regress.stagewise(g, r, step=1e-3)).collect()}
+    assert len(h) == 600 and {k for k, v in h.items() if v > 0.05} == {5, 77, 400} and abs(h[5] - 0.5) < 0.05
 
 
 @pytest.mark.parametrize("most_places", [1 << 20, 2])
