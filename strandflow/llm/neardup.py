@@ -14,7 +14,8 @@ come first, to join most documents with few pairs.  What they leave open is sett
 
  * in a bucket of at most ``block`` members all pairs of different classes are verified, at most block - 1 a member;
  * in larger ones (copies too far from their origin, documents that share a passage) shingles tell which pairs can
-   still reach ``least``.  Shingles are counted over all members of large buckets.  Pairs that share a rare shingle (of
+   still reach ``least``.  Shingles are counted over all members of large buckets, in parts of about ``part_tokens`` that
+   are dealt by the shingle and counted in arrays.  Pairs that share a rare shingle (of
    three members at most) are found by it.  A pair that shares none overlaps in common shingles only, so both
    members' common shingles bound the size of the other: a document with a ninth of shingles of its own has no partner
    of its size.  Members are met within bucket and size class, and only where the bound allows the pair.
@@ -185,7 +186,7 @@ def absorbed(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(every.join(top, every["comp"] == top["t"], "left").select("node", F.coalesce("ct", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, rounds: int = 2, block: int = 64, part_tokens: int = 1 << 17) -> DataFrame:
     """(id, ``class_id``, ``kept``) of each distinct document id; one document of each class is kept."""
     slots = bands * rows
 
@@ -210,18 +211,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * ODD_LONGS, pa.int32()), pa.array(odd.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bag, pa.binary()), lists, sketch], names=["node", "bag", "tokens", "odd"])
 
-    def holders(batches):
-        """Of each token of a batch: how many rows hold it, the least and the greatest node, and the xor of all."""
-        for batch in batches:
-            lists = batch.column(1)
-            token = lists.flatten().to_numpy(zero_copy_only=False)
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(np.asarray(lists.offsets)))
-            order = np.argsort(token)
-            token, node = token[order], node[order]
-            if len(token):
-                head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-                found = (token[head], np.diff(np.concatenate((head, [len(token)]))), *(how.reduceat(node, head) for how in (np.minimum, np.maximum, np.bitwise_xor)))
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["token", "f", "p", "q", "x"])
+    def holders(parts: int):
+        def run(batches):
+            """Of each token of a batch: how many rows hold it, the least and the greatest node, and the xor of all; a row for
+            each part of the tokens, which are dealt by their value."""
+            for batch in batches:
+                lists = batch.column(1)
+                token = lists.flatten().to_numpy(zero_copy_only=False)
+                node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(np.asarray(lists.offsets)))
+                part = (mixed(token.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((token, part))
+                token, node, part = token[order], node[order], part[order]
+                if len(token):
+                    head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+                    found = np.stack([token[head], np.diff(np.concatenate((head, [len(token)]))), *(how.reduceat(node, head) for how in (np.minimum, np.maximum, np.bitwise_xor))])
+                    own = part[head]
+                    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[cut[:-1]]), pa.array([found[:, i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["part", "held"])
+
+        return run
+
+    def rare(table: pa.Table) -> pa.Table:
+        """Of a part's tokens that three rows hold at most: (a, null, k), how many a node holds, and (a, b, k), how many two
+        nodes have in common."""
+        found = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(5, -1) for x in table.column("held")], axis=1)
+        found = found[:, np.argsort(found[0], kind="stable")]
+        head = np.flatnonzero(np.concatenate(([True], found[0][1:] != found[0][:-1])))
+        f, p, q, x = (how.reduceat(v, head) for how, v in zip((np.add, np.minimum, np.maximum, np.bitwise_xor), found[1:], strict=True))
+        f, p, q, x = (v[f <= 3] for v in (f, p, q, x))
+        third = np.where(f == 3, x ^ p ^ q, p)
+        second, last = q != p, (third != p) & (third != q)
+        who, n = np.unique(np.concatenate((p, q[second], third[last])), return_counts=True)
+        pairs = np.concatenate([np.stack([u[on], v[on]]) for u, v, on in ((p, q, second), (p, third, last), (q, third, last & second))], axis=1)
+        pairs, k = np.unique(np.sort(pairs, axis=0), axis=1, return_counts=True)
+        b = pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(pairs[1])])
+        return pa.table([pa.array(np.concatenate((who, pairs[0]))), b, pa.array(np.concatenate((n, k)))], names=["a", "b", "k"])
 
     def overlap(batches):
         for batch in batches:
@@ -279,16 +303,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         hot = large.groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.sort_array(F.collect_set("band")).alias("bands"))  # at most ``bands`` a text
         hot = staged(hot, "near-hot")
         of_hot = bags.join(hot.select("node"), "node", "left_semi")
-        token = of_hot.select("node", "tokens").mapInArrow(holders, "token long, f long, p long, q long, x long")
-        held = token.groupBy("token").agg(F.sum("f").alias("f"), F.min("p").alias("p"), F.max("q").alias("q"), F.bit_xor("x").alias("x")).where("f <= 3")
-        # up to three rows of a token: p, q, and what is left of x
-        held = staged(held.select(F.array_distinct(F.array("p", "q", F.when(F.col("f") == 3, F.col("x").bitwiseXOR(F.col("p")).bitwiseXOR(F.col("q"))).otherwise(F.col("p")))).alias("who")), "near-rare")
-        total = of_hot.groupBy("node").agg(F.sum(F.size("tokens")).alias("all"))
-        own = total.join(held.select(F.explode("who").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
+        total = staged(of_hot.groupBy("node").agg(F.sum(F.size("tokens")).alias("all")), "near-sizes")
+        parts = max(1, -(-(total.agg(F.sum("all")).first()[0] or 0) // part_tokens))
+        token = of_hot.select("node", "tokens").mapInArrow(holders(parts), "part long, held binary")
+        held = staged(token.groupBy("part").applyInArrow(rare, "a long, b long, k long"), "near-rare")
+        own = total.join(held.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("own")), "node", "left")
         known = staged(hot.join(own.select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("common")), "node"), "near-common")
 
-        by_token = held.where("size(who) > 1").select("who", F.posexplode("who").alias("i", "a")).select("a", F.explode(F.expr("slice(who, i + 2, 2)")).alias("b"))
-        met = by_token.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+        met = held.where("b is not null").groupBy("a", "b").agg(F.sum("k").alias("k"))
         for side in "ab":
             met = met.join(known.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("comp").alias(f"c{side}"), F.col("common").alias(f"s{side}")), side)
         met = met.where((F.col("ca") != F.col("cb")) & ((F.col("k") + F.least("sa", "sb")) * both >= F.col("na") + F.col("nb"))).select("a", "b", F.lit(1).cast("long").alias("votes"))
