@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import CLUSTER_ORDER, assembled, explode_bases, order_rank, r9
+from ..functions.seq import CLUSTER_ORDER, assembled, chars, explode_bases, r9
+from ..functions.tables import staged
+from ..sources.stages import StageStore
 from .pileup import majority
 
 #: Inside share of a window's read, concentration, sweeps, first sweep of the history, classes at first.
@@ -25,14 +27,27 @@ def window_grid(spark: SparkSession, first: int, last: int, length: int, stride:
     return starts.select("window_id", "w_start", (F.col("w_start") + length).alias("w_end"))
 
 
-def window_membership(reads: DataFrame, windows: DataFrame, inside: float = INSIDE) -> DataFrame:
-    """(window_id, start_pos, seq, cnt) of reads that lie in a window with more than this share of their length.
+def windows_over(reads: DataFrame, length: int, stride: int) -> DataFrame:
+    """``window_grid`` from the first place where a read begins to the last."""
+    ends = reads.agg(F.min("start_pos").alias("first"), F.max("start_pos").alias("last")).where("first is not null")
+    starts = ends.select(F.posexplode(F.sequence("first", "last", F.lit(stride))).alias("window_id", "w_start"))
+    return starts.select("window_id", "w_start", (F.col("w_start") + length).alias("w_end"))
+
+
+def window_membership(reads: DataFrame, windows: DataFrame, inside: float = INSIDE, width: int = 256) -> DataFrame:
+    """(window_id, and the columns of ``reads``) of reads that lie in a window with more than this share of their length.
 
-    The grid is broadcast: it has one row per stride of a genome."""
+    Reads and windows meet by equal bins of ``width`` places, and by ``contig`` where both have it; a pair is judged in the
+    first bin that both reach, so it comes once.  An empty read is in no window."""
     n = F.length("seq")
     part = n - F.greatest(F.lit(0), F.col("w_start") - F.col("start_pos")) - F.greatest(F.lit(0), F.col("start_pos") + n - F.col("w_end"))
-    joined = reads.join(F.broadcast(windows), (F.col("start_pos") < F.col("w_end")) & (F.col("start_pos") + n > F.col("w_start")))
-    return joined.where(part / n > inside).select("window_id", *reads.columns)
+    first, last = F.floor(F.col("start_pos") / width), F.floor((F.col("start_pos") + F.greatest(n, F.lit(1)) - 1) / width)
+    own = reads.withColumns({"__first": first, "__bin": F.explode(F.sequence(first, last))})
+    w_first, w_last = F.floor(F.col("w_start") / width), F.floor((F.col("w_end") - 1) / width)
+    grid = windows.withColumns({"__w_first": w_first, "__bin": F.explode(F.sequence(w_first, F.greatest(w_first, w_last)))})
+    keys = ["__bin", *(["contig"] if "contig" in reads.columns and "contig" in windows.columns else [])]
+    joined = own.join(grid, keys).where(F.col("__bin") == F.greatest("__first", "__w_first"))
+    return joined.where(part / F.nullif(n, F.lit(0)) > inside).select("window_id", *reads.columns)
 
 
 def window_sites(windows: DataFrame, variants: DataFrame) -> DataFrame:
@@ -110,18 +125,29 @@ def class_mode(history: DataFrame) -> DataFrame:
     return n.withColumn("r", best).where("r = 1").select("window_id", "read_id", "class_id")
 
 
+def window_votes(members: DataFrame, variants: DataFrame, assigned: DataFrame, consensus: DataFrame) -> DataFrame:
+    """(window_id, start_pos, seq, vi, off, base): what a window says of each base of its reads at variant sites.
+
+    Only bases at sites are made rows: a read's sites are taken from the window's classes, not from its whole sequence."""
+    at = members.join(assigned, ["window_id", "read_id"]).join(consensus, ["window_id", "class_id"]).join(variants.select("vi", "pos"), "vi")
+    off = F.col("pos") - F.col("start_pos") + 1
+    inside = at.withColumn("off", off).where((F.col("off") >= 0) & (F.col("off") < F.length("seq")))
+    return inside.where(F.expr("substring(seq, off + 1, 1)") != ".").select("window_id", "start_pos", "seq", "vi", F.col("off").cast("int").alias("off"), "base")
+
+
 def votes_of(members: DataFrame, variants: DataFrame, assigned: DataFrame, consensus: DataFrame) -> DataFrame:
-    """(start_pos, seq, off, base, n): what each window says of each base of its reads at variant sites."""
-    at = explode_bases(members).join(variants.select("vi", "pos"), "pos").where("base <> '.'")
-    own = at.join(assigned, ["window_id", "read_id"]).drop("base").join(consensus, ["window_id", "class_id", "vi"])
-    return own.groupBy("start_pos", "seq", "off", "base").agg(F.count(F.lit(1)).alias("n"))
+    """(start_pos, seq, off, base, n): the windows' votes, counted."""
+    return window_votes(members, variants, assigned, consensus).groupBy("start_pos", "seq", "off", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
 def majority_vote(reads: DataFrame, votes: DataFrame) -> DataFrame:
-    """(start_pos, seq, cnt, voted_seq): the majority of the windows' votes for each base, the read's own where none votes."""
-    best = majority(votes, ["start_pos", "seq", "off"], CLUSTER_ORDER).withColumnRenamed("base", "vote")
-    b = explode_bases(reads).join(best, ["start_pos", "seq", "off"], "left").withColumn("new", F.coalesce("vote", "base"))
-    return assembled(b, ["start_pos", "seq", "cnt"], "off", "new", "voted_seq")
+    """(start_pos, seq, cnt, voted_seq): the majority of the windows' votes for each base, the read's own where none votes.
+
+    Votes are few a read; they are put into its sequence as a map, and no sequence is taken apart into rows."""
+    best = majority(votes, ["start_pos", "seq", "off"], CLUSTER_ORDER)
+    of_read = best.groupBy("start_pos", "seq").agg(F.map_from_entries(F.collect_list(F.struct(F.col("off").cast("int").alias("off"), "base"))).alias("votes"))
+    new = F.array_join(F.transform(chars("seq"), lambda b, i: F.coalesce(F.col("votes")[i], b)), "")
+    return reads.join(of_read, ["start_pos", "seq"], "left").select("start_pos", "seq", "cnt", F.when(F.col("votes").isNull(), F.col("seq")).otherwise(new).alias("voted_seq"))
 
 
 def _log_sum(x: np.ndarray) -> float:
@@ -241,3 +267,21 @@ def clustering_votes(reads_with_ids: DataFrame, variants: DataFrame, windows: Da
     return majority_vote(reads_with_ids.drop("read_id"), votes)
 
 
+VOTES = "window_id int, start_pos int, seq string, off int, base string"
+
+
+def resumed_votes(store: StageStore, name: str, reads_with_ids: DataFrame, variants: DataFrame, windows: DataFrame, reference: DataFrame, *, windows_a_job: int = 16, **sampler) -> DataFrame:
+    """``clustering_votes`` whose windows are finished in the store, a few a job; windows that are there aren't made again."""
+    ids = [r.window_id for r in windows.select("window_id").orderBy("window_id").collect()]  # one row a stride of a genome
+
+    def votes(part: list[int]) -> DataFrame:
+        own = windows.where(F.col("window_id").isin(part))
+        members = staged(window_membership(reads_with_ids, own), "members")
+        sites = window_sites(own, variants)
+        bases = staged(site_bases(members, variants, sites), "bases")
+        assigned = staged(gibbs_assign(bases, members, sites, reference, **sampler), "assigned")
+        return window_votes(members, variants, assigned, class_consensus(bases, assigned)).drop("vi")
+
+    every = store.resumed(name, VOTES, "window_id", ids, votes, windows_a_job)
+    counted = every.groupBy("start_pos", "seq", "off", "base").agg(F.count(F.lit(1)).alias("n"))
+    return majority_vote(reads_with_ids.drop("read_id"), counted)

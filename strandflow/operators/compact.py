@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import assembled, explode_bases, joined
@@ -56,12 +56,21 @@ def compact_haplotypes(haplotypes: DataFrame, variants: DataFrame) -> DataFrame:
     return assembled(b.join(variants.select("vi", "pos"), "pos"), ["hap_id"], "vi", "base", "cseq")
 
 
-def asof_variant(places: DataFrame, variants: DataFrame) -> DataFrame:
-    """(x, vi) of each raw place: the first site at or after it, else the last site."""
-    last = variants.agg(F.max("vi").alias("last"))
-    sites = variants.agg(F.array_sort(F.collect_list(F.struct("pos", "vi"))).alias("s"))  # sites of one genome
-    after = F.get(F.filter("s", lambda v: v["pos"] >= F.col("x")), F.lit(0))["vi"]
-    return places.select("x").crossJoin(F.broadcast(sites)).crossJoin(F.broadcast(last)).select("x", F.coalesce(after, F.col("last")).alias("vi"))
+def asof_variant(places: DataFrame, variants: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(x, vi) of each raw place: the first site at or after it, else the last site; null without sites.
+
+    Distinct places and sites meet in ranges of ``width`` places, where each place takes the next site by a window; one that
+    has none in its range takes the first of a later range.  Nothing but one row a range is seen as a whole."""
+    known = places.select("x").distinct()
+    both = known.select(F.col("x").alias("at"), F.lit(None).cast("int").alias("vi"), F.lit(True).alias("asked"))
+    both = both.unionByName(variants.select(F.col("pos").alias("at"), F.col("vi").cast("int").alias("vi"), F.lit(False).alias("asked"))).withColumn("range", F.floor(F.col("at") / width))
+    edge = both.groupBy("range").agg(F.min("vi").alias("first"), F.max("vi").alias("last"))  # sites are numbered by place
+    later = F.min("first").over(Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing))
+    end = F.max("last").over(Window.partitionBy())
+    edge = edge.select("range", later.alias("later"), end.alias("end"))
+    following = F.first("vi", ignorenulls=True).over(Window.partitionBy("range").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    found = both.withColumn("next", following).where("asked").join(edge, "range").select(F.col("at").alias("x"), F.coalesce("next", "later", "end").alias("vi"))
+    return places.select("x").join(found, "x", "left")
 
 
 def raw_lineage(fixed: DataFrame, compacted: DataFrame) -> DataFrame:

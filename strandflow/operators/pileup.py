@@ -108,6 +108,33 @@ def merged_mates(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("start_1").alias("start_pos"), whole.alias("seq")).agg(F.sum("cnt").alias("cnt"))
 
 
+def named_mates(reads: DataFrame) -> DataFrame:
+    """(qname, n, start_1, seq_1, start_2, seq_2) of each read name of (qname, start_pos, seq): its mates in order of place,
+    the second null for a single read.  A name holds two mates at most, however many rows bear it; ``n`` tells."""
+    mate = F.struct("start_pos", "seq")
+    both = reads.groupBy("qname").agg(F.count(F.lit(1)).alias("n"), F.min(mate).alias("a"), F.max(mate).alias("b"))
+    second = lambda c: F.when(F.col("n") > 1, F.col(f"b.{c}"))
+    return both.select("qname", "n", F.col("a.start_pos").alias("start_1"), F.col("a.seq").alias("seq_1"), second("start_pos").alias("start_2"), second("seq").alias("seq_2"))
+
+
+def fragments(reads: DataFrame, with_mates: bool = False) -> DataFrame:
+    """(start_pos, seq, cnt) from aligned reads (qname, start_pos, seq): mates of a name merged, single reads as they are.
+
+    A name of three reads or more is an error that names it.  ``with_mates`` counts the reads of pairs by themselves, too,
+    as the original table does."""
+    named = named_mates(reads)
+    sure = F.when(F.col("n") > 2, F.raise_error(F.concat(F.lit("more than two reads named "), F.col("qname"))).cast("int")).otherwise(F.col("start_1"))
+    named = named.withColumn("start_1", sure)
+    merged = merged_mates(named.where(F.col("n") != 1).select("start_1", "seq_1", "start_2", "seq_2", F.lit(1).cast("long").alias("cnt")))
+    single = named.where("n = 1").select(F.col("start_1").alias("start_pos"), F.translate("seq_1", "N", "-").alias("seq"), F.lit(1).cast("long").alias("cnt"))
+    out = merged.unionByName(single)
+    if with_mates:
+        paired = named.where("n = 2")
+        for side in "12":
+            out = out.unionByName(paired.select(F.col(f"start_{side}").alias("start_pos"), F.translate(f"seq_{side}", "N", "-").alias("seq"), F.lit(1).cast("long").alias("cnt")))
+    return out.groupBy("start_pos", "seq").agg(F.sum("cnt").alias("cnt"))
+
+
 def gap_bounds(reads: DataFrame) -> DataFrame:
     """First and last gap of each read, 0-based; -1 without one."""
     first = F.instr("seq", ".") - 1

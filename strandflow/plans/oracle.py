@@ -48,7 +48,7 @@ PARTS = {
     "shares": "SELECT * FROM (VALUES (0, 0.6::DOUBLE), (1, 0.3::DOUBLE), (2, 0.1::DOUBLE)) v(hap_id, h)",
     "dist": "SELECT r.start_pos, r.seq, r.cnt, h.hap_id, CAST(len(list_filter(range(length(r.seq)), lambda i: substr(r.seq,i+1,1)<>substr(h.seq, r.start_pos+i, 1) AND substr(r.seq,i+1,1)<>'.')) AS INT) AS dist FROM reads r, haps h",
     "nearest": "SELECT start_pos, seq, cnt, hap_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY start_pos, seq ORDER BY dist, hap_id) AS r FROM dist) WHERE r=1",
-    "grid": "SELECT CAST((w-1)/20 AS INT) AS window_id, CAST(w AS INT) AS w_start, CAST(w+50 AS INT) AS w_end FROM (SELECT unnest(range(1, 82, 20)) AS w)",
+    "grid": "SELECT CAST((w-a)//20 AS INT) AS window_id, CAST(w AS INT) AS w_start, CAST(w+50 AS INT) AS w_end FROM (SELECT a, unnest(range(a, b+1, 20)) AS w FROM (SELECT min(start_pos) AS a, max(start_pos) AS b FROM reads))",
     "members": "SELECT window_id, r.* FROM numbered r JOIN grid g ON (length(seq) - greatest(0, w_start-start_pos) - greatest(0, start_pos+length(seq)-w_end)) / length(seq) > 0.75",
     "wsites": "SELECT window_id, w_start, w_end, min(vi) AS f_start, max(vi) AS f_end FROM grid JOIN variants ON pos+1>=w_start AND pos+1<w_end GROUP BY ALL",
     "mbases": "SELECT m.window_id, m.read_id, m.cnt, vi, base FROM members m JOIN bases b USING (start_pos, seq) JOIN variants v ON v.pos=b.pos JOIN wsites s ON s.window_id=m.window_id WHERE base<>'.' AND vi BETWEEN f_start AND f_end",
@@ -58,6 +58,10 @@ PARTS = {
     "fits": "SELECT c_custkey AS fit_id, CAST(1+c_custkey%9 AS INT) AS k, round((c_custkey*7919%10007)/10007.0::DOUBLE/10 + 2.0::DOUBLE/(1+c_custkey%9), 9) AS cost FROM customer",
     "best": "SELECT fit_id, k, cost FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY cost, fit_id) AS r FROM fits) WHERE r=1",
     "diffs": "SELECT pos FROM ent WHERE entropy>=0.005 EXCEPT SELECT pos FROM post WHERE n>1",
+    "frags": "SELECT start_pos, seq, count(*) AS cnt FROM (SELECT s1 AS start_pos, CASE WHEN s1%10=0 THEN replace(q1, 'N', '-') ELSE replace(q1 || repeat('.', CAST(greatest(s2-s1-length(q1),0) AS INT)) || CASE WHEN s1+length(q1)-s2>=length(q2) THEN '' ELSE substr(q2, greatest(s1+length(q1)-s2,0)+1) END, 'N', '-') END AS seq FROM mates) GROUP BY ALL",
+    "fdist": "SELECT r.start_pos, r.seq, r.cnt, h.hap_id, CAST(len(list_filter(range(length(r.seq)), lambda i: substr(r.seq,i+1,1)<>substr(h.seq, r.start_pos+i, 1) AND substr(r.seq,i+1,1)<>'.')) AS INT) AS dist FROM frags r, haps h",
+    "fnearest": "SELECT start_pos, seq, cnt, hap_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY start_pos, seq ORDER BY dist, hap_id) AS r FROM fdist) WHERE r=1",
+    "profile": "SELECT pos, hap_id, CAST(sum(CASE WHEN b.base=h.base THEN 1 ELSE 0 END) AS BIGINT) AS n_match, CAST(sum(CASE WHEN b.base<>h.base THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch, CAST(sum(CASE WHEN b.base=h.base AND n.dist=0 THEN 1 ELSE 0 END) AS BIGINT) AS n_exact FROM nearest n JOIN bases b USING (start_pos, seq) JOIN hbases h USING (hap_id, pos) WHERE b.base<>'.' GROUP BY pos, hap_id",
     "mates": "SELECT start_pos AS s1, substr(seq,1,20) AS q1, start_pos+10+start_pos%21 AS s2, replace(substr(seq, 11+start_pos%21, 20),'.','N') AS q2, cnt FROM reads",
 }
 
@@ -127,7 +131,13 @@ QUERIES = {
       FROM nearest n JOIN fixed f USING (start_pos, seq)) GROUP BY ALL""",
     "mismatch_profile": "SELECT pos, hap_id, CAST(sum(CASE WHEN b.base=h.base THEN 1 ELSE 0 END) AS BIGINT) AS n_match, CAST(sum(CASE WHEN b.base<>h.base THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch FROM nearest n JOIN bases b USING (start_pos, seq) JOIN hbases h USING (hap_id, pos) WHERE b.base<>'.' GROUP BY pos, hap_id",
     "length_buckets": "SELECT CASE WHEN length(replace(seq,'.',''))<33 THEN 33 WHEN length(replace(seq,'.',''))<37 THEN 37 ELSE 41 END AS bucket, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(CASE WHEN dist=0 THEN cnt ELSE 0 END) AS BIGINT) AS n_exact FROM nearest GROUP BY 1",
-    "diversity": "SELECT round(avg(d),9) AS mean_dist, round(avg(d/n),9) AS per_base FROM (SELECT a.hap_id, b.hap_id, sum(CASE WHEN a.base<>b.base THEN 1 ELSE 0 END) AS d, count(*) AS n FROM hbases a JOIN hbases b USING (pos) WHERE a.hap_id<b.hap_id GROUP BY ALL)",
+    "diversity": "SELECT round(avg(d),9)+0.0 AS mean_dist, round(avg(d/20),9)+0.0 AS per_base FROM (SELECT len(list_filter(range(20), lambda i: substr(a.seq,i+1,1)<>substr(b.seq,i+1,1))) AS d FROM walk a, walk b WHERE a.vi+2=19 AND b.vi+2=19 AND a.seq<b.seq)",
+    "fragment_length_buckets": "SELECT CASE WHEN length(seq)<25 THEN 25 WHEN length(seq)<35 THEN 35 ELSE 45 END AS bucket, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(CASE WHEN dist=0 THEN cnt ELSE 0 END) AS BIGINT) AS n_exact FROM fnearest WHERE start_pos>=20 AND start_pos+length(seq)<=100 GROUP BY 1",
+    "distance_histogram_region": "SELECT dist, hap_id, CAST(sum(cnt) AS BIGINT) AS cnt FROM nearest WHERE start_pos>=20 AND start_pos+length(seq)<=100 AND dist<100 GROUP BY dist, hap_id",
+    "mismatch_profile_exact": "SELECT pos, hap_id, n_exact AS n_match, n_mismatch FROM profile",
+    "odd_sites": "SELECT pos, hap_id, n_match, n_mismatch FROM profile WHERE pos BETWEEN 20 AND 99 AND pos IN (SELECT pos FROM profile WHERE n_mismatch>n_match OR n_mismatch>3)",
+    "sam_fragments": "SELECT * FROM frags",
+    "window_votes": "SELECT m.window_id, m.start_pos, m.seq, b.off, c.base FROM members m JOIN bases b USING (start_pos, seq) JOIN variants v ON v.pos=b.pos JOIN assigned a ON a.window_id=m.window_id AND a.read_id=m.read_id JOIN consensus c ON c.window_id=m.window_id AND c.class_id=a.class_id AND c.vi=v.vi WHERE b.base<>'.'",
     "site_report": "SELECT e.pos, entropy, n_dot, " + ", ".join(f"CAST(sum(CASE WHEN hap_id={h} THEN n.cnt ELSE 0 END) AS BIGINT) AS n_h{h}" for h in range(3)) + ", CAST(sum(CASE WHEN dist>0 THEN n.cnt ELSE 0 END) AS BIGINT) AS n_far FROM ent e JOIN bases b USING (pos) JOIN nearest n USING (start_pos, seq) GROUP BY e.pos, entropy, n_dot",
     "window_grid": "SELECT * FROM grid",
     "window_membership": "SELECT window_id, start_pos, seq, cnt FROM members",
@@ -154,7 +164,7 @@ LOCAL["region_split"] = {
     "stepped": "SELECT a, b, vi, node FROM ownroots o WHERE vi=a AND w>=(SELECT round(0.2*avg(w), 9) FROM ownroots i WHERE i.a=o.a AND i.b=o.b) UNION ALL SELECT s.a, s.b, e.vi+1, e.dst FROM stepped s JOIN pruned e ON e.vi=s.vi AND e.src=s.node WHERE e.vi<=s.b-3",
     "counted": "SELECT w.a, w.b, count(s.node) AS n_paths FROM walk w LEFT JOIN stepped s ON s.a=w.a AND s.b=w.b AND s.vi=w.b-2 GROUP BY w.a, w.b",
 }
-LOCAL["local_haplotypes"] = {"walk": LOCAL["branch_positions"]["walk"].replace("FROM begun", "FROM begun WHERE vi=0", 1)}
+LOCAL["local_haplotypes"] = LOCAL["diversity"] = {"walk": LOCAL["branch_positions"]["walk"].replace("FROM begun", "FROM begun WHERE vi=0", 1)}
 
 
 def _sql(name: str) -> str:

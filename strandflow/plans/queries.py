@@ -6,17 +6,18 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import explode_bases
+from ..functions.seq import assembled, explode_bases
 from ..functions.tables import staged
 from ..operators import cluster, compact, evaluate, graph, pileup, regress, simulate, support
 from ..sources import reads as source
 
 K, B1, B2 = 4, 0, 20
 SUPPORT = {"reach": 2, "overlap": 5, "equal": 4}
-WINDOW = {"first": 1, "last": 81, "length": 50, "stride": 20}
+WINDOW = {"length": 50, "stride": 20}
+REGION = (20, 100)
 THETA = 0.98
 SHARES = {0: 0.6, 1: 0.3, 2: 0.1}
 
@@ -102,7 +103,7 @@ class Tables:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return cluster.window_grid(self.spark, **WINDOW)
+        return cluster.windows_over(self.reads, **WINDOW)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -139,6 +140,19 @@ class Tables:
         k = (1 + key % 9).cast("int")
         return self.table("customer").select(key.alias("fit_id"), k.alias("k"), F.round((key * 7919 % 10007) / 10007.0 / 10 + 2.0 / k, 9).alias("cost"))
 
+    @cached_property
+    def fragments(self) -> DataFrame:
+        """Reads as mates of a name, some single."""
+        name = F.concat_ws(":", F.col("start_pos").cast("string"), "seq")
+        first = F.struct(F.col("start_pos").alias("start_pos"), F.expr("substring(seq, 1, 20)").alias("seq"))
+        second = F.struct((F.col("start_pos") + 10 + F.col("start_pos") % 21).alias("start_pos"), F.translate(F.expr("substring(seq, 11 + start_pos % 21, 20)"), ".", "N").alias("seq"))
+        mates = F.when(F.col("start_pos") % 10 == 0, F.array(first)).otherwise(F.array(second, first))
+        return pileup.fragments(self.reads.select(name.alias("qname"), F.explode(mates).alias("x")).select("qname", "x.*"))
+
+    @cached_property
+    def nearest_of_fragments(self) -> DataFrame:
+        return evaluate.nearest_haplotype(evaluate.read_hap_distance(self.fragments, self.haps))
+
     def halves(self) -> list[DataFrame]:
         """Distinct local haplotypes of the two halves of the sites."""
         return [self.compact_haps.select(F.expr(f"substring(cseq, {a}, 10)").alias("seq")).distinct() for a in (1, 11)]
@@ -190,6 +204,18 @@ def mate_merge(t: Tables) -> DataFrame:
     return merged.unionByName(single).groupBy("start_pos", "seq").agg(F.sum("cnt").alias("cnt"))
 
 
+def diversity(t: Tables) -> DataFrame:
+    """Of the haplotypes that the graph of the reads has."""
+    number = (F.row_number().over(Window.orderBy("seq")) - 1).alias("hap_id")  # local haplotypes are capped
+    return evaluate.diversity(local_haplotypes(t).select(number, "seq"))
+
+
+def simulate_variants(t: Tables) -> DataFrame:
+    """Variants of the genome that most reads have at each place."""
+    modes = pileup.site_mode(t.piled).select(F.lit(0).alias("hap_id"), "pos", F.col("mode").alias("base"))
+    return simulate.simulate_variants(assembled(modes, ["hap_id"], "pos", "base", "seq"), n=3, diversity=0.05)
+
+
 def compact_reads(t: Tables) -> DataFrame:
     return compact.compact_reads(t.corrected, t.variants)
 
@@ -312,6 +338,10 @@ def majority_vote(t: Tables) -> DataFrame:
     return cluster.majority_vote(t.reads, cluster.votes_of(t.members, t.variants, t.assigned, t.consensus))
 
 
+def window_votes(t: Tables) -> DataFrame:
+    return cluster.window_votes(t.members, t.variants, t.assigned, t.consensus).select("window_id", "start_pos", "seq", "off", "base")
+
+
 def gibbs_assign(t: Tables) -> DataFrame:
     return cluster.gibbs_assign(t.bases, t.members, t.sites, t.reference)
 
@@ -400,8 +430,14 @@ BUILD = {
     "distance_histogram": lambda t: evaluate.distance_histogram(t.nearest),
     "nearest_confusion": confusion,
     "mismatch_profile": lambda t: evaluate.mismatch_profile(t.nearest, t.haps),
-    "length_buckets": lambda t: evaluate.length_buckets(t.nearest, (33, 37, 41)),
-    "diversity": lambda t: evaluate.diversity(t.haps),
+    "length_buckets": lambda t: evaluate.length_buckets(t.nearest, (33, 37, 41), known_only=True),
+    "fragment_length_buckets": lambda t: evaluate.length_buckets(t.nearest_of_fragments, (25, 35, 45), REGION),
+    "distance_histogram_region": lambda t: evaluate.distance_histogram(t.nearest, REGION, 100),
+    "mismatch_profile_exact": lambda t: evaluate.mismatch_profile(t.nearest, t.haps, exact_only=True),
+    "odd_sites": lambda t: evaluate.odd_sites(evaluate.mismatch_profile(t.nearest, t.haps), REGION, 3),
+    "sam_fragments": lambda t: t.fragments,
+    "window_votes": window_votes,
+    "diversity": diversity,
     "site_report": lambda t: evaluate.site_report(t.entropy, t.nearest, 0, 3),
     "window_grid": lambda t: t.windows,
     "window_membership": window_membership,
@@ -415,7 +451,7 @@ BUILD = {
     "gibbs_assign": gibbs_assign,
     "clustering_votes": clustering_votes,
     "clustering_passes": clustering_passes,
-    "simulate_variants": lambda t: simulate.simulate_variants(t.haps, n=3, diversity=0.05),
+    "simulate_variants": simulate_variants,
 }
 
 
