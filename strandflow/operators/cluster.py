@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.seq import CLUSTER_ORDER, assembled, chars, explode_bases, r9
 from ..functions.tables import staged
 from ..sources.stages import StageStore
+from .parts import assigned_in_parts
 from .pileup import majority
+from .sampling import BURN_IN, SWEEPS, SYMBOLS, TINY, sample_window
 
-#: Inside share of a window's read, concentration, sweeps, first sweep of the history, classes at first.
-INSIDE, ALPHA, SWEEPS, BURN_IN, CLASSES, SYMBOLS = 0.75, 0.04, 149, 100, 10, 5
-_TINY = 1e-9
+#: Fixed value: inside share of a window's read.
+INSIDE = 0.75
+#: Reads of a window that one task samples; a window of more is sampled in parts, which meet after this many sweeps.
+PART_READS, SYNC = 20_000, 10
 
 
 def window_grid(spark: SparkSession, first: int, last: int, length: int, stride: int) -> DataFrame:
@@ -107,7 +110,7 @@ def gamma_update(consensus: DataFrame, sites: DataFrame, reference: DataFrame) -
 
 def class_logweight(bases: DataFrame, members: DataFrame, assigned: DataFrame, consensus: DataFrame, theta: float) -> DataFrame:
     """(window_id, read_id, class_id, logweight) of every read and existing class, the read itself taken out of its own."""
-    theta = min(max(theta, _TINY), 1 - _TINY)
+    theta = min(max(theta, TINY), 1 - TINY)
     sizes = assigned.join(members.select("window_id", "read_id", "cnt"), ["window_id", "read_id"]).groupBy("window_id", "class_id").agg(F.sum("cnt").alias("size"))
     own = assigned.withColumnRenamed("class_id", "own")
     pairs = members.select("window_id", "read_id", "cnt").join(own, ["window_id", "read_id"]).join(sizes, "window_id")
@@ -150,97 +153,16 @@ def majority_vote(reads: DataFrame, votes: DataFrame) -> DataFrame:
     return reads.join(of_read, ["start_pos", "seq"], "left").select("start_pos", "seq", "cnt", F.when(F.col("votes").isNull(), F.col("seq")).otherwise(new).alias("voted_seq"))
 
 
-def _log_sum(x: np.ndarray) -> float:
-    top = x.max()
-    return float(top + np.log(np.exp(x - top).sum()))
-
-
-def _pick(logs: np.ndarray, rng: np.random.Generator) -> int:
-    """An index drawn by log weights: the inverse of the distribution in order of descending weight."""
-    p = np.exp(logs - _log_sum(logs))
-    order = np.argsort(-p, kind="stable")
-    return int(order[min(np.searchsorted(np.cumsum(p[order]), rng.random() * p.sum(), side="right"), len(p) - 1)])
-
-
-def sample_window(codes: np.ndarray, cnt: np.ndarray, reference: np.ndarray, length: int, seed: int, *, sweeps: int = SWEEPS, burn_in: int = BURN_IN, classes: int = CLASSES, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of a window's reads and the haplotype of each class.
-
-    ``codes``: reads x sites, rank of the base in A, C, T, G, -, or -1 where unknown; ``reference`` likewise, with which a
-    new class begins."""
-    rng = np.random.default_rng(seed)
-    n, sites = codes.shape
-    known = codes >= 0
-    cell = np.arange(sites) * SYMBOLS + codes
-    theta, gamma = 1 - _TINY, 1 - _TINY
-    history: list[np.ndarray] = []
-
-    def consensus(group: np.ndarray, draw: bool) -> np.ndarray:
-        at, weight = known[group], np.broadcast_to(cnt[group][:, None], (len(group), sites))
-        seen = np.bincount(cell[group][at], weights=weight[at], minlength=sites * SYMBOLS).reshape(sites, SYMBOLS)
-        total = seen.sum(1, keepdims=True)
-        if not draw:
-            return np.where(total[:, 0] > 0, seen.argmax(1), -1)
-        logs = seen * np.log(theta) + (total - seen) * np.log((1 - theta) / (SYMBOLS - 1))
-        return np.array([_pick(logs[s], rng) if total[s, 0] else -1 for s in range(sites)], dtype=np.int64)
-
-    def compared(haplotype: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Equal and different sites of every read and a haplotype."""
-        both = known & (haplotype >= 0)
-        same = ((codes == haplotype) & both).sum(1)
-        return same, both.sum(1) - same
-
-    ref_m, ref_d = compared(reference)
-    # ``who`` has rows of ``haps``; ``ids`` are the rows' classes, ascending, and ``size`` their reads
-    ids, who = np.unique(rng.integers(0, max(1, min(classes, n)), n), return_inverse=True)
-    haps = np.stack([consensus(np.flatnonzero(who == k), False) for k in range(len(ids))])
-    for sweep in range(1, sweeps + 1):
-        size = np.bincount(who, weights=cnt, minlength=len(ids))
-        b, equal, unequal = SYMBOLS, np.log(theta), np.log((1 - theta) / (SYMBOLS - 1))
-        fit = np.stack([m * equal + d * unequal for m, d in map(compared, haps)], axis=1)  # [read, class], as are the haplotypes
-        as_reference = ref_m * equal + ref_d * unequal
-        same = theta * gamma + (1 - gamma) * (1 - theta) / (b - 1)
-        other = max((theta + gamma + b * (1 - gamma * theta) - 2) / (b - 1) ** 2, 1e-300)
-        new = np.log(alpha) + np.log(cnt) + ref_m * np.log(same) + ref_d * np.log(other)
-        for i in range(n):
-            size[who[i]] -= cnt[i]
-            live = np.flatnonzero(size > 0)
-            k = _pick(np.append(np.log(size[live]) + fit[i, live], new[i]), rng)
-            if k < len(live):
-                who[i] = live[k]
-            elif size[who[i]] == 0:  # a read that was alone keeps its class, which begins anew
-                fit[:, who[i]] = as_reference
-            else:
-                who[i] = len(ids)
-                ids, size, fit = np.append(ids, ids[-1] + 1), np.append(size, 0.0), np.column_stack((fit, as_reference))
-            size[who[i]] += cnt[i]
-        live = np.unique(who)
-        drawn = np.stack([consensus(np.flatnonzero(who == k), True) for k in live])
-        _, first, place = np.unique(drawn, axis=0, return_index=True, return_inverse=True)  # equal haplotypes become one class
-        kept = np.sort(first)
-        who = np.searchsorted(kept, first[place.reshape(-1)])[np.searchsorted(live, who)]
-        ids, haps = ids[live[kept]], drawn[kept]
-        own = haps[who]
-        both = known & (own >= 0)
-        theta = float(np.clip(((codes == own) & both).sum() + (length - sites) * n, 0, None)) / max(length * n, 1)
-        theta = min(max(theta, _TINY), 1 - _TINY)
-        gamma = ((haps == reference) & (haps >= 0)).sum() + (length - sites) * len(haps)
-        gamma = min(max(float(gamma) / max(length * len(haps), 1), _TINY), 1 - _TINY)
-        if sweep >= burn_in:
-            history.append(ids[who])
-    last = np.stack(history) if history else ids[who][None]
-    final = np.zeros(n, dtype=np.int64)
-    for i in range(n):
-        values, first, seen = np.unique(last[:, i], return_index=True, return_counts=True)
-        final[i] = values[np.lexsort((first, -seen))[0]]
-    return final, np.stack([consensus(np.flatnonzero(final == final[i]), False) for i in range(n)])
-
-
-def gibbs_assign(bases: DataFrame, members: DataFrame, sites: DataFrame, reference: DataFrame, *, seed: int = 1, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
-    """(window_id, read_id, class_id): the sampler's classes, numbered by first read; seeded by window.
-
-    A window is one task: its reads are distinct (start, sequence) pairs, which sequencing errors add to as coverage grows."""
+def gibbs_assign(bases: DataFrame, members: DataFrame, sites: DataFrame, reference: DataFrame, *, seed: int = 1, sweeps: int = SWEEPS, burn_in: int = BURN_IN, part_reads: int = PART_READS, sync: int = SYNC) -> DataFrame:
+    """(window_id, read_id, class_id): the sampler's classes, numbered in the order they arose; seeded by window.
+
+    A window of up to ``part_reads`` reads is one task.  A larger one is swept in parts, see ``parts``: reads are distinct
+    (start, sequence) pairs, which sequencing errors add to as coverage grows."""
     ref = {r.vi: r.base for r in reference.collect()}  # one row per site
-    own = bases.select("window_id", "read_id", F.col("cnt").cast("long"), "vi", "base").join(F.broadcast(sites), "window_id")
+    bases = bases.select("window_id", "read_id", F.col("cnt").cast("long"), "vi", "base")
+    n = bases.groupBy("window_id").agg(F.countDistinct("read_id").alias("n"))
+    wide = [r.window_id for r in n.where(F.col("n") > part_reads).select("window_id").collect()]  # one row a window
+    own = bases.where(~F.col("window_id").isin(wide)).join(F.broadcast(sites), "window_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf.f_start.iloc[0]), int(pdf.f_end.iloc[0])
@@ -254,7 +176,10 @@ def gibbs_assign(bases: DataFrame, members: DataFrame, sites: DataFrame, referen
         _, names = np.unique(who, return_inverse=True)
         return pd.DataFrame({"window_id": int(pdf.window_id.iloc[0]), "read_id": ids, "class_id": names})
 
-    return own.groupBy("window_id").applyInPandas(run, "window_id int, read_id long, class_id int")
+    whole = own.groupBy("window_id").applyInPandas(run, "window_id int, read_id long, class_id int")
+    if not wide:
+        return whole
+    return whole.unionByName(assigned_in_parts(bases.where(F.col("window_id").isin(wide)), sites, ref, seed=seed, part_reads=part_reads, sync=sync, sweeps=sweeps, burn_in=burn_in))
 
 
 def clustering_votes(reads_with_ids: DataFrame, variants: DataFrame, windows: DataFrame, reference: DataFrame, **sampler) -> DataFrame:
