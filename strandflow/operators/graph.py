@@ -119,31 +119,40 @@ def halvings(spark: SparkSession, first: int, last: int, k: int) -> DataFrame:
     return out
 
 
+def region_starts(edges: DataFrame, regions: DataFrame, k: int = K, share: float = ROOT_SHARE) -> DataFrame:
+    """(a, b, node): the nodes at site a where paths of the region [a, b] begin.
+
+    ``edges`` are the unpruned edges of the whole graph.  A region's roots are all nodes of its first site, and the whole
+    graph's roots at later ones; the least weight of a root follows from sums a site."""
+    nodes = edges.groupBy("vi", F.col("src").alias("node")).agg(F.sum("w").alias("w"))
+    of_site = nodes.groupBy("vi").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("w").alias("w_nodes"))
+    roots = graph_roots(edges).groupBy("vi").agg(F.count(F.lit(1)).alias("n_roots"), F.sum("w").alias("w_roots"))
+    of_site = of_site.join(roots, "vi", "left")
+    own = regions.select("a", "b").distinct().where(F.col("b") - k + 1 >= F.col("a"))
+    at = own.select("a", "b", F.explode(F.sequence("a", F.col("b") - k + 1)).alias("vi")).join(of_site, "vi")
+    first = F.col("vi") == F.col("a")
+    weight = F.sum(F.when(first, F.col("w_nodes")).otherwise(F.coalesce("w_roots", F.lit(0))))
+    number = F.sum(F.when(first, F.col("n_nodes")).otherwise(F.coalesce("n_roots", F.lit(0))))
+    border = at.groupBy("a", "b").agg(F.round(share * weight / F.nullif(number, F.lit(0)), 9).alias("border"))
+    return nodes.join(border, nodes["vi"] == border["a"]).where("w >= border").select("a", "b", "node")
+
+
 def region_paths(edges: DataFrame, regions: DataFrame, k: int = K, share: float = ROOT_SHARE) -> DataFrame:
     """``regions`` (a, b, ...) with ``n_paths``, the number of full paths of the graph of the k-mers inside each.
 
     ``edges`` are the unpruned edges of the whole graph.  A k-mer inside a region is the same whether reads are cut there or
-    not, so edges and their pruning are the whole graph's; only the roots are the region's own: all nodes of its first site,
-    and the whole graph's roots at later ones.  The border of its roots follows from sums a site."""
+    not, so edges and their pruning are the whole graph's; only the roots are the region's own."""
     edges = staged(edges, "edges")
     bounds = edges.agg(F.min("vi").alias("a"), F.max("vi").alias("b")).first()
     if bounds.a is None:
         return regions.withColumn("n_paths", F.lit(0).cast(COUNT))
-    nodes = edges.groupBy("vi", F.col("src").alias("node")).agg(F.sum("w").alias("w"))
-    of_site = nodes.groupBy("vi").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("w").alias("w_nodes"))
-    roots = graph_roots(edges).groupBy("vi").agg(F.count(F.lit(1)).alias("n_roots"), F.sum("w").alias("w_roots"))
-    of_site = of_site.join(roots, "vi", "left")
     own = regions.select("a", "b").distinct().withColumn("id", F.struct("a", "b"))
-    at = own.where(F.col("b") - k + 1 >= F.col("a")).select("id", F.col("a").alias("first"), F.explode(F.sequence("a", F.col("b") - k + 1)).alias("vi"))
-    is_first = F.col("vi") == F.col("first")
-    border = at.join(of_site, "vi").groupBy("id", "first").agg(
-        F.round(share * F.sum(F.when(is_first, F.col("w_nodes")).otherwise(F.coalesce("w_roots", F.lit(0)))) / F.sum(F.when(is_first, F.col("n_nodes")).otherwise(F.coalesce("n_roots", F.lit(0)))), 9).alias("border")
-    )
-    start = nodes.join(border, nodes["vi"] == border["first"]).where("w >= border").select("id", "node")
-    lo, hi = F.greatest(F.col("a") - bounds.a, F.lit(0)), F.col("b") - k + 2 - bounds.a
-    reachable = own.where((F.col("b") - k + 1 <= bounds.b) & (F.col("a") >= bounds.a))  # else a layer without edges is inside
+    # a region that reaches beyond the edges has a layer without any
+    inside = own.where((F.col("b") - k + 1 <= bounds.b) & (F.col("a") >= bounds.a) & (F.col("b") - k + 1 >= F.col("a")))
+    start = region_starts(edges, inside, k, share).select(F.struct("a", "b").alias("id"), "node")
     whole = tree(edge_prune(edges).select((F.col("vi") - bounds.a).alias("block"), "src", "dst"), bounds.b - bounds.a + 1)
-    n = interval_paths(whole, reachable.select("id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")), start.join(reachable.select("id"), "id"))
+    lo, hi = (F.col("a") - bounds.a).cast("long"), (F.col("b") - k + 2 - bounds.a).cast("long")
+    n = interval_paths(whole, inside.select("id", lo.alias("lo"), hi.alias("hi")), start)
     counted = own.join(n, "id", "left").select("a", "b", F.coalesce("n", F.lit(0).cast(COUNT)).alias("n_paths"))
     return regions.join(counted, ["a", "b"])
 

@@ -13,6 +13,7 @@ from ..functions.seq import assembled, explode_bases
 from ..functions.tables import staged
 from ..operators import cluster, compact, evaluate, graph, pileup, regress, simulate, support
 from ..sources import reads as source
+from .reconstruct import reconstruct
 
 K, B1, B2 = 4, 0, 20
 SUPPORT = {"reach": 2, "overlap": 5, "equal": 4}
@@ -425,6 +426,7 @@ BUILD = {
     "refit": lambda t: _fit(t, lambda g, r: regress.refit(g, r, 0.001, 1)),
     "fit_grid": grid,
     "solution": solution,
+    "reconstruction": lambda t: reconstruct(t.counted, k=K, **SUPPORT).select("cseq", F.round("h", 3).alias("h"), F.round("score", 3).alias("score")),
     "read_hap_distance": lambda t: evaluate.read_hap_distance(t.reads, t.haps),
     "nearest_haplotype": lambda t: t.nearest,
     "distance_histogram": lambda t: evaluate.distance_histogram(t.nearest),
