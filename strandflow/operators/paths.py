@@ -9,7 +9,7 @@ From the tree of blocks come
  * ``leading``: the same from every node to the last layer, on the mirrored graph;
  * ``interval_paths``: the number of paths over any interval of layers, a product of at most two blocks a round.
 
-Each round is written before the next.  Counts are decimals of 38 digits; ``FULL`` stands for itself or more.
+Every second round is written before the next.  Counts are decimals of 38 digits; ``FULL`` stands for itself or more.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.tables import staged
 
 COUNT, FULL = "decimal(38,0)", 10**38 - 1
+#: Rounds of joins between two that are written.
+WRITTEN = 2
 #: A node of every layer from which paths begin further on; never a node of a graph, as those are bases.
 SOURCE = "*"
 
@@ -62,7 +64,8 @@ def tree(steps: DataFrame, n: int) -> Tree:
         both = left.join(right, ["block", "mid"]).groupBy("block", "src", "dst").agg(_products("x", "y").alias("n"))
         if size % 2:
             both = both.unionByName(level.where(F.col("block") == size - 1).select(half, "src", "dst", "n"))
-        level, size = staged(both, "transfers"), (size + 1) // 2
+        size = (size + 1) // 2
+        level = staged(both, "transfers") if len(out.levels) % WRITTEN == 0 or size == 1 else both
         out.levels.append(level)
         out.sizes.append(size)
     return out
@@ -76,11 +79,13 @@ def _moved(at: DataFrame, level: DataFrame, keys: list[str]) -> DataFrame:
 
 def along(t: Tree, start: DataFrame) -> DataFrame:
     """(layer, node, n): the number of paths from ``start`` (node, n at layer 0) to every node of every layer."""
-    now = start.select(F.lit(0).cast("long").alias("block"), "node", "n")
+    now, turn = start.select(F.lit(0).cast("long").alias("block"), "node", "n"), 0
     for level, size in reversed(list(zip(t.levels[:-1], t.sizes[:-1], strict=True))):
         first = now.select((F.col("block") * 2).alias("block"), "node", "n")
         second = _moved(first.withColumnRenamed("n", "v"), level, ["block"]).select((F.col("block") + 1).alias("block"), "node", "n")
-        now = staged(first.unionByName(second).where(F.col("block") < size), "path-counts")
+        now = first.unionByName(second).where(F.col("block") < size)
+        turn += 1
+        now = staged(now, "path-counts") if turn % WRITTEN == 0 or size == t.sizes[0] else now
     last = now.where(F.col("block") == t.sizes[0] - 1).withColumnRenamed("n", "v")
     end = _moved(last, t.levels[0], ["block"]).select((F.col("block") + 1).alias("block"), "node", "n")
     return now.unionByName(end).withColumnRenamed("block", "layer")
