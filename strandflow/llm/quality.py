@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import mixed, others, staged, sub_batches, window_hashes, words_of
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_open_lines"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_open_lines", "n_brackets", "n_unpaired"]
 WINDOW = 5
 
 #: What may stand at the end of a finished line.
@@ -72,12 +72,13 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
-    kinds = np.zeros(256, dtype=np.uint8)  # one bit each: white space, symbol, upper, lower, mark
-    for bit, chars in enumerate((b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), _MARKS)):
+    kinds = np.zeros(256, dtype=np.uint8)  # one bit each: white space, symbol, upper, lower, mark, opening and closing bracket
+    for bit, chars in enumerate((b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), _MARKS, b"([{", b")]}")):
         for c in chars:
             kinds[c] |= 1 << bit
     kind = kinds[raw]
-    blank, out["n_symbols"], out["n_upper"], out["n_lower"], out["n_marks"] = (_sums((kind >> bit) & 1, at) for bit in range(5))
+    blank, out["n_symbols"], out["n_upper"], out["n_lower"], out["n_marks"], opening, closing = (_sums((kind >> bit) & 1, at) for bit in range(7))
+    out["n_brackets"], out["n_unpaired"] = opening + closing, np.abs(opening - closing)
     out["word_chars"] = np.asarray(pc.utf8_length(texts), dtype=np.int64) - blank
     lists = pc.split_pattern(texts, "\n")
     lines = lists.flatten().dictionary_encode()
@@ -110,20 +111,23 @@ BAD = ("symbols", "marks", "capitals", "lines", "repeats", "word_size", "open_li
 def rules() -> dict[str, Column]:
     """The rules by name: 1 for good, -1 for bad, 0 where a rule abstains.
 
-    A detector of one kind of junk votes bad or abstains: that it finds nothing says little of the other kinds."""
+    A detector of one kind of junk votes bad or abstains: that it finds nothing says little of the other kinds.  Source code
+    and markup are full of marks and of lines without a stop, but their brackets pair up: there the detectors of marks and
+    open lines abstain, since what they look for is no sign of junk, and idioms may repeat up to the base rule's bound."""
+    paired = (F.col("n_brackets") >= 6) & (F.col("n_brackets") * 50 >= F.col("n_words")) & (F.col("n_unpaired") * 20 <= F.col("n_brackets"))
     long_word = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
     bad = {
-        "symbols": _ratio("n_symbols", "n_words") > 0.1,
-        "marks": _ratio("n_marks", "n_words") > 0.25,
+        "symbols": ~paired & (_ratio("n_symbols", "n_words") > 0.1),
+        "marks": ~paired & (_ratio("n_marks", "n_words") > 0.25),
         "capitals": F.col("n_upper") > F.col("n_lower"),
         "lines": (F.col("n_dup_lines") >= 3) & (_ratio("n_dup_lines", "n_lines") > 0.3),  # of three lines one may repeat
         "repeats": _ratio("n_repeat_words", "n_words") > 0.2,
         "word_size": (long_word < 2.5) | (long_word > 14),
-        "open_lines": _ratio("n_open_lines", "n_lines") > 0.6,
+        "open_lines": ~paired & (_ratio("n_open_lines", "n_lines") > 0.6),
     }
     good = {
         "prose": (F.col("n_symbols") * 50 <= F.col("n_words")) & (F.col("n_marks") * 20 <= F.col("n_words")) & (F.col("n_upper") * 4 < F.col("n_lower")),
-        "varied": (F.col("n_dup_lines") * 10 <= F.col("n_lines")) & (F.col("n_repeat_words") * 10 <= F.col("n_words")),
+        "varied": (F.col("n_dup_lines") * 10 <= F.col("n_lines")) & (F.col("n_repeat_words") * F.when(paired, 5).otherwise(10) <= F.col("n_words")),
     }
     return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {k: F.when(v, 1).otherwise(0) for k, v in good.items()}
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -46,6 +47,21 @@ def test_quality_features(spark):
     assert quality.weak_quality(frame(spark, [])).count() == 0
 
 
+def test_quality_keeps_source_code(spark):
+    """This library's own files among the documents of a table; their brackets pair up."""
+    here = pathlib.Path(__file__).parents[2]
+    code = [p.read_text() for p in sorted(here.glob("strandflow/**/*.py")) if p.stat().st_size > 500]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    both = docs.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(code)], docs.schema))
+    judged = {r.doc_id: r for r in quality.weak_quality(both).where("doc_id < 0 or not base_failed").collect()}
+    ours = [judged[-1 - i] for i in range(len(code)) if not judged[-1 - i].base_failed]  # tables of SQL repeat themselves
+    assert len(ours) > 20 and all(r.p_good > 0.5 for r in ours)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 0").collect()
+    assert not any(judged[r.doc_id].kept for r in labels if r.doc_id in judged)
+    junk = quality.weak_quality(spark.createDataFrame([(1, "([{*** ### $$$ " * 30), (2, "word*** of### the$$$ and%%% so&&& " * 8 + "(on)")], docs.schema)).collect()
+    assert not any(r.kept for r in junk)
+
+
 def test_quality_em_separates():
     rng = np.random.default_rng(1)
     good = rng.random(4000) < 0.8
