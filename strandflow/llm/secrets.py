@@ -2,13 +2,15 @@
 
 Fixed patterns find assignments of secrets, access keys and hexadecimal strings.  What they leave is blanked out for a
 second look: runs of key characters are judged by two Markov models of their characters, one trained on random strings
-and one on ordinary words and identifiers.  A run is reported where the log-likelihood ratio of random over ordinary,
-summed over the run's best stretch, reaches ``least``.
+and one on ordinary words and identifiers.  A run is reported where the log-likelihood ratio of random over ordinary, less
+``cost`` for each character and summed over the run's best stretch, reaches ``least``: the cost keeps long paths and long
+words, which gather a little ratio everywhere, from passing by their length.
 
 Both models are counts of adjacent character pairs in a labelled sample, a DataFrame of (value, secret).  The default
 sample (``labelled``) is made of the documents themselves: words of a bounded sample of texts, and identifiers put
-together from words in a row, are ordinary; values that the patterns find there, and digests in several alphabets, are
-secret.  ``errors`` measures a model on values held out.
+together from words in a row, are ordinary; so are identifiers and paths of the words of a tokenizer's vocabulary, if its
+file is given; values that the patterns find in the texts, and digests in several alphabets, are secret.  ``errors``
+measures a model on values held out.
 
 Places are code points in the text, end exclusive.  A pattern's places follow from the lengths of the text's pieces
 between its matches, summed in blocks, so no row leaves the JVM and the work grows in proportion to the text.
@@ -20,6 +22,7 @@ result; other columns pass through, and result columns replace columns of the sa
 from __future__ import annotations
 
 import json
+import re
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -93,11 +96,26 @@ def without_base(text: Column) -> Column:
     return let(assigned, lambda t: let(blanked(t, ACCESS), lambda u: blanked(u, HEX)))
 
 
-def labelled(docs: DataFrame, *, text: str = "text", sample: int = 2000, random: int = 6000) -> DataFrame:
-    """(value, secret): from about ``sample`` documents, picked by a hash of their text, and ``random`` digests."""
+def vocabulary_values(file: str) -> list[str]:
+    """Ordinary values of the plain words of a tokenizer's vocabulary, as many as words: each with two others by a step
+    through the list, in turn as snake, camel, upper, kebab and path case and run together.  Bounded by the vocabulary."""
+    with open(file, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    words = sorted({w for w in (re.sub("</w>|\u0120|\u2581", "", t) for t in tokens) if re.fullmatch("[A-Za-z]{3,}", w)})
+    out = []
+    for i, w in enumerate(words):
+        three = [w, words[(i * 7919 + 13) % len(words)], words[(i * 104729 + 7) % len(words)]]
+        cases = ("_".join(three), three[0].lower() + "".join(x.capitalize() for x in three[1:]), "_".join(three).upper(), "-".join(three), "/".join(three))
+        out.append(cases[i % 8] if i % 8 < len(cases) else "".join(three).lower())
+    return out
+
+
+def labelled(docs: DataFrame, *, text: str = "text", sample: int = 2000, random: int = 6000, vocabulary: str | None = None) -> DataFrame:
+    """(value, secret): from about ``sample`` documents, picked by a hash of their text, of which equal ones count once;
+    ``random`` digests; and the words of the tokenizer file ``vocabulary``."""
     spark = docs.sparkSession
     total = docs.count()
-    picked = docs.where(F.col(text).isNotNull() & (unit(F.xxhash64(text), F.lit("secrets")) < sample / max(total, 1))).select(F.col(text).alias("t"))
+    picked = docs.where(F.col(text).isNotNull() & (unit(F.xxhash64(text), F.lit("secrets")) < sample / max(total, 1))).select(F.col(text).alias("t")).distinct()
     words = picked.select(F.regexp_extract_all(without_base(F.col("t")), F.lit("[A-Za-z0-9+/_-]{3,}"), F.lit(0)).alias("w"))
     three = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("w") / 3) - 1, F.lit(0)).cast("int")), lambda i: F.slice("w", i * 3 + 1, F.lit(3)))).alias("w"))
     kind = F.pmod(F.xxhash64("w"), F.lit(8))
@@ -108,6 +126,8 @@ def labelled(docs: DataFrame, *, text: str = "text", sample: int = 2000, random:
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 512)
     of = F.col("id") % 5
     made = ids.select(F.when(of == 0, F.substring(digest, 1, 40)).when(of == 1, F.upper(F.substring(digest, 1, 32))).otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40)).alias("value"))
+    if vocabulary is not None:
+        ordinary = ordinary.union(spark.createDataFrame([(v,) for v in vocabulary_values(vocabulary)], "value string"))
     return made.union(values).select("value", F.lit(True).alias("secret")).union(ordinary.select("value", F.lit(False).alias("secret")))
 
 
@@ -127,8 +147,12 @@ def ratios(sample: DataFrame, smooth: float = 0.5) -> list[float]:
     return out
 
 
-def randomness(value: Column, table: list[float]) -> Column:
-    """The greatest sum of log-likelihood ratios over any stretch of a string of ASCII characters."""
+#: Log-likelihood ratio, in nats, from which a run counts as random, and what each character costs.
+LEAST, COST = 15.0, 0.3
+
+
+def randomness(value: Column, table: list[float], cost: float = COST) -> Column:
+    """The greatest sum of log-likelihood ratios, less ``cost`` each, over any stretch of a string of ASCII characters."""
     k = len(_ALPHABET) + 1
     place = [_ALPHABET.index(chr(c)) if chr(c) in _ALPHABET else k - 1 for c in range(128)]
     places = F.from_json(F.lit(json.dumps(place)), "array<int>")
@@ -136,16 +160,12 @@ def randomness(value: Column, table: list[float]) -> Column:
     codes = F.transform(F.split(value, ""), lambda c: F.get(places, F.ascii(c)))
 
     def step(acc, c):
-        here = F.when(acc["last"] < 0, 0.0).otherwise(F.greatest(F.lit(0.0), acc["sum"] + F.get(weights, acc["last"] * k + c)))
+        here = F.when(acc["last"] < 0, 0.0).otherwise(F.greatest(F.lit(0.0), acc["sum"] + F.get(weights, acc["last"] * k + c) - F.lit(cost)))
         return F.struct(c.alias("last"), here.alias("sum"), F.greatest(acc["best"], here).alias("best"))
 
     return F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
 
 
-#: Log-likelihood ratio, in nats, from which a run counts as random.
-LEAST = 15.0
-
-
 def errors(sample: DataFrame, table: list[float], least: float = LEAST) -> tuple[float, float]:
     """Of a labelled sample the share of secrets that are missed and of ordinary values that are reported."""
     judged = sample.where(F.length("value") >= MIN_VALUE).select("secret", (randomness(F.col("value"), table) >= least).alias("hit"))
@@ -158,10 +178,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, *, text: str = "text", sample: DataFrame | None = None, least: float = LEAST, min_value: int = MIN_VALUE) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", sample: DataFrame | None = None, vocabulary: str | None = None, least: float = LEAST, cost: float = COST, min_value: int = MIN_VALUE) -> DataFrame:
     """``docs`` with ``secrets``: all spans, as array of (start, rank, end, kind, value), those of the patterns and of the models."""
-    table = ratios(labelled(docs, text=text) if sample is None else sample)
+    table = ratios(labelled(docs, text=text, vocabulary=vocabulary) if sample is None else sample)
     whole = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(found(whole, ASSIGN, "assign"), lambda s: F.length(_value(s["value"])) >= min_value)
-    runs = let(without_base(whole), lambda t: F.filter(found(t, RUN, "markov"), lambda r: randomness(r["value"], table) >= least))
+    runs = let(without_base(whole), lambda t: F.filter(found(t, RUN, "markov"), lambda r: randomness(r["value"], table, cost) >= least))
     return docs.select(*others(docs.columns, ["secrets"]), F.concat(assign, found(whole, ACCESS, "access"), found(whole, HEX, "hex"), runs).alias("secrets"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandflow.llm import decontaminate as dec
 from strandflow.llm import language, mixing, quality, secrets, sharding, urls
@@ -343,3 +344,27 @@ def test_sharding_is_uniform(spark):
     place = Counter((r.slot // 100, r.doc_id // 1000) for r in got)
     chi = sum((place[(s, b)] - 100) ** 2 / 100 for s in range(10) for b in range(16))
     assert 80 < chi < 240
+
+
+def test_ordinary_names_are_no_secrets(spark):
+    """Values of no training text: paths, identifiers, long words; and random strings."""
+    from strandflow.llm.queries import tokenizer_file
+
+    ordinary = "src/main/java/org/apache/spark/sql/catalyst MAX_RETRY_BACKOFF_SECONDS Donaudampfschifffahrtsgesellschaft XMLHttpRequestProgressEvent UTF-8-MB4-GENERAL-CI Llanfairpwllgwyngyllgogerychwyrndrobwll ACGTTGCAACGTTGCAACGT xn--fiqs8s-kpry57d getElementsByClassName application/x-www-form-urlencoded internationalization 2024-01-15/report-final user_profile_settings antidisestablishmentarianism AbstractSingletonProxyFactoryBean HTTP_INTERNAL_SERVER_ERROR Content-Security-Policy".split()
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    secret = ["".join(rng.choice(a) for _ in range(n)) for a, n in [(letters, 20), (letters, 32), (letters, 40), (letters[:62], 24), (letters[:62], 36), (letters[:26] + "234567", 32), ("0123456789ABCDEF", 32), (letters, 24)]]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = secrets.ratios(secrets.labelled(docs, vocabulary=tokenizer_file()))
+    probes = spark.createDataFrame([(v, v in secret) for v in ordinary + secret], "value string, secret boolean")
+    hit = {r.value: r.r for r in probes.select("value", secrets.randomness(F.col("value"), table).alias("r")).collect()}
+    assert sum(hit[v] >= secrets.LEAST for v in ordinary) <= 1
+    assert sum(hit[v] >= secrets.LEAST for v in secret) >= 7
+
+    def plain(v):  # the best stretch by trying all
+        at = {c: i for i, c in enumerate(secrets._ALPHABET)}
+        k = len(at) + 1
+        steps = [table[at.get(a, k - 1) * k + at.get(b, k - 1)] - secrets.COST for a, b in zip(v, v[1:], strict=False)]
+        return max([0.0] + [sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1)])
+
+    assert all(math.isclose(hit[v], plain(v), abs_tol=1e-9) for v in hit)
