@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only a local session without the setting gets one of its own."""
+    """The folder all executors share.  Only a session in one process (``local``, ``local[...]``) without the setting gets
+    one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark, "_strandflow_dir", None)
     if own is None:
@@ -39,10 +41,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the staged tables of this session; call it once the results that read them are written."""
+def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete staged tables, all of this session unless named; call it once the results that read them are written."""
     kept = getattr(spark, "_strandflow_staged", [])
-    for path in list(kept):
+    for path in list(kept if paths is None else paths):
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        kept.remove(path)
+        if path in kept:
+            kept.remove(path)
