@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
+from ..functions.tables import drop_staged, new_path, shared_dir  # noqa: F401  for the operators
+
+
 #: A word of the contracts: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,53 +20,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only a local session without the setting gets one of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = getattr(spark, "_strandflow_dir", None)
-    if own is None:
-        own = spark._strandflow_dir = tempfile.mkdtemp(prefix="strandflow-")
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: a lineage cut that outlives lost executors.
-
-    The table stays until ``drop_staged``, since the returned frame is lazy."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """``functions.tables.staged`` with at most ARROW_ROWS rows in an Arrow batch."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
     try:
-        df.write.parquet(path)
+        return tables.staged(df, name)
     finally:
         spark.conf.set(key, before)
-    kept = getattr(spark, "_strandflow_staged", None)
-    if kept is None:
-        kept = spark._strandflow_staged = []
-    kept.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete staged tables, all of this session unless named; call it once their results are written."""
-    kept = getattr(spark, "_strandflow_staged", [])
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(kept if paths is None else paths):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-        if path in kept:
-            kept.remove(path)
 
 
 def path_of(df: DataFrame) -> list[str]:
