@@ -368,3 +368,16 @@ def test_ordinary_names_are_no_secrets(spark):
         return max([0.0] + [sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1)])
 
     assert all(math.isclose(hit[v], plain(v), abs_tol=1e-9) for v in hit)
+
+
+def test_mix_splits_ids_that_many_rows_share(spark):
+    """6,000 rows without an id and 2,000 of one id: ranges of 100 rows at most where texts differ, same copies either way."""
+    rows = [(None if i < 6000 else 7 if i < 8000 else i, f"word{i} " * (1 + i % 3), "s" if i % 5 else None) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    one = {r.text: (r.size, r.copies) for r in mixing.mix(df).collect()}
+    split = mixing.mix(df, range_rows=300)
+    assert {r.text: (r.size, r.copies) for r in split.collect()} == one and len(one) == 9000
+    taken = split.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 6 for r in taken)
+    keys = df.select(mixing.n_words("text").alias("n"), "source", F.substring(F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lpad(F.hex(F.xxhash64("text")), 16, "0")), 1, mixing.ID_DIGITS + mixing.RANGE_DIGITS).alias("r"))
+    assert keys.groupBy("n", "source", "r").count().agg(F.max("count")).first()[0] <= 100
