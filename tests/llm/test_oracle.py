@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     df, want = QUERIES[name](spark, DIR), con.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
