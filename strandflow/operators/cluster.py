@@ -1,6 +1,6 @@
 """Windows of the genome, clustering of their reads by a Dirichlet-process mixture, and majority votes across windows.
 
-Class assignments: (window_id, read_id, class_id); the sampler runs inside one task per window, windows in parallel."""
+Class assignments: (window_id, read_id, class_id); the sampler runs in one task a window, or in several for one of many reads."""
 
 from __future__ import annotations
 

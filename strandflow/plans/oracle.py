@@ -101,8 +101,8 @@ QUERIES = {
     "edge_prune": "SELECT * FROM pruned",
     "branch_positions": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM pruned GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
     "branch_positions_all_ways": "SELECT DISTINCT CAST(p.vi+3 AS INT) AS vi FROM (SELECT vi, src FROM edges GROUP BY vi, src HAVING count(*)>1) p JOIN (SELECT DISTINCT vi, node FROM walk) w ON w.vi=p.vi AND w.node=p.src",
-    "path_counts": "SELECT CAST(vi AS INT) AS vi, node, CAST(count(*) AS DECIMAL(38,0)) AS n_paths FROM walk GROUP BY vi, node",
-    "path_ends": "SELECT CAST(vi AS INT) AS vi, node, CAST(count(*) AS DECIMAL(38,0)) AS n_paths FROM walk GROUP BY vi, node",
+    "path_counts": "SELECT CAST(vi AS INT) AS vi, node, count(*) AS n_paths FROM walk GROUP BY vi, node",
+    "path_ends": "SELECT CAST(vi AS INT) AS vi, node, count(*) AS n_paths FROM walk GROUP BY vi, node",
     "region_split": """SELECT CAST(a AS INT) AS first_site, CAST(b AS INT) AS last_site, n_paths FROM counted c WHERE (n_paths<=2 OR b-a+1<8)
       AND NOT EXISTS (SELECT 1 FROM counted o WHERE o.a<=c.a AND o.b>=c.b AND (o.a<c.a OR o.b>c.b) AND (o.n_paths<=2 OR o.b-o.a+1<8))""",
     "local_haplotypes": "SELECT seq, CAST(length(seq) AS INT) AS n_sites FROM walk WHERE vi+2=19 AND length(seq)=20",

@@ -264,12 +264,12 @@ def branch_positions_all_ways(t: Tables) -> DataFrame:
 
 
 def path_counts(t: Tables) -> DataFrame:
-    return graph.reached(*_from_all_roots(t))
+    return graph.reached(*_from_all_roots(t)).withColumn("n_paths", F.col("n_paths").cast("long"))
 
 
 def path_ends(t: Tables) -> DataFrame:
     edges, begin = _from_all_roots(t)
-    return graph.leading(edges, graph.ends_at(edges, begin, B2 - 1, K))
+    return graph.leading(edges, graph.ends_at(edges, begin, B2 - 1, K)).withColumn("n_paths", F.col("n_paths").cast("long"))
 
 
 def local_haplotypes(t: Tables) -> DataFrame:
