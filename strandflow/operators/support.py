@@ -62,7 +62,7 @@ def fitting(compacted: DataFrame, haps: DataFrame) -> DataFrame:
     ``n_match``: known sites that both cover; ``n_compared``: these and the read's gaps."""
     places = staged(numbered(haps), "numbered")
     most = places.agg(F.coalesce(F.max("n_sites"), F.lit(0)).alias("end"), F.coalesce(F.max("word"), F.lit(-1)).alias("word")).first()
-    index = staged(bitmap_index(places, most.end), "bitmaps")
+    index = bitmap_index(places, most.end)
     reads = compacted.select("cstart", "cseq").distinct()
     at = reads.select("cstart", "cseq", F.posexplode(chars("cseq")).alias("off", "base")).withColumn("vi", F.col("cstart") + F.col("off")).where((F.col("base") != ".") & (F.col("vi") < most.end))
     has = index.select("vi", "base").distinct().withColumn("known", F.lit(True))
