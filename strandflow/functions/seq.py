@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import staged
+
 GAP = "."
 #: Rank of symbols where counts tie, for entropy correction and for clustering.
 ENTROPY_ORDER = "ACGT-"
@@ -44,12 +46,16 @@ def assembled(df: DataFrame, keys: list[str], off: str, base: str, name: str) ->
 
 
 def dense_ids(df: DataFrame, coarse: str, fine: list[str], name: str) -> DataFrame:
-    """0-based ids in the order of (coarse, *fine), numbered within each ``coarse`` value after a sum over those before.
-
-    No task sees all rows: the second window has one row per value of ``coarse``."""
-    before = df.groupBy(coarse).count().select(coarse, (F.coalesce(F.sum("count").over(Window.orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(coarse).orderBy(*fine))
-    return df.withColumn("__inner", inner).join(before, coarse).withColumn(name, (F.col("__before") + F.col("__inner") - 1).cast("long")).drop("__inner", "__before")
+    """0-based ids in the order of (coarse, *fine), nulls first; rows equal in all of these in any order.
+
+    Rows are sorted in ranges of the whole key and written with their place, so that one ``coarse`` value that holds many
+    rows lies in several tasks; ranges are numbered on from the rows before them, and the window has one row a range."""
+    keys = [coarse, *fine]
+    at = F.monotonically_increasing_id()  # number of the task above 33 bits of the place in it
+    ranged = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", at), "ranges").withColumn("__range", F.shiftright("__at", 33))
+    before = ranged.groupBy("__range").count().select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
+    inner = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + inner).cast("long")).drop("__at", "__range", "__before")
 
 
 def r9(x: Column) -> Column:

@@ -162,7 +162,7 @@ def gibbs_assign(bases: DataFrame, members: DataFrame, sites: DataFrame, referen
     bases = bases.select("window_id", "read_id", F.col("cnt").cast("long"), "vi", "base")
     n = bases.groupBy("window_id").agg(F.countDistinct("read_id").alias("n"))
     wide = [r.window_id for r in n.where(F.col("n") > part_reads).select("window_id").collect()]  # one row a window
-    own = bases.where(~F.col("window_id").isin(wide)).join(F.broadcast(sites), "window_id")
+    own = bases.where(~F.col("window_id").isin(wide)).join(sites, "window_id")  # by window, as the sampler's tasks are
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf.f_start.iloc[0]), int(pdf.f_end.iloc[0])

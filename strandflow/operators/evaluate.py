@@ -1,4 +1,5 @@
-"""Comparison of reads with known haplotypes (hap_id, seq); known haplotypes are few and broadcast."""
+"""Comparison of reads with known haplotypes (hap_id, seq); known haplotypes are few: broadcast up to a
+measured size, met in parts or by a shuffle beyond it."""
 
 from __future__ import annotations
 
@@ -6,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import chars, explode_bases, r9
+from ..functions.tables import paired, sized
 
 
 def read_hap_distance(reads: DataFrame, haps: DataFrame) -> DataFrame:
     """(start_pos, seq, cnt, hap_id, dist): different bases of each read and haplotype where both are, gaps left out."""
     own = F.expr("substring(hseq, start_pos, length(seq))")
-    both = reads.select("start_pos", "seq", "cnt").crossJoin(F.broadcast(haps.select("hap_id", F.col("seq").alias("hseq"))))
+    both = paired(reads.select("start_pos", "seq", "cnt"), haps.select("hap_id", F.col("seq").alias("hseq")))
     pairs = F.arrays_zip(chars("seq").alias("r"), chars(own).alias("h"))
     dist = F.size(F.filter(pairs, lambda x: (x["r"] != x["h"]) & (x["r"] != ".")))
     return both.select("start_pos", "seq", "cnt", "hap_id", dist.alias("dist"))
@@ -51,7 +53,7 @@ def mismatch_profile(nearest: DataFrame, haps: DataFrame, exact_only: bool = Fal
     equal = F.col("base") == F.col("h")
     match = equal & (F.col("dist") == 0) if exact_only else equal
     h = explode_bases(haps.select("hap_id", "seq", F.lit(1).alias("start_pos"))).select("hap_id", "pos", F.col("base").alias("h"))
-    b = explode_bases(nearest).where("base <> '.'").join(F.broadcast(h), ["hap_id", "pos"])
+    b = explode_bases(nearest).where("base <> '.'").join(sized(h), ["hap_id", "pos"])
     return b.groupBy("pos", "hap_id").agg(F.sum(F.when(match, 1).otherwise(0)).alias("n_match"), F.sum(F.when(~equal, 1).otherwise(0)).alias("n_mismatch"))
 
 

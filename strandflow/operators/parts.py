@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import CLUSTER_ORDER
-from ..functions.tables import staged
+from ..functions.tables import sized, staged
 from .sampling import ALPHA, BURN_IN, CLASSES, SWEEPS, SYMBOLS, TINY, compared, mode_of, new_class_log, pick
 
 PART = "window_id int, part int, length int, n long, reads binary, codes binary, cnt binary, who binary, history binary, ids binary, seen binary, size binary, matched long"
@@ -136,7 +136,8 @@ def assigned_in_parts(bases: DataFrame, sites: DataFrame, reference: dict[int, s
     """(window_id, read_id, class_id) of the reads of ``bases`` (window_id, read_id, cnt, vi, base); about ``part_reads``
     reads a part, ``sync`` sweeps a step."""
     n = bases.groupBy("window_id").agg(F.countDistinct("read_id").alias("n"))
-    own = bases.join(n, "window_id").join(F.broadcast(sites), "window_id").withColumn("part", F.pmod(F.xxhash64("read_id"), F.ceil(F.col("n") / part_reads)).cast("int"))
+    of_window = staged(n.join(sites, "window_id"), "sampler-windows")  # one row a window
+    own = bases.join(sized(of_window), "window_id").withColumn("part", F.pmod(F.xxhash64("read_id"), F.ceil(F.col("n") / part_reads)).cast("int"))
 
     def referenced(a: int, b: int) -> np.ndarray:
         return np.array([CLUSTER_ORDER.find(reference.get(v, "?")) for v in range(a, b + 1)])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import chars, r9
-from ..functions.tables import staged
+from ..functions.tables import paired, sized, staged
 
 #: Sites a read must reach past a site on either side, least overlap and least equal bases of a
 #: supporting read; least share of the mean support; the fall of support that a haplotype does not survive.
@@ -22,9 +22,9 @@ def _pairs() -> Column:
 def compact_match(compacted: DataFrame, haps: DataFrame) -> DataFrame:
     """(cstart, cseq, cnt, hap_id, n_match, n_mismatch): equal and different bases; gaps are neither.
 
-    ``haps`` (hap_id, cseq) is broadcast: haplotypes are capped before this step."""
+    ``haps`` (hap_id, cseq) is broadcast, or met in parts where it is large."""
     h = haps.select("hap_id", F.col("cseq").alias("hseq"))
-    both = compacted.select("cstart", "cseq", "cnt").crossJoin(F.broadcast(h)).withColumn("p", _pairs())
+    both = paired(compacted.select("cstart", "cseq", "cnt"), h).withColumn("p", _pairs())
     match = F.size(F.filter("p", lambda x: x["r"] == x["h"]))
     differ = F.size(F.filter("p", lambda x: (x["r"] != x["h"]) & (x["r"] != ".")))
     return both.select("cstart", "cseq", "cnt", "hap_id", match.alias("n_match"), differ.alias("n_mismatch"), F.size("p").alias("n_compared"))
@@ -112,9 +112,9 @@ def total_extension(support: DataFrame) -> DataFrame:
 
 
 def full_matrix(matrix: DataFrame, haps: DataFrame, b1: int, b2: int) -> DataFrame:
-    """The support matrix with its zeros: all haplotypes (broadcast, capped) at all sites."""
+    """The support matrix with its zeros: all haplotypes at all sites."""
     sites = haps.sparkSession.range(b1, b2).select(F.col("id").cast("int").alias("p"))
-    every = sites.crossJoin(F.broadcast(haps.select("hap_id")))
+    every = paired(sites, haps.select("hap_id"))
     return every.join(matrix, ["hap_id", "p"], "left").select("hap_id", "p", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
 
 
@@ -144,14 +144,14 @@ def read_fraction(compacted: DataFrame, matrix: DataFrame) -> DataFrame:
 
 def fit_cost(matrix: DataFrame, y: DataFrame, h: DataFrame) -> DataFrame:
     """One row: the squared distance of y from the matrix times ``h`` (hap_id, h)."""
-    fitted = matrix.join(F.broadcast(h), "hap_id").groupBy("cstart", "cseq").agg(F.sum("h").alias("yhat"))
+    fitted = matrix.join(sized(h), "hap_id").groupBy("cstart", "cseq").agg(F.sum("h").alias("yhat"))
     d = F.col("y") - F.coalesce("yhat", F.lit(0.0))
     return y.join(fitted, ["cstart", "cseq"], "left").agg(F.round(F.sum(d * d), 6).alias("cost"))
 
 
 def credibility_score(full: DataFrame, totals: DataFrame, h: DataFrame) -> DataFrame:
     """(hap_id, score): least 1 + (seen - expected) / expected over sites with less support than frequency x total, at most 1."""
-    all_sites = full.join(totals, "p", "left").join(F.broadcast(h), "hap_id")
+    all_sites = full.join(totals, "p", "left").join(sized(h), "hap_id")
     expected = F.col("h") * F.coalesce("total", F.lit(0))
     part = F.when(F.col("support") < expected, 1 + (F.col("support") - expected) / F.nullif(expected, F.lit(0.0))).otherwise(1.0)
     return all_sites.groupBy("hap_id").agg(F.round(F.least(F.lit(1.0), F.min(part)), 9).alias("score"))
