@@ -30,6 +30,7 @@ import json
 import os
 import zlib
 from array import array
+from math import ceil
 from string import punctuation
 
 import numpy as np
@@ -43,6 +44,9 @@ from pyspark.sql import types as T
 from .common import new_path, sub_batches, words_of
 
 END = 1
+#: Text of a task, and of about one block; tasks, whose bounds the driver draws from a sample of ids.  A task holds a block at
+#: a time, whatever its range.
+TASK_BYTES, BLOCK_BYTES, MOST_RANGES = 64 << 20, 4 << 20, 20_000
 
 
 #: The tokenizer steps for which ids follow word by word; fixed values of the file format.
@@ -245,8 +249,15 @@ def document(block, k: int, first: int) -> np.ndarray:
 _ENCODERS: dict[str, Encoder] = {}  # of this Python worker, by file
 
 
-def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_col: str = "doc_id", text: str = "text", block_tokens: int = 1 << 20) -> str:
-    """Write the token file of ``docs`` to ``path``.  ``file`` is the tokenizer, on every machine; ids are below ``vocabulary``."""
+def ranges_for(n_bytes: int, cores: int, task_bytes: int = TASK_BYTES) -> int:
+    """How many ranges of ids: one for each ``task_bytes`` of text, and a task for each core as long as that leaves a block each."""
+    return max(1, min(MOST_RANGES, max(ceil(n_bytes / task_bytes), min(cores, ceil(n_bytes / BLOCK_BYTES)))))
+
+
+def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_col: str = "doc_id", text: str = "text", block_tokens: int = 1 << 20, task_bytes: int = TASK_BYTES) -> str:
+    """Write the token file of ``docs`` to ``path``.  ``file`` is the tokenizer, on every machine; ids are below ``vocabulary``.
+
+    Ranges of ids: see ``ranges_for``."""
     if vocabulary > 65535:
         raise ValueError("symbols are 16 bits: the vocabulary must leave room for nonterminals")
     kind = docs.schema[id_col].dataType
@@ -278,7 +289,9 @@ def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_c
             yield block()
 
     own = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__tie"), F.col(text).alias("__text"))
-    dealt = own.repartitionByRange("__id", "__tie").sortWithinPartitions("__id", "__tie")
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = ranges_for(n_bytes, docs.sparkSession.sparkContext.defaultParallelism, task_bytes)
+    dealt = own.repartitionByRange(ranges, "__id", "__tie").sortWithinPartitions("__id", "__tie")
     dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return path
 

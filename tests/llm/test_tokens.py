@@ -79,3 +79,21 @@ def test_file_gives_the_ids_of_the_library(spark, tmp_path):
         ids = library.encode(r.text or "", add_special_tokens=False).ids + [1]
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_ranges_follow_the_bytes():
+    of = tokens.ranges_for
+    assert of(0, 8) == of(1, 8) == 1 and of(9 << 20, 8) == 3 and of(1 << 28, 8) == 8 and of(1 << 35, 8) == 512
+    assert of(10**14, 8000) == tokens.MOST_RANGES
+
+
+def test_file_does_not_depend_on_the_number_of_ranges(spark, tmp_path):
+    rows = [(i % 50 if i % 9 else None, f"one word and {i} more" * (i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for k, task_bytes in enumerate((1 << 20, 300, 40)):
+        path = tokens.write_tokens(df, f"file://{tmp_path}/t{k}", tokenizer_file(), vocabulary=VOCABULARY, task_bytes=task_bytes)
+        parts = spark.read.parquet(path).select("part").distinct().count()
+        assert (parts == 1) == (k == 0)
+        found.append(sorted(map(tuple, tokens.read_tokens(spark, path, vocabulary=VOCABULARY).collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] == found[2]
