@@ -7,13 +7,15 @@ Where none fits, trust and distrust of the host decide.  Hosts link to the hosts
 protocol-relative urls in links, forms, sources, bases, canonical references and redirects; a port belongs to the host,
 a user does not), and a host and its parent domain, as one owner holds both, link to each other once.  Trust is a personalised PageRank from hosts with allowed
 pages along the links; distrust one from hosts with blocked pages against the links: who refers to blocked hosts is
-suspect.  A seed's mass is the share of its pages that rules allow or block, and ranks are in units of what a host
-whose pages are all seeds gets by itself; a host is blocked where its distrust exceeds its trust by ``least``.  Mass
-that reaches a host without links is not passed on.
+suspect.  A seed's mass is the share of its pages that rules allow or block.  What a host gets is set against what would
+reach it, the same way, if all pages of all hosts were seeds: so its shares of trusted and distrusted mass lie between 0
+and 1 whatever its degree, and a domain with many subdomains, which pools their mass, has no more than their mean.  A host
+is blocked where its distrusted share exceeds its trusted share by ``least``.  Mass that reaches a host without links is
+not passed on.
 
-The graph is a table of distinct host pairs with counts, the two ranks one row per host; each iteration is one join
-and one sum, staged every few iterations, until what all ranks together still lack of their limit is within
-``tolerance`` of the seeds' mass; only the sum of the moves is collected.
+The graph is a table of distinct host pairs with counts, the ranks one row per host; each iteration is one join
+and one sum, staged every few iterations, until what each of the ranks still lacks of its limit is in sum
+within ``tolerance`` of its seeds' mass; only the sums of the moves are collected.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and gets the default verdict
 if its (empty) host has no standing; a null page has no links; rows that repeat are judged alike; an empty table gives
@@ -52,10 +54,13 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 
 
 def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None, tolerance: float, every: int = 8, most: int = 400) -> DataFrame:
-    """(host, trust, distrust) from pages with ``__host``, ``__verdict`` (of the rules) and their html.
+    """(host, trust, distrust, reach, back) from pages with ``__host``, ``__verdict`` (of the rules) and their html; ``reach``
+    and ``back`` are what trust and distrust would be if all pages were seeds.
 
-    ``rounds``: so many iterations; None: until what ranks still lack is in sum within ``tolerance`` of the seeds' mass;
+    ``rounds``: so many iterations; None: until what each rank still lacks is in sum within ``tolerance`` of its seeds' mass;
     raises after ``most``.  A table of ranks goes once the next is written."""
+    kinds = {"trust": True, "distrust": False, "reach": True, "back": False}  # whether along the links
+    new = [f"new_{kind}" for kind in kinds]
     seeds = pages.groupBy(F.col("__host").alias("host")).agg(*(F.avg(F.when(F.col("__verdict") == v, 1.0).otherwise(0.0)).alias(f"{v}ed") for v in ("allow", "block")))
     named = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(REFERENCE), F.lit(1))
     linked = pages.select(F.col("__host").alias("a"), F.explode(named).alias("b")).select("a", F.translate(F.regexp_replace("b", "^.*@", ""), UPPER, LOWER).alias("b"))
@@ -69,45 +74,49 @@ def standing(pages: DataFrame, *, html: str, damping: float, rounds: int | None,
         .union(links.join(back, "b").select(F.col("b").alias("u"), F.col("a").alias("v"), (F.col("n") / F.col("all")).alias("w"), F.lit(False).alias("forward"))),
         "host-arcs",
     )
-    base = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
-    unseen = arcs.select(F.col("v").alias("host")).distinct().join(base, "host", "left_anti").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
-    rank = written = staged(base.union(unseen).select("*", F.col("trust").alias("new_trust"), F.col("distrust").alias("new_distrust")), "host-seeds")
+    base = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"), F.lit(1.0).alias("reach"), F.lit(1.0).alias("back"))
+    unseen = arcs.select(F.col("v").alias("host")).distinct().join(base, "host", "left_anti").select("host", *(F.lit(0.0).alias(kind) for kind in kinds))
+    rank = written = staged(base.union(unseen).select("*", *(F.col(kind).alias(f"new_{kind}") for kind in kinds)), "host-seeds")
     own = rank.select(F.col("host").alias("u"), F.col("host").alias("v"), F.lit(1.0).alias("w"), F.lit(None).cast("boolean").alias("forward"))
     arcs = staged(arcs.union(own), "host-arcs")  # over its own arc a host keeps its rank, so that each iteration reads ranks once
-    mass = max([x or 0.0 for x in rank.agg(F.sum("trust"), F.sum("distrust")).first()] + [1e-12])
-    kinds = ("trust", "distrust")
+    mass = [max(x or 0.0, 1e-12) for x in rank.agg(*(F.sum(kind) for kind in kinds)).first()]
     for k in range(1, (most if rounds is None else rounds) + 1):
-        gone = {kind: F.when(F.col("forward") == (kind == "trust"), damping * F.col(f"new_{kind}") * F.col("w")).otherwise(0.0) for kind in kinds}
+        gone = {kind: F.when(F.col("forward") == along, damping * F.col(f"new_{kind}") * F.col("w")).otherwise(0.0) for kind, along in kinds.items()}
         kept = {kind: F.when(F.col("forward").isNull(), F.col(kind)).otherwise(0.0) for kind in kinds}
         sent = rank.join(arcs, rank["host"] == arcs["u"]).select(F.col("v").alias("host"), *(kept[kind].alias(kind) for kind in kinds), *(gone[kind].alias(f"new_{kind}") for kind in kinds))
-        summed = sent.groupBy("host").agg(*(F.sum(c).alias(c) for c in (*kinds, "new_trust", "new_distrust")))
-        rank = summed.select("host", *((F.col(kind) + F.col(f"new_{kind}")).alias(kind) for kind in kinds), "new_trust", "new_distrust")
+        summed = sent.groupBy("host").agg(*(F.sum(c).alias(c) for c in (*kinds, *new)))
+        rank = summed.select("host", *((F.col(kind) + F.col(f"new_{kind}")).alias(kind) for kind in kinds), *new)
         if k % every == 0 or k == rounds:
             rank = staged(rank, "host-ranks")
             drop_staged(pages.sparkSession, path_of(written))
             written = rank
             # ranks only grow, and what is still to come is in sum at most damping / (1 - damping) of the last moves
-            moved = max(x or 0.0 for x in rank.agg(F.sum("new_trust"), F.sum("new_distrust")).first())
-            if rounds is None and moved * damping <= tolerance * mass * (1 - damping):
+            moved = [x or 0.0 for x in rank.agg(*(F.sum(c) for c in new)).first()]
+            if rounds is None and all(x * damping <= tolerance * m * (1 - damping) for x, m in zip(moved, mass, strict=True)):
                 return rank
     if rounds is None:
         raise RuntimeError(f"ranks of hosts did not settle in {most} rounds")
     return rank
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int | None = None, tolerance: float = 0.01, least: float = 0.5, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust``; ``keep``: input columns to pass through."""
+def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int | None = None, tolerance: float = 0.01, least: float = 0.25, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
+    """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, the host's ranks ``trust`` and ``distrust``, its shares of trusted
+    and distrusted mass, and ``decided_by`` (rule, distrust, trust or default); ``keep``: input columns to pass through."""
     if len(rules) > 1000:
         raise ValueError("rules are one expression; join a table of more than 1000")
-    new = ("host", "path", "rule", "verdict", "trust", "distrust")
+    new = ("host", "path", "rule", "verdict", "trust", "distrust", "trust_share", "distrust_share", "decided_by")
     host, path = host_and_path(F.coalesce(url, F.lit("")))
     known = pages.withColumns({"__host": host, "__path": path})
     rule, verdict = rule_for(F.col("__host"), F.col("__path"), rules)
     known = known.withColumns({"__rule": rule, "__verdict": verdict})
     ranks = standing(known, html=html, damping=damping, rounds=rounds, tolerance=tolerance)
-    ranks = ranks.select(F.col("host").alias("__of"), F.col("trust").alias("__trust"), F.col("distrust").alias("__distrust"))
+    ranks = ranks.select(F.col("host").alias("__of"), *(F.col(c).alias(f"__{c}") for c in ("trust", "distrust", "reach", "back")))
     passed = others(pages.columns if keep is None else keep, new)
     own = known.select(*passed, "__host", "__path", "__rule", "__verdict").join(ranks, F.col("__host") == F.col("__of"), "left")
     trust, distrust = F.coalesce("__trust", F.lit(0.0)), F.coalesce("__distrust", F.lit(0.0))
-    said = F.coalesce("__verdict", F.when(distrust - trust >= least, "block").when(trust > distrust, "allow").otherwise(default))
-    return own.select(*passed, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), said.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    # sums of floats come in any order; at nine digits reruns agree
+    share = lambda part, whole: F.round(F.coalesce(F.col(part) / F.nullif(F.col(whole), F.lit(0.0)), F.lit(0.0)), 9)
+    good, bad = share("__trust", "__reach"), share("__distrust", "__back")
+    by = F.when(F.col("__verdict").isNotNull(), "rule").when(bad - good >= least, "distrust").when(good > bad, "trust").otherwise("default")
+    said = F.coalesce("__verdict", F.when(by == "distrust", "block").when(by == "trust", "allow").otherwise(default))
+    return own.select(*passed, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), said.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"), good.alias("trust_share"), bad.alias("distrust_share"), by.alias("decided_by"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandflow.llm import decontaminate as dec
@@ -306,6 +307,18 @@ def test_urls_link_hosts_ports_and_parents(spark):
     assert trusted[6] > 0 and trusted[5] == 0
 
 
+@pytest.mark.parametrize("n", [2, 40])
+def test_urls_of_a_family_do_not_depend_on_its_size(spark, n):
+    """Subdomains of which each has one page in four blocked: all shares are a quarter, the parent's too."""
+    pages = [(f"http://s{i}.shop.net/{'no' if k == 0 else 'q'}/{k}", "") for i in range(n) for k in range(4)] + [("http://shop.net/no/", ""), *[("http://shop.net/q", "")] * 3]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for least, verdict in ((0.2, "block"), (0.3, "allow")):
+        got = urls.judge(df, [("block", "net/no/")], least=least).collect()
+        assert all(math.isclose(r.distrust_share, 0.25, abs_tol=1e-9) and r.trust_share == 0 for r in got)
+        assert all((r.verdict, r.decided_by) == (("block", "rule") if r.rule else (verdict, "distrust" if verdict == "block" else "default")) for r in got)
+    assert max(r.distrust for r in got) > (2 if n > 2 else 0.5)  # the rank itself grows with the family
+
+
 def test_urls_reach_hosts_far_from_a_seed(spark):
     n = 14
     pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(n)] + [(n, "http://h0.org/ok/", "")]
