@@ -46,11 +46,11 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import joined, scan
+    from .secrets import joined, number, scan
 
     got = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=tokenizer_file())
     base = F.filter("secrets", lambda s: s["rank"] < 3)
-    count = [F.size(F.filter("secrets", lambda s, k=k: s["rank"] == k)).cast("long").alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    count = [number(F.col("secrets"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return got.select("doc_id", *count, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 

@@ -173,6 +173,11 @@ def errors(sample: DataFrame, table: list[float], least: float = LEAST) -> tuple
     return row[0] or 0.0, row[1] or 0.0
 
 
+def number(spans: Column, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of all spans by start, then kind, comma-joined."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -265,6 +265,28 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_query_counts_spans_by_kind(spark, tmp_path):
+    """The query's digest columns, where kinds come in any order, alone and after many of another kind."""
+    from strandflow.llm.queries import op7_secrets
+
+    assign, access, hexed = "api_key: 'qwertyuiop-._=x'", "AKIA" + "Z" * 14, "0123456789abcdef"
+    cases = [hexed, access, assign, f"{hexed} {hexed} {access} 😀 {assign}", f"{assign} " * 3 + hexed, f"{access} " * 200 + f"{assign} {hexed}", "token=" + hexed, "token=short AKIAZ abc", "", None, "token=tokeñ=" + access]
+    frame(spark, cases).write.parquet(f"{tmp_path}/documents.parquet")
+    rule = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+    def brute(t):
+        t = t or ""
+        out = [(m.start(), 0, m.end(), "assign") for m in rule.finditer(t) if len(m[2]) >= 12]
+        out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        line = ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(out))
+        return (*(sum(s[1] == k for s in out) for k in range(3)), hashlib.sha256(line.encode()).hexdigest())
+
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in op7_secrets(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(cases)}
+    assert [got[i][:3] for i in (0, 3, 4, 5)] == [(0, 0, 1), (1, 1, 2), (3, 0, 1), (1, 200, 1)]
+
+
 def test_urls(spark):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
     pages = ["http://A.Example.com/en/x?q#f", "https://www.example.com/en/", "http://x.net/es/1", "http://x.net/fr", "nourl", None, "http://bad.org/", "http://org.com", "ftp://example.com?x=/en/", "http://notexample.com/en/", "http://ß.NET/es/é"]
