@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -20,17 +22,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``functions.tables.staged`` with at most ARROW_ROWS rows in an Arrow batch."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS):
+    """Within it, what is written goes to and from Python in Arrow batches of at most ``most`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
+    spark.conf.set(key, str(min(int(before), most)) if int(before) > 0 else str(most))
     try:
-        return tables.staged(df, name)
+        yield
     finally:
         spark.conf.set(key, before)
 
 
+def staged(df: DataFrame, name: str, most: int = ARROW_ROWS) -> DataFrame:
+    """``functions.tables.staged`` with at most ``most`` rows in an Arrow batch."""
+    with arrow_rows(df.sparkSession, most):
+        return tables.staged(df, name)
+
+
 def path_of(df: DataFrame) -> list[str]:
     """The staged folders that ``df`` itself reads."""
     return sorted({f.rpartition("/")[0] for f in df.inputFiles()})

@@ -41,12 +41,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, sub_batches, words_of
+from .common import ARROW_ROWS, arrow_rows, new_path, staged, sub_batches, words_of
 
 END = 1
-#: Text of a task, and of about one block; tasks, whose bounds the driver draws from a sample of ids.  A task holds a block at
-#: a time, whatever its range.
+#: Text of a task where memory is no matter, and of about one block; tasks, whose bounds the driver draws from a sample of ids.
+#: A task holds a block at a time, whatever its range.
 TASK_BYTES, BLOCK_BYTES, MOST_RANGES = 64 << 20, 4 << 20, 20_000
+#: What a task holds beside its block: the range's text, which it fetches and sorts whole, rows of blocks in an Arrow batch
+#: (of texts: ``ARROW_ROWS``) and text encoded at once.
+RANGE_BYTES, BLOCK_ROWS, ENCODED_BYTES = 16 << 20, 1, 2 << 20
 
 
 #: The tokenizer steps for which ids follow word by word; fixed values of the file format.
@@ -97,7 +100,7 @@ class Encoder:
     follow from those of the lower-cased letters, which go straight to the library's BPE model, and of the marks; all
     other words go through the whole tokenizer.  With any other file whole texts go through the library."""
 
-    def __init__(self, file: str, most: int = 800_000):
+    def __init__(self, file: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -254,7 +257,7 @@ def ranges_for(n_bytes: int, cores: int, task_bytes: int = TASK_BYTES) -> int:
     return max(1, min(MOST_RANGES, max(ceil(n_bytes / task_bytes), min(cores, ceil(n_bytes / BLOCK_BYTES)))))
 
 
-def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_col: str = "doc_id", text: str = "text", block_tokens: int = 1 << 20, task_bytes: int = TASK_BYTES) -> str:
+def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_col: str = "doc_id", text: str = "text", block_tokens: int = 1 << 20, task_bytes: int = RANGE_BYTES) -> str:
     """Write the token file of ``docs`` to ``path``.  ``file`` is the tokenizer, on every machine; ids are below ``vocabulary``.
 
     Ranges of ids: see ``ranges_for``."""
@@ -279,7 +282,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_c
             held.clear(), keys.clear(), ties.clear()
             return out
 
-        for batch in sub_batches(batches, "__text", 4 << 20):
+        for batch in sub_batches(batches, "__text", ENCODED_BYTES):
             held.append(encoder.encode(batch.column(2)))
             keys.append(batch.column(0))
             ties.append(batch.column(1)[0].as_py())
@@ -292,12 +295,15 @@ def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_c
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = ranges_for(n_bytes, docs.sparkSession.sparkContext.defaultParallelism, task_bytes)
     dealt = own.repartitionByRange(ranges, "__id", "__tie").sortWithinPartitions("__id", "__tie")
-    dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return path
 
 
 def read_tokens(spark: SparkSession, path: str, *, vocabulary: int, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a token file: id, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``."""
+    """The documents of a token file: id, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``.
+
+    Their rows are staged, so that the blocks go to Python one by one: a file holds as many as its range has text for."""
     blocks = spark.read.parquet(path)
     kind = blocks.schema["first_id"].dataType.simpleString()
 
@@ -312,7 +318,7 @@ def read_tokens(spark: SparkSession, path: str, *, vocabulary: int, id_col: str
 
     one = blocks.select("part", "block", "ids", "lengths", "rules", "sizes", "packed")
     rows = one.mapInArrow(run, f"part int, block int, `__id` {kind}, inner long, n_tokens long, ids_crc32 long")
-    joined = rows.join(starts(blocks), ["part", "block"])
+    joined = staged(rows, "token-rows", BLOCK_ROWS).join(starts(blocks), ["part", "block"])
     return joined.select(F.col("__id").alias(id_col), (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -97,3 +97,25 @@ def test_file_does_not_depend_on_the_number_of_ranges(spark, tmp_path):
         assert (parts == 1) == (k == 0)
         found.append(sorted(map(tuple, tokens.read_tokens(spark, path, vocabulary=VOCABULARY).collect()), key=lambda r: r[1]))
     assert found[0] == found[1] == found[2]
+
+
+def test_tasks_hold_few_texts_and_one_block(spark, tmp_path, monkeypatch):
+    most, seen, cut, ranges_for, staged = tokens.ARROW_ROWS, [], tokens.sub_batches, tokens.ranges_for, tokens.staged
+
+    def checked(batches, text_at, most_bytes):
+        def each():
+            for batch in batches:
+                assert batch.num_rows <= most, batch.num_rows
+                yield batch
+
+        return cut(each(), text_at, most_bytes)
+
+    monkeypatch.setattr(tokens, "sub_batches", checked)
+    monkeypatch.setattr(tokens, "ranges_for", lambda n, cores, size: seen.append(size) or ranges_for(n, cores, size))
+    monkeypatch.setattr(tokens, "staged", lambda df, name, rows: seen.append(rows) or staged(df, name, rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(3 * most).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    path = tokens.write_tokens(df, f"file://{tmp_path}/t", tokenizer_file(), vocabulary=VOCABULARY, block_tokens=2000)
+    assert tokens.read_tokens(spark, path, vocabulary=VOCABULARY).count() == 3 * most
+    assert seen == [16 << 20, 1] and spark.conf.get(key) == before
