@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from contextlib import contextmanager
 
 import numpy as np
@@ -40,6 +41,27 @@ def staged(df: DataFrame, name: str, most: int = ARROW_ROWS) -> DataFrame:
         return tables.staged(df, name)
 
 
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others give back by themselves
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` for ``mapInArrow``; when a task ends, its worker gives back what it took.  Workers live on from step to step,
+    and each would keep what its largest step has needed."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def path_of(df: DataFrame) -> list[str]:
     """The staged folders that ``df`` itself reads."""
     return sorted({f.rpartition("/")[0] for f in df.inputFiles()})

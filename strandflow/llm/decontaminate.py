@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, staged, sub_batches
+from .common import lean, others, staged, sub_batches
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b in range(256))
@@ -159,7 +159,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], span), pa.array(out[2], span)], names=[*key, "__items", "__words", "__spans"])
 
-    whole = united.mapInArrow(unite, f"__k0 long, __k1 long, __k2 int, __items array<string>, __words {spans}, __spans {spans}")
+    whole = united.mapInArrow(lean(unite), f"__k0 long, __k1 long, __k2 int, __items array<string>, __words {spans}, __spans {spans}")
     none = F.array().cast(spans)
     n_words = F.regexp_count(F.translate(F.coalesce("__text", F.lit("")), _UPPER, _LOWER), F.lit(FOLDED)).cast("long")
     rows = known.withColumn("__n", n_words).drop("__text").join(whole, key, "left")
@@ -186,4 +186,4 @@ def _judged(source: DataFrame, passed: list[str], sent, key: str, window: int, l
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *(pa.array(v, f.type) for v, f in zip(out, arrow, strict=True))], names=[*passed, *arrow.names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, staged, sub_batches, window_hashes, word_hashes, words_of
+from .common import lean, mixed, staged, sub_batches, window_hashes, word_hashes, words_of
 
 SHINGLE = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     slots = bands * rows
 
     def sign(batches):
-        for batch in sub_batches(batches, "__text", 2 << 20):
+        for batch in sub_batches(batches, "__text", 1 << 20):
             hashes, of, words, starts = shingles(batch.column(1))
             h, d, w = counted(hashes, of)
             keys = bands_of(bag_min_hash(h, d, w, batch.num_rows, slots), bands)
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(np.bincount(of, minlength=batch.num_rows)), lists], names=["node", "content", "n", "bands"])
 
     def sets(batches):
-        for batch in sub_batches(batches, "__text", 2 << 20):
+        for batch in sub_batches(batches, "__text", 1 << 20):
             hashes, of, _, _ = shingles(batch.column(1))
             h, d, w = counted(hashes, of)
             token = expanded(h, w)
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(same)) for c in batch.columns[:2]], names=["a", "b"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(_node(docs, id_col).alias("node"), F.col(text).alias("__text"))
-    signed = staged(texts.mapInArrow(sign, "node long, content binary, n long, bands array<long>"), "near-signatures")
+    signed = staged(texts.mapInArrow(lean(sign), "node long, content binary, n long, bands array<long>"), "near-signatures")
     filled = signed.where("n > 0")
     content = staged(filled.groupBy("content").agg(F.min("node").alias("rep")), "near-contents")
     placed = staged(filled.select("node", "content").join(content, "content").select("node", "rep").distinct(), "near-copies")
@@ -267,13 +267,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
     keyed = staged(keyed.join(shared, "band"), "near-buckets")  # buckets of two and more only
     wanted = keyed.select("node").distinct()
-    bags = staged(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, bag binary, tokens array<long>, odd array<long>"), "near-bags")
+    bags = staged(texts.join(wanted, "node", "left_semi").mapInArrow(lean(sets), "node long, bag binary, tokens array<long>, odd array<long>"), "near-bags")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         one_side = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
         both = one_side.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a")
         fits = both.where(F.least(F.length("x"), F.length("y")) >= (least - 1e-9) * F.greatest(F.length("x"), F.length("y")))
-        return staged(fits.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), name)
+        return staged(fits.select("a", "b", "x", "y").mapInArrow(lean(overlap), "a long, b long"), name)
 
     def led(now: DataFrame, k: int) -> DataFrame:
         """(a, b, votes): each open bucket's leader with its members of other classes; a hashed one in the first round, then
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         of_hot = bags.join(hot.select("node"), "node", "left_semi")
         total = staged(of_hot.groupBy("node").agg(F.sum(F.size("tokens")).alias("all")), "near-sizes")
         parts = max(1, -(-(total.agg(F.sum("all")).first()[0] or 0) // part_tokens))
-        token = of_hot.select("node", "tokens").mapInArrow(holders(parts), "part long, held binary")
+        token = of_hot.select("node", "tokens").mapInArrow(lean(holders(parts)), "part long, held binary")
         held = staged(token.groupBy("part").applyInArrow(rare, "a long, b long, k long"), "near-rare")
         own = total.join(held.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("own")), "node", "left")
         known = staged(hot.join(own.select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("common")), "node"), "near-common")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, others, staged, sub_batches, window_hashes, words_of
+from .common import lean, mixed, others, staged, sub_batches, window_hashes, words_of
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_open_lines", "n_brackets", "n_unpaired"]
 WINDOW = 5
@@ -179,11 +179,11 @@ def weak_quality(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField(c, T.LongType()) for c in FEATURES])
 
     def run(batches):
-        for batch in sub_batches(batches, "__text"):
+        for batch in sub_batches(batches, "__text", 1 << 20):
             got = features(batch.column(len(passed)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *(pa.array(got[c]) for c in FEATURES)], names=[*passed, *FEATURES])
 
-    found = docs.select(*passed, F.col(text).alias("__text")).mapInArrow(run, schema)
+    found = docs.select(*passed, F.col(text).alias("__text")).mapInArrow(lean(run), schema)
     code = sum((v + 1) * 3**i for i, v in enumerate(named.values()))
     found = staged(found.withColumn("__code", code.cast("int")), "quality")
     seen = {r[0]: r[1] for r in found.groupBy("__code").count().collect()}

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_ROWS, arrow_rows, new_path, staged, sub_batches, words_of
+from .common import ARROW_ROWS, arrow_rows, lean, new_path, staged, sub_batches, words_of
 
 END = 1
 #: Text of a task where memory is no matter, and of about one block; tasks, whose bounds the driver draws from a sample of ids.
@@ -296,7 +296,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, *, vocabulary: int, id_c
     ranges = ranges_for(n_bytes, docs.sparkSession.sparkContext.defaultParallelism, task_bytes)
     dealt = own.repartitionByRange(ranges, "__id", "__tie").sortWithinPartitions("__id", "__tie")
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+        dealt.mapInArrow(lean(run), schema).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -317,7 +317,7 @@ def read_tokens(spark: SparkSession, path: str, *, vocabulary: int, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b["part"], np.int32)), pa.array(np.full(n, b["block"], np.int32)), pa.array(b["ids"], batch.schema.field("ids").type.value_type), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["part", "block", "__id", "inner", "n_tokens", "ids_crc32"])
 
     one = blocks.select("part", "block", "ids", "lengths", "rules", "sizes", "packed")
-    rows = one.mapInArrow(run, f"part int, block int, `__id` {kind}, inner long, n_tokens long, ids_crc32 long")
+    rows = one.mapInArrow(lean(run), f"part int, block int, `__id` {kind}, inner long, n_tokens long, ids_crc32 long")
     joined = staged(rows, "token-rows", BLOCK_ROWS).join(starts(blocks), ["part", "block"])
     return joined.select(F.col("__id").alias(id_col), (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
