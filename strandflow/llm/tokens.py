@@ -92,6 +92,19 @@ def _gathered(flat: np.ndarray, where: np.ndarray, size: np.ndarray, index: np.n
     return flat[np.arange(before[-1]) + np.repeat(where[index] - before[:-1], run)], before
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
+
+
+def _cut(words: pa.Array, lo: np.ndarray, hi: np.ndarray, index: np.ndarray) -> pa.Array:
+    """Of the words ``index`` the bytes from ``lo`` to ``hi``."""
+    words = words.cast(pa.large_string())
+    where = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words)]
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    flat, before = _gathered(raw, where + lo, hi - lo, index)
+    return pa.LargeStringArray.from_buffers(len(index), pa.py_buffer(before), pa.py_buffer(flat))
+
+
 class Encoder:
     """A tokenizer file's encoding of whole texts.
 
@@ -108,31 +121,43 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
+        self.letters_before: dict[str, bytes] = {}  # words of the time before: those met again move on, the rest is forgotten
 
     def _whole(self, word: str) -> bytes:
         got = self.others[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         return got
 
     def _bpe(self, word: str) -> bytes:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        got = self.letters[word] = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+        got = self.letters_before.get(word)
+        if got is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            got = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+        self.letters[word] = got
         return got
 
+    def _forget(self) -> None:
+        """Makes room when half of ``most`` words are new; words of the last batches and those that come again stay."""
+        if len(self.letters) > self.most // 2:
+            self.letters_before, self.letters = self.letters, {}
+        if len(self.others) > self.most // 4:
+            self.others = {}
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and where each word's begin (one more at the end)."""
         core = pc.utf8_rtrim(words, characters=punctuation)
         plain = pc.match_substring_regex(core, _LATIN)
         is_plain = np.asarray(plain.to_numpy(zero_copy_only=False), dtype=bool)
-        marked = is_plain & np.asarray(pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False), dtype=bool)
+        n_core, n_word = (np.asarray(pc.binary_length(x), dtype=np.int64) for x in (core, words))
+        marked = is_plain & (n_core != n_word)
         low = pc.utf8_lower(core.filter(plain)).dictionary_encode()
-        tails = pa.array([w[len(c) :] for w, c in zip(words.filter(pa.array(marked)).to_pylist(), core.filter(pa.array(marked)).to_pylist(), strict=True)], pa.string()).dictionary_encode()
+        tails = _cut(words, n_core, n_word, np.flatnonzero(marked)).dictionary_encode()
         letters, others, bpe, whole = self.letters.get, self.others.get, self._bpe, self._whole
         parts = [b""]
-        parts += [letters(w) or bpe(w) for w in low.dictionary.to_pylist()]
+        parts += [letters(w) or bpe(w) for w in _strings(low.dictionary)]
         n_low = len(parts)
-        parts += [others(w) or whole(w) for w in tails.dictionary.to_pylist()]
+        parts += [others(w) or whole(w) for w in _strings(tails.dictionary)]
         n_tail = len(parts)
-        parts += [others(w) or whole(w) for w in words.filter(pa.array(~is_plain)).to_pylist()]
+        parts += [others(w) or whole(w) for w in _strings(words.filter(pa.array(~is_plain)))]
         size = np.fromiter((len(p) >> 2 for p in parts), dtype=np.int64, count=len(parts))
         where = np.concatenate(([0], np.cumsum(size)[:-1]))
         pieces = np.zeros((len(words), 2), dtype=np.int64)  # a word's core (or all of it) and its marks
@@ -144,8 +169,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a batch of texts, each followed by END, and where each begins (one more at the end)."""
-        if len(self.letters) + len(self.others) > self.most:
-            self.letters.clear(), self.others.clear()
+        self._forget()
         if self.by_word:
             words, starts = words_of(texts)
             flat, where = self._words(words.dictionary)
@@ -220,26 +244,22 @@ def pack(ids: np.ndarray, at: np.ndarray, first: int, least: int = 12, most: int
 
 
 def rule_sizes(rules: np.ndarray, first: int) -> np.ndarray:
-    sizes = np.ones(first + len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        sizes[first + k] = sizes[a] + sizes[b]
-    return sizes[first:]
+    sizes: list[int] = []
+    for a, b in rules.tolist():
+        sizes.append((sizes[a - first] if a >= first else 1) + (sizes[b - first] if b >= first else 1))
+    return np.array(sizes, dtype=np.int64)
 
 
 def expanded(packed: bytes, rules: bytes, sizes: bytes, first: int) -> np.ndarray:
     """The ids that (a part of) a block's packed symbols stand for."""
     seq = np.frombuffer(packed, "<u2").astype(np.int64)
-    rule = np.frombuffer(rules, "<u2").reshape(-1, 2).tolist()
-    known: list[np.ndarray] = []
-    of = lambda x: known[x - first] if x >= first else np.array([x], dtype=np.uint32)
-    for a, b in rule:
-        known.append(np.concatenate((of(a), of(b))))
-    flat = np.concatenate([np.arange(first, dtype=np.uint32), *known])
+    rule = np.frombuffer(rules, "<u2").astype(np.int64)
+    flat, parts = rule, np.concatenate((np.arange(first), rule))
+    where = np.concatenate((np.arange(first), first + 2 * np.arange(len(rule) // 2)))
+    while len(flat) and flat.max() >= first:  # all rules at once, a level of their parts a turn
+        flat, _ = _gathered(parts, where, 1 + (np.arange(len(where)) >= first), flat)
     size = np.concatenate((np.ones(first, np.int64), np.frombuffer(sizes, "<u4").astype(np.int64)))
-    where = np.concatenate(([0], np.cumsum(size)[:-1]))
-    run = size[seq]
-    before = np.concatenate(([0], np.cumsum(run)))
-    return flat[np.arange(before[-1]) + np.repeat(where[seq] - before[:-1], run)]
+    return _gathered(np.concatenate((np.arange(first), flat)).astype(np.uint32), np.cumsum(size) - size, size, seq)[0]
 
 
 def document(block, k: int, first: int) -> np.ndarray:

@@ -119,3 +119,20 @@ def test_tasks_hold_few_texts_and_one_block(spark, tmp_path, monkeypatch):
     path = tokens.write_tokens(df, f"file://{tmp_path}/t", tokenizer_file(), vocabulary=VOCABULARY, block_tokens=2000)
     assert tokens.read_tokens(spark, path, vocabulary=VOCABULARY).count() == 3 * most
     assert seen == [16 << 20, 1] and spark.conf.get(key) == before
+
+
+def test_words_that_come_again_are_encoded_once():
+    encoder, seen = tokens.Encoder(tokenizer_file(), most=80), []
+    model = encoder.model
+
+    class Counted:
+        def tokenize(self, word):
+            seen.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counted()
+    rare = [a + b for a in "abcdefghijklmno" for b in "pqrstuvwxyz"]
+    for k in range(5):
+        encoder.encode(pa.array([" ".join(["frequent", "words,", *rare[30 * k : 30 * k + 30]])]))
+    assert seen.count("frequent") == seen.count("words") == 1 and len(seen) == 152
+    assert len(encoder.letters) + len(encoder.letters_before) <= 80 + 32
